@@ -1 +1 @@
-
+"""Path indexes of labelled directed graphs as DataFrames."""

@@ -1 +1,19 @@
+"""Pattern batches from a stream against a static index."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import alphabet as A
+from ..operators.index import PathIndex
+from ..operators.search import empty_as, kernel  # noqa: F401
+
+
+def find_stream(index: PathIndex, patterns: DataFrame) -> DataFrame:
+    """pid, pattern, sp, ep of a streaming ``patterns`` up to the index's order: a stream-static join with the prefixes of all full-length labels."""
+    labels = index.occurrences.select("label").distinct()
+    node = labels.select("label", F.explode(A.prefixes("label")).alias("key")).join(index.nodes.select("key", "path_id"), "key")
+    table = node.select(F.explode(A.prefixes("label")).alias("pattern"), "path_id").groupBy("pattern").agg(F.min("path_id").alias("sp"), F.max("path_id").alias("ep"))
+    sp, ep = empty_as(F.col("sp"), F.col("ep"))
+    return patterns.join(table, "pattern", "left").select("pid", "pattern", sp.alias("sp"), ep.alias("ep"))

@@ -119,16 +119,15 @@ def running_sums(rows: DataFrame, by: str, total: int, sums: dict[str, str]) ->
     """
     from pyspark.sql import Window
 
-    size = 1 << 14
-    block = F.floor(F.col(by) / size).cast("long")
-    rows = rows.withColumn("__b", block)
-    w = Window.partitionBy("__b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    inner = rows.select(by, "__b", *[F.sum(c).over(w).alias(n) for c, n in sums.items()])
+    size, own = 1 << 14, f"{by}_block"
+    rows = rows.withColumn(own, F.floor(F.col(by) / size).cast("long"))
+    w = Window.partitionBy(own).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.select(by, own, *[F.sum(c).over(w).alias(n) for c, n in sums.items()])
     if total <= size:
         return inner.select(by, *sums.values())
-    blocks = rows.groupBy("__b").agg(*[F.sum(c).alias(c) for c in sums])
-    outer = running_sums(blocks, "__b", -(-total // size), {c: f"__{n}" for c, n in sums.items()}).withColumn("__b", F.col("__b") + 1)
-    return inner.join(outer, "__b", "left").select(by, *[(F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in sums.values()])
+    blocks = rows.groupBy(own).agg(*[F.sum(c).alias(c) for c in sums])
+    outer = running_sums(blocks, own, -(-total // size), {c: f"__{n}" for c, n in sums.items()}).withColumn(own, F.col(own) + 1)
+    return inner.join(outer, own, "left").select(by, *[(F.col(n) + F.coalesce(f"__{n}", F.lit(0))).alias(n) for n in sums.values()])
 
 
 def samples_of(nodes: DataFrame, values: DataFrame, edges: DataFrame, period: int) -> DataFrame:

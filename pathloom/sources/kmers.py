@@ -19,7 +19,8 @@ from ..functions import nodeid as N
 SCHEMA = "file int, label string, preds int, succs int, from_node long, to_node long"
 #: Largest k of packed keys; suffixes of the two formats (fixed values).
 MAX_K, BINARY, TEXT = 16, ".graph", ".gcsa2"
-_HEADER, _RECORD = struct.Struct("<QQQ"), struct.Struct("<qqq")
+#: A section's header: flags, records, k.
+_HEADER = "<QQQ"
 _NO_NODE = -1  # all bits set
 
 
@@ -70,7 +71,7 @@ def read_binary(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
             for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw, at, k = memoryview(data.as_buffer()), 0, None
                 while at < len(raw):
-                    flags, count, size = _HEADER.unpack_from(raw, at)
+                    flags, count, size = struct.unpack_from(_HEADER, raw, at)
                     if flags or not 1 <= size <= MAX_K or k not in (None, size) or at + 24 + 24 * count > len(raw):
                         raise ValueError("no valid k-mer section")
                     k, at = size, at + 24
@@ -104,7 +105,7 @@ def binary_sections(kmers: DataFrame, k: int) -> DataFrame:
             file = b.column(0).to_numpy(zero_copy_only=False)
             for one in np.unique(file):
                 rec = np.stack([b.column(j).to_numpy(zero_copy_only=False)[file == one] for j in (1, 2, 3)], 1).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([int(one)], pa.int32()), pa.array([_HEADER.pack(0, len(rec), k) + rec.tobytes()], pa.binary())], names=["file", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(one)], pa.int32()), pa.array([struct.pack(_HEADER, 0, len(rec), k) + rec.tobytes()], pa.binary())], names=["file", "content"])
 
     return binary_records(kmers).mapInArrow(run, "file int, content binary")
 

@@ -4,13 +4,14 @@
    documents that hold the shingle, counted exactly over all documents for every shingle held by
    at least the share ``COMMON`` of them; rarer shingles all have idf 1. At most
    ``mean shingles / COMMON`` shingles can be that common, whatever the corpus size, which is the
-   proven bound of what is broadcast. The idf stays in [0.8, 1], so that a large group of near copies, whose
+   proven bound of what is broadcast. The idf stays in [0.95, 1], so that a large group of near copies, whose
    shingles are common because of the copies, keeps its similarity.
 2. Each distinct text gets ``BANDS * ROWS`` consistent weighted samples; equal bands make candidates.
-3. In every bucket each text is compared with one leader. Texts that the leader doesn't match are
-   compared with all others of their bucket that the triangle inequality (1 - weighted Jaccard is
-   a metric) leaves possible and that aren't in the same class already: no candidate link is lost,
-   and groups of copies cost one comparison for each copy.
+3. In every bucket each text is compared with one leader, the text that shares most buckets with others (the
+   middle of a group of copies); those that don't get into its class are compared with a second leader
+   of their own. What still stands outside its leader's class is a set of queries against all texts of that
+   leader, in blocks of BLOCK by BLOCK texts, each joined by an inverted list of shingles in one task: no candidate link is
+   lost, no pairs are emitted but links, and a group of copies costs a few comparisons for each copy.
 4. Verified links (weighted Jaccard of at least ``THRESHOLD``) are joined to classes by label propagation.
 
 Null texts count as empty; all texts without words are compared exactly only. Equal texts are one
@@ -32,7 +33,9 @@ from .common import reliable_checkpoint, shingles, slices
 
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the least idf.
-COMMON, LEAST_IDF = 0.01, 0.8
+COMMON, LEAST_IDF = 0.01, 0.95
+#: Texts of a block, by mean.
+BLOCK = 256
 #: Shingles that a task counts at once.
 CHUNK = 2_000_000
 
@@ -61,9 +64,12 @@ def weighted(raw: bytes, heavy: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard: the sum of the smaller weights over the sum of the larger ones."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    least = float(np.minimum(a[1][i], b[1][j]).sum())
-    total = float(a[1].sum() + b[1].sum()) - least
+    least = 0.0
+    if len(a[0]) and len(b[0]):
+        at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+        hit = a[0][at] == b[0]
+        least = float(np.minimum(a[1][at[hit]], b[1][hit]).sum())
+    total = float(a[1].sum()) + float(b[1].sum()) - least
     return least / total if total else 1.0
 
 
@@ -156,29 +162,104 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarra
     return h[order], np.maximum(LEAST_IDF, LEAST_IDF + (1 - LEAST_IDF) * np.log(1 / share) / math.log(1 / COMMON))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, heavy, threshold: float) -> DataFrame:
-    """pairs(a, b) with the weighted Jaccard of their texts; texts(key, text)."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs(a, b, ...) with the two texts, ta and tb; texts(key, text)."""
+    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+    return one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+
+
+class _Leaders:
+    """The weighted shingles of the last few leaders: a hot leader meets many texts in a row."""
+
+    def __init__(self, heavy):
+        self.heavy, self.last = heavy, {}
+
+    def get(self, key: bytes, text) -> tuple[np.ndarray, np.ndarray]:
+        if key not in self.last:
+            if len(self.last) > 64:
+                self.last.clear()
+            self.last[key] = weighted((text.as_py() or "").encode(), *self.heavy)
+        return self.last[key]
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, heavy) -> DataFrame:
+    """pairs(a, b) with the weighted Jaccard of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, idf = heavy.value
-        last: dict[bytes, tuple] = {}
+        leaders = _Leaders(heavy.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                ta, tb = part.column(2), part.column(3)
-                sims = []
-                for k in range(len(a)):
-                    if a[k] not in last:
-                        if len(last) > 64:
-                            last.clear()
-                        last[a[k]] = weighted((ta[k].as_py() or "").encode(), h, idf)
-                    sims.append(similarity(last[a[k]], weighted((tb[k].as_py() or "").encode(), h, idf)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+                keys, ta, tb, got = part.column(0).to_pylist(), part.column(2), part.column(3), []
+                for k, key in enumerate(keys):
+                    own = weighted((tb[k].as_py() or "").encode(), *heavy.value)
+                    got.append(similarity(leaders.get(key, ta[k]), own))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64())], names=["a", "b", "sim"])
+
+    return _with_texts(pairs, texts).select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
+
+
+def _block_links(queries: list[tuple], texts: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """A link (query, text) for each query and class of texts that it is similar to. Rows are (key, class, shingles, weights)."""
+    lists: dict[int, list[int]] = {}
+    for k, (_, _, found, _) in enumerate(texts):
+        for h in found.tolist():
+            lists.setdefault(h, []).append(k)
+    sizes = np.array([t[3].sum() for t in texts])
+    flat = [dict(zip(t[2].tolist(), t[3].tolist(), strict=True)) for t in texts] if any((t[3] != t[3][:1]).any() for t in texts) else None
+    level = None if flat else np.array([t[3][0] if len(t[3]) else 0.0 for t in texts])
+    for key, own, found, weights in queries:
+        inter = np.zeros(len(texts))
+        for h, w in zip(found.tolist(), weights.tolist(), strict=True):
+            at = lists.get(h)
+            if at:
+                inter[at] += np.minimum(w, level[at]) if flat is None else np.minimum(w, [flat[k][h] for k in at])
+        total = weights.sum() + sizes - inter
+        told = set()
+        for k in np.flatnonzero(inter >= threshold * total - 1e-9):
+            other, c = texts[k][:2]
+            if c != own and c not in told:
+                told.add(c)
+                yield key, other
+
+
+def _rest(lone: DataFrame, members: DataFrame, texts: DataFrame, heavy, threshold: float) -> DataFrame:
+    """Links (a, b) between the texts outside their leader's class and all texts of that leader.
+
+    lone and members: (a, b, c), a leader, a text and its class. Texts are dealt to blocks by digest; a task
+    joins a block of queries with a block of texts, so that a hot leader is spread over many.
+    """
+    blocks = lambda df, n: df.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    counts = blocks(lone, "nq").join(blocks(members, "nt"), "a")
+    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
+    q = lone.join(counts, "a").select("a", place("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"), F.lit(0).alias("side"), "b", "c")
+    t = members.join(counts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), place("nt").alias("j"), F.lit(1).alias("side"), "b", "c")
+    rows = q.unionByName(t).join(texts.select(F.col("key").alias("b"), "text"), "b")
 
-    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides, links = None, ([], []), []
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.binary()) for j in range(2)], names=["a", "b"])
+            links.clear()
+            return out
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                cols = [part.column(j).to_pylist() for j in range(7)]
+                for a, i, j, side, b, c, text in zip(*cols, strict=True):
+                    if (a, i, j) != now:
+                        links.extend(_block_links(*sides, threshold))
+                        now, sides = (a, i, j), ([], [])
+                    sides[side].append((b, c, *weighted((text or "").encode(), *heavy.value)))
+            if links:
+                yield batch_of()
+        links.extend(_block_links(*sides, threshold))
+        yield batch_of()
+
+    dealt = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b").select("a", "i", "j", "side", "b", "c", "text")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -201,7 +282,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), n_links, fp (digest of the text)."""
+    """A row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), fp (digest of the text)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.count()
@@ -221,33 +302,45 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = signed.groupBy("fp").agg(F.min("id").alias("least"), F.min("bands").alias("bands"))
 
     slots = nodes.select(F.posexplode("bands").alias("band", "h"), F.col("fp").alias("b"))
-    leads = slots.groupBy("band", "h").agg(F.min("b").alias("a"), F.count("*").alias("m")).where("m > 1").select("band", "h", "a")
-    members = reliable_checkpoint(slots.join(leads, ["band", "h"]).where("a <> b").select("band", "h", "a", "b"))
+    full = slots.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1")
+    big = reliable_checkpoint(slots.join(full, ["band", "h"]))
+    reach = big.groupBy("b").agg(F.sum("m").alias("reach"))
+    ranked = reliable_checkpoint(big.join(reach, "b").select("band", "h", "b", "reach"))
+    leads = ranked.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("a"))
+    members = reliable_checkpoint(ranked.join(leads, ["band", "h"]).where("a <> b").select("band", "h", "a", "b", "reach"))
     pairs = reliable_checkpoint(members.select("a", "b").distinct())
 
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "least"), "fp").select(F.col("fp").alias("key"), "least")
     source = marked.join(involved, (marked.fp == involved.key) & marked.id.eqNullSafe(involved.least))
     kept = reliable_checkpoint(source.select("key", "text").dropDuplicates(["key"]))
-    first = reliable_checkpoint(_verified(pairs, kept, heavy, threshold))
-    links = first.where(F.col("sim") >= threshold)
+    first = reliable_checkpoint(_verified(pairs, kept, heavy))
+    links = first.where(F.col("sim") >= threshold).select("a", "b")
     classes = components(links)
 
-    # Texts that a bucket's leader doesn't match meet the others of that bucket.
-    seen = members.join(first, ["a", "b"]).join(classes.select(F.col("key").alias("b"), F.col("label").alias("c")), "b", "left")
-    lone = seen.where(F.col("sim") < threshold).select("band", "h", F.col("b").alias("u"), F.col("sim").alias("su"), F.coalesce("c", "b").alias("cu"))
-    rest = seen.select("band", "h", F.col("b").alias("v"), F.col("sim").alias("sv"), F.coalesce("c", "b").alias("cv"))
-    able = (F.col("cu") != F.col("cv")) & (F.abs(F.col("su") - F.col("sv")) <= 1 - threshold + 1e-9) & ((F.col("sv") >= threshold) | (F.col("u") < F.col("v")))
-    more = lone.join(rest, ["band", "h"]).where(able).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    second = reliable_checkpoint(_verified(more, kept, heavy, threshold)).where(F.col("sim") >= threshold)
-    if not second.isEmpty():
-        links = links.unionByName(second)
+    def classed(rows: DataFrame, end: str, name: str) -> DataFrame:
+        return rows.join(classes.select(F.col("key").alias(end), F.col("label").alias("__c")), end, "left").withColumn(name, F.coalesce("__c", end)).drop("__c")
+
+    def apart(columns: list[str]) -> DataFrame:
+        """The members that aren't in their leader's class."""
+        return classed(classed(members.select(*columns).distinct(), "a", "ca"), "b", "c").where("ca <> c").drop("ca")
+
+    lone = reliable_checkpoint(apart(["band", "h", "a", "b", "reach"]))
+    second = lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l"))
+    again = lone.join(second, ["band", "h"]).where("b <> l").select(F.col("l").alias("a"), "b").distinct()
+    more = reliable_checkpoint(_verified(again, kept, heavy)).where(F.col("sim") >= threshold).select("a", "b")
+    if not more.isEmpty():
+        links = links.unionByName(more)
         classes = components(links)
 
-    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").agg(F.count("*").alias("n_links"))
+    left = reliable_checkpoint(apart(["a", "b"]))
+    everyone = classed(members.select("a", "b").distinct().join(left.select("a").distinct(), "a"), "b", "c")
+    last = reliable_checkpoint(_rest(left.select("a", "b", "c"), reliable_checkpoint(everyone).select("a", "b", "c"), kept, heavy, threshold))
+    if not last.isEmpty():
+        classes = components(links.unionByName(last))
+
     named = nodes.select("fp", "least").join(classes, F.col("fp") == F.col("key"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    of = named.join(names, "label").join(degree, F.col("fp") == F.col("key"), "left").select("fp", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("id", "fp").join(of, "fp").select(F.col("id").alias(id_col), "class_id", "n_links", "fp")
+    return signed.select("id", "fp").join(named.join(names, "label").select("fp", "class_id"), "fp").select(F.col("id").alias(id_col), "class_id", "fp")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +356,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: class and number of links of every document."""
+    """op7: the class of every document."""
     from .common import table
 
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

@@ -228,7 +228,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: counts and digests of the base spans, and all spans, of every document."""
     rows = find(table(spark, sf_dir, "documents"))
-    counts = [F.when(F.col("base") == "", 0).otherwise(F.size(F.filter(F.split("base", ","), lambda s, k=k: s.startswith(f"{k}:")))).cast("long").alias(f"n_{k}") for k in KINDS]
+    marks = lambda kind: F.filter(F.split("base", ","), lambda s: s.startswith(f"{kind}:"))
+    counts = [F.size(marks(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     terms = F.array_join(F.transform("added", lambda a: F.concat_ws(":", F.lit("term"), a["start"].cast("string"), a["end"].cast("string"))), ",")
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("added") > 0, terms))
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), spans.alias("spans"))

@@ -14,6 +14,8 @@ executor repeats the same pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,39 +34,74 @@ CACHE = 400_000
 
 _workers: dict[str, Callable[[str], np.ndarray]] = {}
 
+#: Characters whose lower case, composition and class are beyond doubt: printable ASCII and Latin letters up to U+017E.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017e"
+#: The vocabulary's own splitting pattern over such characters in lower case (fixed value).
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+#: Longest chunk that is encoded word by word.
+_LONG = 200
+
+
+def word_ranks(path: str) -> tuple[dict[bytes, int], set[str]]:
+    """Byte strings of the vocabulary with their ids, byte 255 (no part of UTF-8) for the word end; and the special tokens.
+
+    Ids rise with the rank of merges, and a byte with its word end comes before all merges, so merging the pair with the least id gives the library's ids.
+    """
+    from .bpe import byte_alphabet
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, end = byte_alphabet(), spec["model"]["end_of_word_suffix"]
+    special = {t["content"] for t in spec["added_tokens"]}
+    ranks = {}
+    for t, i in spec["model"]["vocab"].items():
+        if t not in special:
+            body = t.removesuffix(end)
+            ranks[bytes(alphabet[c] for c in body) + (b"\xff" if body != t else b"")] = i
+    return ranks, special
+
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> uint32 ids, as the tokenizers library gives without special tokens added.
 
-    The vocabulary's pieces never hold white space, so chunks between it are encoded alone
-    and remembered. Texts with separators that the library's pattern takes for ordinary characters are encoded whole.
+    The vocabulary's pieces never hold white space, so chunks between it are encoded alone and remembered. Plain chunks
+    are lowered, split and merged word by word, others (special tokens, other scripts, very long ones) by the library. Texts with separators
+    that the library takes for ordinary characters go to it whole.
     """
     if path not in _workers:
+        import tiktoken
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.no_truncation(), tok.no_padding()
+        ranks, special = word_ranks(path)
+        merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         odd = [chr(c) for c in range(0x1C, 0x20)]
         known: dict[str, bytes] = {}
 
-        def whole(text: str) -> np.ndarray:
-            return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+        def chunk_ids(chunk: str) -> bytes:
+            if len(chunk) > _LONG or not _PLAIN.fullmatch(chunk) or "<|" in chunk and any(s in chunk for s in special):
+                return np.array(tok.encode(chunk, add_special_tokens=False).ids, np.uint32).tobytes()
+            ids: list[int] = []
+            for w in _WORD.findall(chunk.lower()):
+                ids += merge(w.encode() + b"\xff")
+            return np.array(ids, np.uint32).tobytes()
 
         def encode(text: str) -> np.ndarray:
             if any(c in text for c in odd):
-                return whole(text)
-            chunks = text.split()
-            try:
-                return np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32)
-            except KeyError:
-                pass
-            new = [c for c in dict.fromkeys(chunks) if c not in known]
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, np.uint32).tobytes()
-            return np.frombuffer(b"".join([known[c] for c in chunks]), np.uint32)
+                return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
+            out = []
+            for c in text.split():
+                got = known.get(c)
+                if got is None:
+                    got = chunk_ids(c)
+                    if len(c) < 64:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known[c] = got
+                out.append(got)
+            return np.frombuffer(b"".join(out), np.uint32)
 
         _workers[path] = encode
     return _workers[path]

@@ -538,3 +538,22 @@ SELECT row_number() OVER (ORDER BY key) - 1 AS path_id, key, n_values FROM (SELE
 def _(spark, d):
     nodes, values = P.merge(P.double(P.initial_paths(X.graph_kmers(parts(spark, d), 2)), 1))
     return nodes.join(values.groupBy("path_id").agg(F.count("*").alias("n_values")), "path_id").select("path_id", "key", "n_values")
+
+
+# ------------------------------------------------------------- ranges and the baseline
+
+
+@_query("range_functions", "pattern n:b n_bits:b inside:b", "(SELECT pattern, CASE WHEN sp > ep THEN 0 ELSE ep + 1 - sp END AS n, CASE WHEN sp = 0 THEN 1 ELSE CAST(floor(log2(sp)) AS BIGINT) + 1 END AS n_bits, greatest(least(100, ep), sp) AS inside FROM found)")
+def _(spark, d):
+    from ..functions import ranges as G
+
+    sp, ep = F.col("sp"), F.col("ep")
+    return found(spark, d).select("pattern", G.length(sp, ep).alias("n"), G.bit_length(sp).alias("n_bits"), G.bound(F.lit(100), sp, ep).alias("inside"))
+
+
+@_query("text_search", "pattern n:b", "(SELECT pattern, coalesce(n, 0) AS n FROM pats LEFT JOIN (SELECT substr(tail, 1, CAST(i AS BIGINT)) AS pattern, count(*) AS n FROM occ, range(1, 5) t(i) GROUP BY 1) USING (pattern))")
+def _(spark, d):
+    from ..operators import textsearch
+
+    texts = rows(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "comp"))), lambda x: x["comp"]), "").alias("text"))
+    return textsearch.count(texts, patterns(spark, d), 1).select(F.col("pid").alias("pattern"), "n")

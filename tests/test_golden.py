@@ -120,3 +120,17 @@ def test_node_ids(spark):
     got = [r.n for r in rows.select(N.parse("t").alias("n")).collect()]
     assert got == [7 << 11 | 3, 7 << 11 | 1 << 10 | 3, 0, 0, 0, 0, 9 << 11 | 1023]
     assert [r.s for r in rows.select(N.show(N.parse("t")).alias("s")).collect()][:2] == ["7:3", "7:-3"]
+
+
+def test_text_as_linear_graph(spark):
+    """A text's suffixes: the classic suffix array and LCP array."""
+    text = "GCATCATA$"
+    rows = [(0, digits(text[i:]), 0, node(i), None) for i in range(len(text))]
+    paths = spark.createDataFrame([(f, lab, frm, to, p) for f, lab, p, frm, to in rows], "file int, label string, from_node long, to_node long, preds int")
+    nodes, values = P.merge(paths)
+    order = [r.node >> 11 for r in values.orderBy("path_id").collect()]
+    assert order == [8, 7, 5, 2, 4, 1, 0, 6, 3]
+    full = nodes.join(values, "path_id").select("path_id", "node").collect()
+    suffix = {r.path_id: digits(text[r.node >> 11 :]) for r in full}
+    keyed = spark.createDataFrame(sorted(suffix.items()), "path_id long, key string")
+    assert [r.lcp for r in I.lcp_of(keyed).orderBy("path_id").collect()] == [0, 0, 1, 2, 0, 3, 0, 0, 1]

@@ -76,6 +76,11 @@ def lcp(a: Column | str, b: Column | str) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.when(first == 0, F.length(a)).otherwise(first - 1))
 
 
+def range_lcps(first_a: Column | str, last_a: Column | str, first_b: Column | str, last_b: Column | str) -> tuple[Column, Column]:
+    """Least and greatest common prefix of labels from two ranges in order, the first before the second."""
+    return lcp(first_a, last_b), lcp(last_a, first_b)
+
+
 def prefixes(label: Column | str, least: int = 1) -> Column:
     """All prefixes of a label, from a least length on."""
     label = _col(label)

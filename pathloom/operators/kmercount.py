@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
@@ -22,15 +22,23 @@ def kmers_of(index: PathIndex, k: int, with_n: bool = False) -> DataFrame:
     return index.occurrences.select(F.substr("label", F.lit(1), F.lit(k)).alias("kmer")).where(F.length("kmer") == k).where(F.col("kmer").rlike(_wanted(with_n))).distinct()
 
 
-def expand_kmers(index: PathIndex, k: int, with_n: bool = False) -> DataFrame:
-    """kmer, sp, ep of all k-mers that backward steps find, for any k: one join for each position. Over the order, some may not occur."""
+def expand_kmers(index: PathIndex, k: int, with_n: bool = False, report: Column | None = None, expand: Column | None = None) -> DataFrame:
+    """kmer, sp, ep of k-mers that backward steps find, for any k: one join for each position. Over the order, some may not occur.
+
+    By default the k-mers of length k are reported. ``report`` and ``expand`` (over kmer, sp, ep) choose which states of up to k characters are
+    reported, and which go on.
+    """
     digits = list(range(1, 6 if with_n else 5))
     now = index.key_ranges.where((F.length("prefix") == 1) & F.col("prefix").cast("int").isin(digits)).select(F.col("prefix").alias("kmer"), "sp", "ep")
+    report = F.length("kmer") == k if report is None else report
+    out = now.where(report)
     for _ in range(k - 1):
-        every = now.select("kmer", "sp", "ep", F.explode(F.array(*[F.lit(d) for d in digits])).alias("comp"))
+        live = now if expand is None else now.where(expand)
+        every = live.select("kmer", "sp", "ep", F.explode(F.array(*[F.lit(d) for d in digits])).alias("comp"))
         back = step_back(index, every, "comp", ("kmer", "comp"))
         now = kept(back.select(F.concat(F.col("comp").cast("string"), "kmer").alias("kmer"), "sp", "ep"))
-    return now
+        out = out.unionByName(now.where(report))
+    return out
 
 
 def count_kmers(index: PathIndex, k: int, with_n: bool = False, force: bool = False) -> int:

@@ -144,3 +144,23 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
 def useful_patterns(patterns: DataFrame) -> DataFrame:
     """Patterns that aren't empty and don't consist of N alone."""
     return patterns.where(~F.col("pattern").rlike("^N*$"))
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """id, mapped of a binary mapping file: first id, next id, and a new id for each from the first to before the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            for data in b.column(0):
+                raw = memoryview(data.as_buffer())
+                first, end = struct.unpack_from("<QQ", raw, 0)
+                if end < first or len(raw) < 16 + 8 * (end - first):
+                    raise ValueError("no valid mapping")
+                for at in range(first, end, 65536):
+                    n = min(65536, end - at)
+                    to = np.frombuffer(raw, "<i8", n, 16 + 8 * (at - first))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array(to)], names=["id", "mapped"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, mapped long")

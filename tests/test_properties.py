@@ -177,3 +177,25 @@ def test_large_running_sums(spark):
     got = I.running_sums(rows, "path_id", total, {"a": "x", "r": "y"}).where(F.col("path_id").isin(0, 16383, 16384, 39999)).collect()
     for row in got:
         assert row.x == sum(i % 7 for i in range(row.path_id + 1)) and row.y == sum(i % 3 for i in range(row.path_id + 1))
+
+
+def test_expand_with_own_conditions(spark):
+    labels, edges = graph(1)
+    index = I.build_index(X.graph_kmers(frames(spark, labels, edges), 2), steps=1)
+    truth = {t[:n] for t in brute(labels, edges, 4) for n in range(1, 4)}
+    got = {r.kmer for r in K.expand_kmers(index, 3, with_n=True, report=F.lit(True)).collect()}
+    assert got == truth
+    got = {r.kmer for r in K.expand_kmers(index, 3, with_n=True, report=F.length("kmer") >= 1, expand=~F.col("kmer").startswith("1")).collect()}
+    assert got == {t for t in truth if "1" not in t[1:]}
+
+
+def test_binary_mapping(spark, tmp_path):
+    import struct
+
+    (tmp_path / "m").write_bytes(struct.pack("<QQ3Q", 5, 8, 50, 60, 70))
+    assert sorted(map(tuple, R.read_mapping(spark, str(tmp_path / "m")).collect())) == [(5, 50), (6, 60), (7, 70)]
+
+
+def test_range_lcps(spark):
+    row = spark.createDataFrame([("1123", "1133", "1134", "1211")], "a string, b string, c string, d string")
+    assert tuple(row.select(*A.range_lcps("a", "b", "c", "d")).first()) == (1, 3)

@@ -298,7 +298,9 @@ def _(spark, d):
 @_query("index_stats", "path_nodes:b edges:b max_query:b nodes_with_values:b", "(SELECT (SELECT count(*) FROM nodes) AS path_nodes, (SELECT count(*) FROM edges) AS edges, 4 AS max_query, (SELECT count(DISTINCT path_id) FROM node_values) AS nodes_with_values)")
 def _(spark, d):
     index = event_index(spark, d)
-    return I.statistics(index).select("path_nodes", "edges", "max_query").crossJoin(index.node_values.agg(F.countDistinct("path_id").alias("nodes_with_values")))
+    head = I.statistics(index).select("path_nodes", "edges", "max_query", F.lit(None).cast("long").alias("path_id"))
+    own = index.node_values.select(*[F.lit(None).cast("long").alias(c) for c in ("path_nodes", "edges", "max_query")], "path_id")
+    return head.unionByName(own).agg(F.max("path_nodes").alias("path_nodes"), F.max("edges").alias("edges"), F.max("max_query").alias("max_query"), F.countDistinct("path_id").alias("nodes_with_values"))
 
 
 @_query("lcp_array", "path_id:b lcp:b", "lcp")
@@ -494,9 +496,9 @@ def _(spark, d):
 @_query("verify_failures", "failures:b labels:b", "(SELECT 0 AS failures, count(*) AS labels FROM (SELECT DISTINCT CASE WHEN contains(label, '0') THEN substr(label, 1, CAST(strpos(label, '0') AS BIGINT)) ELSE label END AS l FROM kp))")
 def _(spark, d):
     index = event_index(spark, d)
-    bad = V.failures(index, index.occurrences, most=None).agg(F.count("*").alias("failures"))
-    labels = index.occurrences.select(F.regexp_extract("label", "^([^0]*0?)", 1).alias("l")).agg(F.countDistinct("l").alias("labels"))
-    return bad.crossJoin(labels)
+    bad = V.failures(index, index.occurrences, most=None).select("what", F.lit(None).cast("string").alias("l"))
+    labels = index.occurrences.select(F.lit(None).cast("string").alias("what"), F.regexp_extract("label", "^([^0]*0?)", 1).alias("l"))
+    return bad.unionByName(labels).agg(F.count("what").alias("failures"), F.countDistinct("l").alias("labels"))
 
 
 # ------------------------------------------------------------- a branching graph with cycles

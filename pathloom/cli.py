@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +20,9 @@ from .sources import kmers as R
 
 
 def read(spark: SparkSession, names: list[str], text: bool) -> DataFrame:
-    """K-mers of base names or file names."""
+    """K-mers of files, by name or by base name without its suffix."""
     end = R.TEXT if text else R.BINARY
-    paths = [n if n.endswith(end) else n + end for n in names]
+    paths = [n if os.path.splitext(n)[1] else n + end for n in names]
     return R.read_text(spark, paths) if text else R.read_binary(spark, paths)
 
 
@@ -71,7 +72,7 @@ def describe(spark: SparkSession, args: argparse.Namespace) -> int:
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> int:
     for name in args.names:
-        print(R.export_binary(read(spark, [name], True), name.removesuffix(R.TEXT)))
+        print(R.export_binary(read(spark, [name], True), os.path.splitext(name)[0]))
     return 0
 
 

@@ -17,8 +17,8 @@ from ..functions import alphabet as A
 from ..functions import nodeid as N
 
 SCHEMA = "file int, label string, preds int, succs int, from_node long, to_node long"
-#: Largest k of packed keys; suffixes of the two formats (fixed values).
-MAX_K, BINARY, TEXT = 16, ".graph", ".gcsa2"
+#: Largest k of packed keys; suffixes that base names get, binary and text.
+MAX_K, BINARY, TEXT = 16, ".graph", ".kmers"
 #: A section's header: flags, records, k.
 _HEADER = "<QQQ"
 _NO_NODE = -1  # all bits set

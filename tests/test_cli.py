@@ -9,8 +9,8 @@ from worked_example import lines  # noqa: E402
 
 def test_build_query_count_describe_convert(spark, tmp_path, capsys):
     name = str(tmp_path / "g")
-    (tmp_path / "g.gcsa2").write_text(lines())
-    assert main(["convert", name + ".gcsa2"], spark) == 0 and (tmp_path / "g.graph").exists()
+    (tmp_path / "g.kmers").write_text(lines())
+    assert main(["convert", name + ".kmers"], spark) == 0 and (tmp_path / "g.graph").exists()
     for options in (["-t"], []):
         assert main(["build", *options, "-d", "1", "-v", "-o", name + ".index", name], spark) == 0
     (tmp_path / "p").write_text("CAT\nGG\nNN\nAT\nGCATC\n")

@@ -116,8 +116,8 @@ def test_compare_indexes(spark, tmp_path):
 
 def test_text_and_binary_files(spark, tmp_path):
     text = "GCA\t1:0\t#\tT\t5:0,6:0\nbroken line\nTA$\t9:0\tA,G\t$\t11:0\nNNX\t7:-3\tA,C\tT\t8:0\n"
-    (tmp_path / "a.gcsa2").write_text(text)
-    rows = R.read_text(spark, [str(tmp_path / "a.gcsa2")])
+    (tmp_path / "a.kmers").write_text(text)
+    rows = R.read_text(spark, [str(tmp_path / "a.kmers")])
     got = sorted(map(tuple, rows.collect()), key=str)
     assert got == sorted([(0, "321"[0:1] + "21", 64, 16, 1 << 11, 5 << 11), (0, "321", 64, 16, 1 << 11, 6 << 11), (0, "410", 2 | 8, 1, 9 << 11, None), (0, "555", 2 | 4, 16, 7 << 11 | 1 << 10 | 3, 8 << 11)], key=str)
     assert R.checked(rows) == 3

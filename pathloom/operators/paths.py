@@ -3,19 +3,26 @@
 A generation is paths(file, label, from_node, to_node, preds); a null target means the path is final.
 
 The key of a path is the shortest prefix of its label such that all labels with that prefix have the same value.
-All prefixes of all labels are grouped in one shuffle with partial aggregation (least and greatest value), so no
-global sort and no window over all rows is needed; short prefixes, which all rows share, shrink before the shuffle.
+There are two ways to it, both without a one-task sort or window:
+
+* short labels: all prefixes of all labels are grouped in one shuffle with partial aggregation (least and greatest value),
+  so short prefixes, which all rows share, shrink before the shuffle;
+* labels over PREFIXES digits: labels are ranked by range partitions, runs of equal values are numbered by running sums in blocks,
+  and a label is compared with the nearest labels of other values, before and after its run, which it meets by rank.
+  The work doesn't grow with the square of the length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import nodeid as N
 from .ranking import dense_ids, kept
 
+#: Longest labels whose keys are found by grouping prefixes.
+PREFIXES = 12
 PATHS = ("file", "label", "from_node", "to_node", "preds")
 
 
@@ -40,15 +47,36 @@ def initial_paths(kmers: DataFrame) -> DataFrame:
     return kmers.select(*PATHS)
 
 
-def shortest_keys(labels: DataFrame, low: Column, high: Column) -> DataFrame:
-    """label and key of every label in rows of (label, value); no row for a label that has several values.
+def shortest_keys(values: DataFrame) -> DataFrame:
+    """label and key of every label that has one value; values(label, value) may have several rows for a label."""
+    one = kept(values.groupBy("label").agg(F.min("value").alias("low"), F.max("value").alias("high")).select("label", F.when(F.col("low") == F.col("high"), F.col("low")).alias("value")))
+    longest = one.agg(F.max(F.length("label"))).first()[0] or 0
+    return keys_by_borders(one) if longest > PREFIXES else keys_by_prefixes(one)
 
-    low and high: expressions for the least and greatest value of a group.
-    """
-    spread = labels.select("label", "value", F.explode(A.prefixes("label")).alias("prefix"))
-    alike = spread.groupBy("prefix").agg(low.alias("__a"), high.alias("__b")).where(F.col("__a") == F.col("__b")).select("prefix")
-    own = labels.select("label").distinct().select("label", F.explode(A.prefixes("label")).alias("prefix"))
-    return own.join(alike, "prefix").groupBy("label").agg(F.min_by("prefix", F.length("prefix")).alias("key"))
+
+def keys_by_prefixes(one: DataFrame) -> DataFrame:
+    """``shortest_keys`` of one row for each label, value null where it has several, by grouping all prefixes."""
+    spread = one.select("label", "value", F.explode(A.prefixes("label")).alias("prefix"))
+    alike = spread.groupBy("prefix").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.bool_or(F.col("value").isNull()).alias("none")).where("a = b AND NOT none").select("prefix")
+    return spread.select("label", "prefix").join(alike, "prefix").groupBy("label").agg(F.min_by("prefix", F.length("prefix")).alias("key"))
+
+
+def keys_by_borders(one: DataFrame) -> DataFrame:
+    """As ``keys_by_prefixes``, by comparing each label with the nearest ones of other values."""
+    from .index import running_sums
+
+    ranked = dense_ids(one, ["label"], "id")
+    before = ranked.select((F.col("id") + 1).alias("id"), F.col("value").alias("before"), F.lit(True).alias("there"))
+    starts = ranked.join(before, "id", "left").select("id", "label", "value", F.when(F.col("there") & (F.col("value") == F.col("before")), 0).otherwise(1).alias("start"))
+    starts = kept(starts)
+    runs = running_sums(starts.select("id", "start"), "id", starts.count(), {"start": "run"})
+    rows = kept(starts.join(runs, "id").select("id", "label", "value", "run"))
+    ends = rows.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    left = rows.select((F.col("id") + 1).alias("first"), F.col("label").alias("left"))
+    right = rows.select((F.col("id") - 1).alias("last"), F.col("label").alias("right"))
+    borders = ends.join(left, "first", "left").join(right, "last", "left").select("run", "left", "right")
+    shared = F.greatest(F.coalesce(A.lcp("label", "left"), F.lit(0)), F.coalesce(A.lcp("label", "right"), F.lit(0)))
+    return rows.where("value IS NOT NULL").join(borders, "run").select("label", F.substr("label", F.lit(1), F.least(shared + 1, F.length("label"))).alias("key"))
 
 
 def prune(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +87,7 @@ def prune(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     starts = paths.groupBy("label").agg((F.min("from_node") == F.max("from_node")).alias("one"), (F.min("file") == F.max("file")).alias("own"))
     value = paths.select("label", F.struct("from_node", "file").alias("value"))
-    keys = shortest_keys(value, F.min("value"), F.max("value"))
+    keys = shortest_keys(value)
     rows = paths.join(starts, "label").join(keys, "label", "left")
     unique = F.col("one") & F.col("own")
     marked = rows.withColumn("kind", F.when(unique, "unique").when(F.col("one"), "redundant").when(F.col("to_node").isNull(), "nondeterministic").otherwise("unsorted"))
@@ -102,7 +130,7 @@ def merge(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     The value of a label is its set of starts; labels with one prefix and one set become one node.
     """
     sets = kept(paths.groupBy("label").agg(F.sort_array(F.collect_set("from_node")).alias("value"), F.bit_or("preds").alias("preds")))
-    keys = shortest_keys(sets.select("label", "value"), F.min("value"), F.max("value"))
+    keys = shortest_keys(sets.select("label", "value"))
     keyed = kept(sets.join(keys, "label"))
     nodes = dense_ids(keyed.groupBy("key").agg(F.bit_or("preds").alias("preds")), ["key"], "path_id").select("path_id", "key", "preds")
     values = keyed.select("key", F.explode("value").alias("node")).distinct().join(nodes.select("path_id", "key"), "key").select("path_id", "node")

@@ -199,3 +199,30 @@ def test_binary_mapping(spark, tmp_path):
 def test_range_lcps(spark):
     row = spark.createDataFrame([("1123", "1133", "1134", "1211")], "a string, b string, c string, d string")
     assert tuple(row.select(*A.range_lcps("a", "b", "c", "d")).first()) == (1, 3)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_both_ways_to_keys_agree(spark, seed):
+    labels, edges = graph(seed)
+    rng = random.Random(seed)
+    rows = [(t, rng.choice([None, 1, 1, 2])) for t in brute(labels, edges, 4)] + [("60", 3), ("0", None)]
+    one = spark.createDataFrame(rows, "label string, value long").repartition(3)
+    want = {}
+    for t, v in rows:
+        for n in range(1, len(t) + 1):
+            if v is not None and all(w == v for u, w in rows if u.startswith(t[:n])):
+                want[t] = t[:n]
+                break
+    assert {r.label: r.key for r in P.keys_by_prefixes(one).collect()} == want
+    assert {r.label: r.key for r in P.keys_by_borders(one).collect()} == want
+    assert P.keys_by_borders(one.where("false")).count() == 0
+
+
+def test_index_by_borders(spark, monkeypatch):
+    labels, edges = graph(4)
+    kmers = X.graph_kmers(frames(spark, labels, edges), 2)
+    want = P.merge(P.double(P.initial_paths(kmers), 2))
+    monkeypatch.setattr(P, "PREFIXES", 0)
+    got = P.merge(P.double(P.initial_paths(kmers), 2))
+    for a, b in zip(want, got, strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

@@ -92,11 +92,18 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(20240601)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_POW = np.empty(4096, np.uint64)
-_p = 1
-for _k in range(4096):
-    _POW[_k] = _p
-    _p = _p * 0x9E3779B97F4A7C15 % 2**64 or 1
+_BASE = 0x9E3779B97F4A7C15
+#: Bytes of a text hashed at once, if a space lets it be cut.
+_SEGMENT = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd number modulo 2 ** 64."""
+    got = _powers.get(base)
+    if got is None or len(got) < n:
+        got = _powers[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, _SEGMENT) - 1, base, np.uint64)]))
+    return got[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -109,18 +116,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word (runs of bytes other than ASCII white space), in order."""
+    """A 64-bit hash of every word (runs of bytes other than ASCII white space), in order.
+
+    A word's hash is a difference of running sums of its bytes times powers of a base, brought to the word's
+    start by the inverse power; so equal words have equal hashes anywhere, and the time is linear.
+    """
+    if len(raw) > _SEGMENT:
+        at = max(raw.rfind(c, 0, _SEGMENT) for c in (b" ", b"\n"))
+        if at > 0:
+            parts = [word_hashes(raw[:at])]
+            while at < len(raw):
+                end = len(raw) if len(raw) - at <= _SEGMENT else max(raw.rfind(c, at + 1, at + _SEGMENT) for c in (b" ", b"\n"))
+                end = end if end > at else min((x for x in (raw.find(c, at + 1) for c in (b" ", b"\n")) if x > 0), default=len(raw))
+                parts.append(_hashes(raw[at:end]))
+                at = end
+            return np.concatenate(parts)
+    return _hashes(raw)
+
+
+def _hashes(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
-    inside = ~_SPACE[b]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    edge = np.diff((~_SPACE[b]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.empty(0, np.uint64)
-    place = np.arange(len(b))
-    at = place - np.repeat(start, np.diff(start, append=len(b)))[: len(b)] if start[0] == 0 else place - np.repeat(np.append(0, start), np.diff(start, prepend=0, append=len(b)))
-    part = _BYTE[b] * _POW[at & 4095] + (at >> 12).astype(np.uint64)
-    part[~inside] = 0
-    return mix(np.add.reduceat(part, start) + (end - start).astype(np.uint64))
+    sums = np.empty(len(b) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[b] * _power(_BASE, len(b)), out=sums[1:])
+    back = _power(pow(_BASE, -1, 2**64), len(b))
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
 def windows(words: np.ndarray, size: int) -> np.ndarray:

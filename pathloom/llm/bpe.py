@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import ahocorasick
 import regex
@@ -22,12 +23,14 @@ from .common import map_text, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts between breaks, and pieces of them, that a worker remembers.
-CACHE = 250_000
+CACHE = 600_000
 
 #: Splits text before merging (fixed value of byte-level vocabularies); \s is Unicode white space.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space before other text always begins a piece.
 BREAK = regex.compile(r" (?=\S)")
+#: White space other than space and line feed.
+ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,7 +67,7 @@ class PrefixEncoder:
             if i not in taken and (i not in self.parts or self._stands(*self.parts[i], self.rank[i])):
                 self.auto.add_word(b.decode("latin-1"), (len(b), i))
         self.auto.make_automaton()
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
         self.pieces: dict[str, list[int]] = {}
 
     def _stands(self, left: int, right: int, under: float) -> bool:
@@ -137,28 +140,34 @@ class PrefixEncoder:
                 out += ids
         return out
 
-    def _entries(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Count, ids in text and bytes of each chunk between breaks."""
-        known, out = self.known, []
+    def _entry(self, chunk: str) -> tuple[str, bytes]:
+        ids = self._chunk(chunk)
+        return ",".join(map(str, ids)), self.decode_bytes(ids)
+
+    def _entries(self, text: str) -> list[tuple[str, bytes]]:
+        """Ids in text form and bytes of each chunk between breaks. Chunks behind a break are remembered by what follows its space."""
         if not text:
-            return out
-        first, *rest = text.split(" ") if "  " not in text and not regex.search(r" \s|\s $| $", text) else BREAK.split(text)
-        chunks = [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
-        for c in chunks:
-            got = known.get(c)
-            if got is None:
-                ids = self._chunk(c)
-                got = (len(ids), ",".join(map(str, ids)), self.decode_bytes(ids))
-                if len(c) < 64:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[c] = got
-            out.append(got)
-        return out
+            return []
+        plain = "  " not in text and " \n" not in text and text[-1] != " " and not ODD.search(text)
+        first, *rest = text.split(" ") if plain else BREAK.split(text)
+        known = self.known
+        out = list(map(known.get, rest))
+        if None in out:
+            for k in [k for k, got in enumerate(out) if got is None]:
+                c = rest[k]
+                got = known.get(c)
+                if got is None:
+                    got = self._entry(" " + c)
+                    if len(c) < 64:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known[c] = got
+                out[k] = got
+        return [self._entry(first), *out] if first else out
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        return [int(i) for _, ids, _ in self._entries(text) if ids for i in ids.split(",")]
+        return [int(i) for ids, _ in self._entries(text) if ids for i in ids.split(",")]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for."""
@@ -171,9 +180,9 @@ class PrefixEncoder:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, digest of what they decode to."""
         entries = self._entries(text)
-        ids = ",".join([e[1] for e in entries if e[0]])
-        back = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
-        return sum([e[0] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+        ids = ",".join([e[0] for e in entries])
+        back = b"".join([e[1] for e in entries]).decode("utf-8", "replace")
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
 
 
 _encoders: dict[str, PrefixEncoder] = {}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ class HashedLinear:
     lower: bool = True
     log_ratio: bool = True
     #: Features that the regression sees: those whose log-count ratio, times the root of their texts, is largest.
-    keep: int = 40_000
+    keep: int = 10_000
     l2: float = 1e-3
     #: Shares are of a text's features and so many more: a short text is drawn to the bias.
     smooth: int = 800
@@ -81,13 +82,15 @@ class HashedLinear:
         place = np.full(1 << self.bits, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         r = ratio[chosen] if self.log_ratio else np.ones(len(chosen), np.float32)
-        rows, cols, vals = [], [], []
+        sizes, cols, vals = np.zeros(len(texts), np.int64), [], []
         for i, t in enumerate(texts):
             idx = self.indexes(t)
-            at, n = np.unique(place[idx], return_counts=True)
-            at, n = (at[1:], n[1:]) if len(at) and at[0] < 0 else (at, n)
-            rows.append(np.full(len(at), i, np.int32)), cols.append(at), vals.append((n / (len(idx) + self.smooth)).astype(np.float32))
-        rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals) * r[np.concatenate(cols)] * 100
+            at = place[idx]
+            at, n = np.unique(at[at >= 0], return_counts=True)
+            sizes[i] = len(at)
+            cols.append(at), vals.append((n / (len(idx) + self.smooth)).astype(np.float32))
+        rows, cols, vals = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.concatenate(cols), np.concatenate(vals)
+        vals *= r[cols].astype(np.float32) * np.float32(100)
         w, b = self._regress(rows, cols, vals, y, own, len(chosen))
         self.weights[chosen] = w * r * 100
         self.bias = float(b)
@@ -99,9 +102,10 @@ class HashedLinear:
     def _regress(self, rows, cols, vals, y, own, width):
         """Logistic regression by accelerated gradient descent on both classes in equal weight; columns scaled by their spread."""
         use = own[rows]
-        rows, cols, vals = rows[use], cols[use], vals[use].astype(float)
+        if not use.all():
+            rows, cols, vals = rows[use], cols[use], vals[use]
         spread = np.sqrt(np.bincount(cols, vals**2, width) / max(1, own.sum())) + 1e-6
-        vals = vals / spread[cols]
+        vals = vals / spread[cols].astype(np.float32)
         share = np.where(y == 1, self.part / max(1, y[own].sum()), (1 - self.part) / max(1, (1 - y[own]).sum())) * own
         w, b, vw, vb = np.zeros(width), 0.0, np.zeros(width), 0.0
         norm = np.bincount(rows, vals**2, len(y))
@@ -109,9 +113,9 @@ class HashedLinear:
         for k in range(150):
             m = k / (k + 3)
             aw, ab = w + m * vw, b + m * vb
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * aw[cols], len(y)) + ab, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * aw.astype(np.float32)[cols], len(y)) + ab, -30, 30)))
             g = (p - y) * share
-            nw, nb = aw - step * (np.bincount(cols, vals * g[rows], width) + self.l2 * aw), ab - step * g.sum()
+            nw, nb = aw - step * (np.bincount(cols, vals * g.astype(np.float32)[rows], width) + self.l2 * aw), ab - step * g.sum()
             vw, vb, w, b = nw - w, nb - b, nw, nb
         return w / spread, b
 
@@ -137,12 +141,12 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: int | None = 0, folds: int = 5) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts of each class, those whose ids hash lowest.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: int | None = 0, folds: int = 5) -> DataFrame:
+    """y, rank, id, text of at most ``most`` labelled texts of each class, those whose ids hash lowest.
 
     The bound is this parameter; fitting on a bounded sample is all it limits. Rows whose
     crc32(doc_id as text) mod ``folds`` is ``fold`` aren't used. The ids are drawn from the label
-    table alone, so the broadcast side has at most ``2 * most`` rows.
+    table alone, so the broadcast side has at most ``2 * most`` rows. Of an id with several texts the least one counts.
     """
     usable = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     if fold is not None:
@@ -153,5 +157,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
         one = usable.where(F.col(label) == value).select(F.col("doc_id").alias("id"), F.lit(value).alias("y"), rank.alias("rank")).distinct().orderBy("rank", "id").limit(most)
         drawn = one if drawn is None else drawn.union(one)
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(drawn), "id").groupBy("id", "y", "rank").agg(F.min("text").alias("text")).toPandas().sort_values(["rank", "id", "y"])
-    return got["text"].tolist(), got["y"].tolist()
+    return texts.join(F.broadcast(drawn), "id").groupBy("id", "y", "rank").agg(F.min("text").alias("text")).select("y", "rank", "id", "text")
+
+
+def fit_sample(model: HashedLinear, sample: DataFrame, calibrate: float = 0.0) -> HashedLinear:
+    """``model`` fitted to a bounded sample (y, rank, id, text) in one task; only the weights of its ``keep`` features come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, texts = [], []
+        for b in batches:
+            y += b.column(0).to_pylist()
+            texts += b.column(3).to_pylist()
+        model.fit(texts, y, calibrate)
+        at = np.flatnonzero(model.weights)
+        row = [[model.bias], [model.scale[0]], [model.scale[1]], [at.tolist()], [model.weights[at].tolist()]]
+        kinds = [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.float32())]
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["bias", "a", "b", "at", "weights"])
+
+    one = sample.repartition(1).sortWithinPartitions("rank", "id", "y").mapInArrow(run, "bias double, a double, b double, at array<int>, weights array<float>")
+    got = one.toArrow()
+    if not len(got):  # an empty sample may have no task
+        return model.fit([], [])
+    model.bias, model.scale = got["bias"][0].as_py(), (got["a"][0].as_py(), got["b"][0].as_py())
+    model.weights = np.zeros(1 << model.bits, np.float32)
+    model.weights[got["at"].combine_chunks().flatten().to_numpy()] = got["weights"].combine_chunks().flatten().to_numpy()
+    return model

@@ -149,16 +149,16 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarra
     none = np.empty(0, np.uint64), np.empty(0)
     least = COMMON * total
     first = _count_pass(texts, COMMON / 2, None).groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    found = first.where(F.col("n") + COMMON / 2 * (total - F.col("docs")) >= least).where("n > 1").select("h").toPandas()["h"]
+    found = first.where(F.col("n") + COMMON / 2 * (total - F.col("docs")) >= least).where("n > 1").select("h").toArrow()["h"].to_numpy()
     if not len(found):
         return none
-    only = np.sort(found.to_numpy(np.int64).view(np.uint64))
-    exact = _count_pass(texts, None, only).groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toPandas()
+    only = np.sort(found.view(np.uint64))
+    exact = _count_pass(texts, None, only).groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toArrow()
     if not len(exact):
         return none
-    h = exact["h"].to_numpy(np.int64).view(np.uint64)
+    h = exact["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    share = exact["n"].to_numpy(float)[order] / total
+    share = exact["n"].to_numpy()[order] / total
     return h[order], np.maximum(LEAST_IDF, LEAST_IDF + (1 - LEAST_IDF) * np.log(1 / share) / math.log(1 / COMMON))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import filter_rows, map_text, table, windows, word_hashes
-from .linear import HashedLinear, labelled_sample
+from .linear import HashedLinear, fit_sample, labelled_sample
 
 #: Labelled texts of each class at most; probability from which a text is kept.
 SAMPLE, KEEP = 1500, 0.3
@@ -62,8 +62,8 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> HashedLinear:
     """The calibrated classifier of the ``quality`` label."""
-    texts, y = labelled_sample(docs, labels, "quality", sample)
-    return HashedLinear(sizes=(2, 3, 4), words=True, lower=False, log_ratio=False, bits=18, smooth=0).fit(texts, y, calibrate=0.25)
+    model = HashedLinear(sizes=(2, 3, 4), words=True, lower=False, log_ratio=False, bits=18, smooth=0)
+    return fit_sample(model, labelled_sample(docs, labels, "quality", sample), calibrate=0.25)
 
 
 def judge(docs: DataFrame, model: HashedLinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

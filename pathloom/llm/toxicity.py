@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_text, table
-from .linear import HashedLinear, labelled_sample
+from .linear import HashedLinear, fit_sample, labelled_sample
 
 #: Labelled texts of each class that training reads at most; score from which a text is toxic; held-out fold of FOLDS.
 SAMPLE, THRESHOLD, FOLD, FOLDS = 2500, 0.5, 0, 5
@@ -20,8 +20,7 @@ SAMPLE, THRESHOLD, FOLD, FOLDS = 2500, 0.5, 0, 5
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> HashedLinear:
     """The classifier of the ``toxic`` label."""
-    texts, y = labelled_sample(docs, labels, "toxic", sample, FOLD, FOLDS)
-    return HashedLinear(sizes=(3, 4, 5, 6)).fit(texts, y)
+    return fit_sample(HashedLinear(sizes=(3, 4, 5, 6)), labelled_sample(docs, labels, "toxic", sample, FOLD, FOLDS))
 
 
 def score(docs: DataFrame, model: HashedLinear, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pathloom.llm import quality, toxicity, url_filter
-from pathloom.llm.linear import HashedLinear, labelled_sample
+from pathloom.llm.linear import HashedLinear, fit_sample, labelled_sample
 
 GOOD, BAD = "the rain falls on green hills and slow rivers carry it far away".split(), "you idiot moron clown".split()
 
@@ -36,10 +36,20 @@ def test_linear_model_separates_held_out_rows():
 def test_training_ignores_the_held_out_fold(spark):
     docs = spark.createDataFrame([(k, t) for k, t, _ in corpus(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y) for k, _, y in corpus(200)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    texts, y = labelled_sample(docs, labels, "toxic", 1000, 0, 5)
+    rows = labelled_sample(docs, labels, "toxic", 1000, 0, 5).collect()
     want = {k for k in range(200) if zlib.crc32(str(k).encode()) % 5}
-    assert len(texts) == len(want) and sum(y) == sum(k % 3 == 0 for k in want)
-    assert len(labelled_sample(docs, labels, "toxic", 10)[0]) == 20
+    assert {r.id for r in rows} == want and len(rows) == len(want) and all(r.y == int(r.id % 3 == 0) for r in rows)
+    assert labelled_sample(docs, labels, "toxic", 10).count() == 20
+
+
+def test_fitting_in_a_task_equals_fitting_here(spark):
+    rows = [(y, k, k, t) for k, t, y in corpus(120)]
+    df = spark.createDataFrame(rows, "y int, rank long, id long, text string").repartition(5)
+    far = fit_sample(HashedLinear(), df, calibrate=0.25)
+    near = HashedLinear().fit([r[3] for r in rows], [r[0] for r in rows], calibrate=0.25)
+    assert np.array_equal(far.weights, near.weights) and (far.bias, far.scale) == (near.bias, near.scale)
+    empty = fit_sample(HashedLinear(), df.where("false"))
+    assert empty.score("x") == 0.5
 
 
 def test_toxicity_query(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -58,6 +60,15 @@ def map_text(df: DataFrame, fn: Callable[[list, list], dict | list], schema: str
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on and serve other operators."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[tuple[list, list[str]]]:
     """Short runs of (first column, second column as text without nulls): Python objects of few rows live at a time."""
     for at in range(0, batch.num_rows, rows):

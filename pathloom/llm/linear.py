@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import release, word_hashes
 
 _MUL = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
@@ -172,6 +172,8 @@ def fit_sample(model: HashedLinear, sample: DataFrame, calibrate: float = 0.0) -
         at = np.flatnonzero(model.weights)
         row = [[model.bias], [model.scale[0]], [model.scale[1]], [at.tolist()], [model.weights[at].tolist()]]
         kinds = [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.float32())]
+        y, texts, model.weights = [], [], None
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["bias", "a", "b", "at", "weights"])
 
     one = sample.repartition(1).sortWithinPartitions("rank", "id", "y").mapInArrow(run, "bias double, a double, b double, at array<int>, weights array<float>")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable_checkpoint, shingles, slices
+from .common import release, reliable_checkpoint, shingles, slices
 
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the least idf.
@@ -136,6 +136,8 @@ def _count_pass(texts: DataFrame, local: float | None, only: np.ndarray | None)
                     held, size, docs = [], 0, 0
         if docs:
             yield flush()
+            held = []
+            release()
 
     return texts.select(F.lit(0).alias("id"), "text").mapInArrow(run, "h long, n long, docs long")
 
@@ -257,6 +259,7 @@ def _rest(lone: DataFrame, members: DataFrame, texts: DataFrame, heavy, threshol
                 yield batch_of()
         links.extend(_block_links(*sides, threshold))
         yield batch_of()
+        release()
 
     dealt = rows.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j", "side", "b").select("a", "i", "j", "side", "b", "c", "text")
     return dealt.mapInArrow(run, "a binary, b binary").distinct()

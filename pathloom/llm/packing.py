@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import reliable_checkpoint, slices, table, tokenizer_path
+from .common import release, reliable_checkpoint, slices, table, tokenizer_path
 
 LENGTH, WINDOWS, MERGE, END = 4096, 64, 64, 2
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 _workers: dict[str, Callable[[str], np.ndarray]] = {}
 
@@ -180,6 +180,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for window in packer.rest():
             emit(window, True)
         yield batch_of()
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
 

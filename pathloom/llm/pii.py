@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import reliable_checkpoint, slices, table
+from .common import release, reliable_checkpoint, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on each side of an entity; different contexts; documents of the entity at least.
@@ -33,7 +33,7 @@ REMOVE, GENERALISE = 0.95, 0.8
 #: Texts with disclosing terms up to which they are broadcast.
 SMALL = 5000
 #: Words whose counts a task holds before it passes them on.
-HELD = 400_000
+HELD = 150_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -149,6 +149,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     words.clear()
         if words:
             yield made(counted(words))
+            words.clear()
+        release()
 
     schema = f"sort string, row long, fp binary, id {kind}, spans string, entity string, term string, context string, start int, end int, n long"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

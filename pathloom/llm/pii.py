@@ -1,12 +1,13 @@
-"""Personal data: patterns, then information-theoretic sanitisation of the words around them.
+"""Personal data: patterns, then information-theoretic sanitisation of the words of the texts that hold them.
 
-Base spans come from patterns. Every base value is a protected entity. A term (a word within
-``REACH`` words of an entity) reveals it as far as the corpus says so: the pointwise mutual
-information of term and entity over documents, as a share of the entity's own information content. Terms of share ``REMOVE`` or more are
-removed, of ``GENERALISE`` or more generalised, if they stand near the entity in at least ``SUPPORT`` different contexts (copies of
-one context count once). Document frequencies are counted over all documents.
+Base spans come from patterns. Every base value is a protected entity. A term (any word of a text that holds the
+entity, without punctuation around it) reveals it as far as the corpus says so: the pointwise mutual information of term and entity
+over whole documents, as a share of the entity's own information content. Terms of share ``REMOVE`` or more are removed, of
+``GENERALISE`` or more generalised, at every place of every text that holds the entity, if that they occur together is significant at ``ALPHA``,
+corrected for all pairs tested, over unlike texts. Copies count once there (see ``SKETCHES``); one text alone is no evidence.
+Document frequencies are counted over all documents. A text costs its words times its entities that lie in several unlike texts.
 
-Null and empty texts have no spans. Repeated rows are separate rows; their contexts count once.
+Null and empty texts have no spans. Repeated rows are separate rows; they are one text for the test.
 What is added to a text depends on the text and the corpus, so it is found by the text's digest: repeated or null ids do no harm. Extra columns are ignored.
 Pattern searches take linear time in texts without white space.
 """
@@ -14,23 +15,28 @@ Pattern searches take linear time in texts without white space.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, reliable_checkpoint, slices, table
+from .common import mix, release, reliable_checkpoint, shingles, slices, table
+from .neardup import components
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of an entity; different contexts; documents of the entity at least.
-REACH, SUPPORT = 3, 3
+#: Level of the test of a term with an entity, over all pairs tested.
+ALPHA = 0.05
+#: Texts are alike if the smallest hashes of their three-word shingles are equal under one of so many hash functions.
+SKETCHES = 4
 #: Shares of an entity's information content that a term discloses.
 REMOVE, GENERALISE = 0.95, 0.8
-#: Texts with disclosing terms up to which they are broadcast.
+#: Texts with disclosing terms, and pairs of entity and term, up to which they are broadcast.
 SMALL = 5000
 #: Words whose counts a task holds before it passes them on.
 HELD = 150_000
@@ -41,6 +47,8 @@ _ip = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _word = re.compile(r"[^\s]+")
+_edges = string.punctuation + "¡¿«»„“”‘’–—…"
+_salts = np.random.default_rng(10).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _digits = re.compile(r"[0-9]")
 
 
@@ -89,46 +97,54 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str, int, int]]:
-    """(entity, term, context, start, end) of the words around every span that touch no span.
+def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of every word that touches no span: lower case, without punctuation at its ends. Words of 48 characters or more aren't terms."""
+    bounds, k = sorted((x, y) for _, x, y in spans), 0
+    reach = 0
+    for m in _word.finditer(text):
+        while k < len(bounds) and bounds[k][0] < m.end():
+            reach, k = max(reach, bounds[k][1]), k + 1
+        if reach > m.start():
+            continue
+        word = m[0].strip(_edges)
+        if word and len(word) < 48:
+            at = m.start() + m[0].index(word)
+            yield word.lower(), at, at + len(word)
 
-    The entity is kind and digits or text of the value, in lower case; the context a digest of the words around.
-    """
-    out = []
+
+def entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
+    """The entities of a text: kind and value in lower case."""
+    out = set()
     for kind, a, b in spans:
-        # at most REACH + 1 words and a bounded distance: a word cut off by it is too long for a term
-        before = list(_word.finditer(text, max(0, a - 64 * (REACH + 1)), a))
-        after = list(_word.finditer(text, b, min(len(text), b + 64 * (REACH + 1))))
-        left = [m for m in before[-REACH - 1 :] if m.end() < a or text[a - 1].isspace()][-REACH:]
-        right = [m for m in after[: REACH + 1] if m.start() > b or text[b : b + 1].isspace()][:REACH]
-        words = [m for m in (*left, *right) if m.end() - m.start() < 48 and not any(m.start() < y and x < m.end() for _, x, y in spans)]
-        if not words:
-            continue
-        entity = f"{kind}:{text[a:b].lower()}"
-        context = hashlib.md5(" ".join(m[0] for m in (*left, *right)).encode()).hexdigest()[:16]
-        out += [(entity, m[0].lower(), context, m.start(), m.end()) for m in words]
+        out.add(f"{kind}:{text[a:b].lower()}")
     return out
 
 
+def sketches(text: str) -> list[int]:
+    """The smallest hash of the text's three-word shingles under each of SKETCHES hash functions."""
+    h = np.unique(shingles(text.encode(), 3))
+    return [int(mix(h ^ s).min().view(np.int64)) for s in _salts] if len(h) else [0] * SKETCHES
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over the texts. Rows of three sorts: ``doc`` (a row's base spans), ``near`` (a term near an entity) and ``word`` (documents of the task that hold a word).
+    """One pass over the texts. Rows of three sorts: ``doc`` (a row's base spans), ``held`` (a text with entities) and ``word`` (documents of the task that hold a word).
 
-    ``row`` names a row of the table (by task and place) for counting, ``fp`` is the digest of its text.
+    ``fp`` is the digest of a row's text.
     """
-    names = ["sort", "row", "fp", "id", "spans", "entity", "term", "context", "start", "end", "n"]
+    names = ["sort", "fp", "id", "spans", "text", "entities", "terms", "sketches", "term", "n"]
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
-        place, part = 0, TaskContext.get().partitionId() << 40
         own = None
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.int64(), pa.binary(), own, *[pa.string()] * 4, pa.int32(), pa.int32(), pa.int64()]
+            many = pa.list_(pa.string())
+            kinds = [pa.string(), pa.binary(), own, pa.string(), pa.string(), many, many, pa.list_(pa.int64()), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         def counted(words: Counter[str]) -> list[tuple]:
-            return [("word", *[None] * 5, w, None, None, None, n) for w, n in words.items() if len(w) < 48] or [("word", *[None] * 5, "", None, None, None, 0)]
+            return [("word", *[None] * 7, w, n) for w, n in words.items() if 0 < len(w) < 48] or [("word", *[None] * 7, "", 0)]
 
         for b in batches:
             own = b.schema.field(0).type
@@ -136,13 +152,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 rows = []
                 for i, text in zip(ids, texts, strict=True):
                     spans = base_spans(text)
-                    row = part | place
-                    place += 1
                     fp = hashlib.md5(text.encode()).digest()
-                    rows.append(("doc", row, fp, i, ",".join(f"{k}:{x}:{y}" for k, x, y in spans), None, None, None, None, None, None))
+                    base = ",".join(f"{k}:{x}:{y}" for k, x, y in spans)
+                    rows.append(("doc", fp, i, base, *[None] * 6))
                     if spans:
-                        rows += [("near", row, fp, None, None, e, t, c, x, y, None) for e, t, c, x, y in near_terms(text, spans)]
-                    words.update(set(text.lower().split()))
+                        rows.append(("held", fp, None, base, text, sorted(entities(text, spans)), sorted({t for t, _, _ in terms(text, spans)}), sketches(text), None, None))
+                    words.update({w.strip(_edges) for w in set(text.lower().split())})
                 yield made(rows)
                 if len(words) > HELD:
                     yield made(counted(words))
@@ -152,30 +167,70 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             words.clear()
         release()
 
-    schema = f"sort string, row long, fp binary, id {kind}, spans string, entity string, term string, context string, start int, end int, n long"
+    schema = f"sort string, fp binary, id {kind}, spans string, text string, entities array<string>, terms array<string>, sketches array<long>, term string, n long"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def disclosing(found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term near it gives away; only shares from GENERALISE on.
+def _holders(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts with entities (n: rows of each), and a row (fp, entity, n, first) for each text and entity that lies in two unlike texts or more.
 
-    share = PMI(term, entity) / IC(entity) with document frequencies: 1 if the term never occurs without the entity.
+    Texts that share a sketch, or are joined by others that do, are alike; ``first`` is 1 in one text of all alike ones that hold the entity.
+    """
+    firsts = [F.first(c).alias(c) for c in ("spans", "text", "entities", "terms", "sketches")]
+    held = reliable_checkpoint(found.where("sort = 'held'").groupBy("fp").agg(F.count("*").alias("n"), *firsts))
+    slots = held.select("fp", F.posexplode("sketches").alias("k", "sketch"))
+    least = slots.groupBy("k", "sketch").agg(F.min("fp").alias("to"))
+    alike = components(slots.join(least, ["k", "sketch"]).where("fp <> to").select("fp", "to").distinct(), "fp", "to")
+    each = held.select("fp", F.explode("entities").alias("entity"), "n").join(alike.withColumnRenamed("key", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    sources = reliable_checkpoint(each.groupBy("entity", "label").agg(F.min("fp").alias("least")))
+    usable = sources.groupBy("entity").agg(F.count("*").alias("unlike")).where("unlike > 1").select("entity")
+    rows = each.join(usable, "entity").join(sources, ["entity", "label"])
+    return held, reliable_checkpoint(rows.select("fp", "entity", "n", (F.col("fp") == F.col("least")).cast("int").alias("first")))
+
+
+def disclosing(found: DataFrame, held: DataFrame, holders: DataFrame) -> DataFrame:
+    """(entity, term, share): how much of an entity's information a term in its texts gives away; only shares from GENERALISE on that are significant.
+
+    share = PMI(term, entity) / IC(entity) with document frequencies: 1 if the term never occurs without the entity. The test is the
+    upper tail of a Poisson count of the unlike texts with both (bounded by its first term and a geometric series), times the pairs tested.
     """
-    near = found.where("sort = 'near'")
-    together = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("both")).where(F.col("contexts") >= support)
-    entities = near.groupBy("entity").agg(F.countDistinct("row").alias("holders"))
+    pairs = holders.join(held.select("fp", "terms"), "fp").select("entity", F.explode("terms").alias("term"), "n", "first")
+    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("first").alias("k")).where("k > 1")
+    known = holders.groupBy("entity").agg(F.sum("n").alias("holders"), F.sum("first").alias("unlike"))
     words = found.where("sort = 'word'").groupBy("term").agg(F.sum("n").alias("df"))
-    total = found.where("sort = 'doc'").count()
-    joined = together.join(words, "term").join(entities, "entity")
-    info = F.log(F.lit(float(max(total, 1))) / F.col("holders"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.greatest("df", "both") * F.col("holders")))
-    return joined.where(info > 0).select("entity", "term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
+    total = float(max(found.where("sort = 'doc'").count(), 1))
+    tested = holders.join(held.select("fp", F.size("terms").alias("m")), "fp").agg(F.sum("m")).first()[0] or 1
+    joined = together.join(words, "term").join(known, "entity").withColumn("df", F.greatest("df", "both"))
+    info = F.log(F.lit(total) / F.col("holders"))
+    pmi = F.log(F.lit(total) * F.col("both") / (F.col("df") * F.col("holders")))
+    k, mean = F.col("k").cast("double"), F.col("df") * F.col("unlike") / F.lit(total)
+    tail = k * F.log(mean) - (k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k)) - mean - F.log(1 - F.least(mean / (k + 1), F.lit(0.999)))
+    sure = (mean < k) & (tail + math.log(tested) <= math.log(ALPHA))
+    return joined.where((info > 0) & sure).select("entity", "term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def _added(found: DataFrame) -> DataFrame:
-    """fp and added (array of start, end, share) of the texts that hold disclosing terms."""
-    pairs = found.where("sort = 'near'").join(disclosing(found), ["entity", "term"]).groupBy("fp", "start", "end").agg(F.max("share").alias("share"))
-    return pairs.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("added"))
+    """fp and added (array of start, end, share) of the texts that hold disclosing terms: all their places."""
+    held, holders = _holders(found)
+    shares = reliable_checkpoint(disclosing(found, held, holders))
+    each = holders.join(held.select("fp", "terms"), "fp").select("fp", "entity", F.explode("terms").alias("term"))
+    few = shares.limit(SMALL + 1).count() <= SMALL
+    known = each.join(F.broadcast(shares) if few else shares, ["entity", "term"]).groupBy("fp", "term").agg(F.max("share").alias("share"))
+    of_text = known.groupBy("fp").agg(F.collect_list("term").alias("told"), F.collect_list("share").alias("shares"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                p, got = b.slice(at, 256), []
+                for base, text, told, share in zip(*(p.column(j).to_pylist() for j in range(1, 5)), strict=True):
+                    spans = [(k, int(x), int(y)) for k, x, y in (s.rsplit(":", 2) for s in base.split(","))]
+                    of = dict(zip(told, share, strict=True))
+                    got.append([{"start": x, "end": y, "share": of[t]} for t, x, y in terms(text, spans) if t in of])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(got, kind)], names=["fp", "added"])
+
+    rows = held.select("fp", "spans", "text").join(of_text, "fp").select("fp", "spans", "text", "told", "shares")
+    return rows.mapInArrow(run, "fp binary, added array<struct<start:int,end:int,share:double>>")
 
 
 def _with_added(rows: DataFrame, added: DataFrame) -> DataFrame:

@@ -194,6 +194,17 @@ def test_disclosing_terms_by_the_join_way(spark, monkeypatch):
     assert sorted(map(str, pii.sanitised(df).collect())) == want
 
 
+def test_terms_are_redacted_at_every_place(spark):
+    rng = random.Random(8)
+    words = [a + b for a in "ba ce di fo gu".split() for b in "ra se ti vo zu".split()]
+    fill = lambda n=12: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"{fill()} {fill()}") for k in range(80)]
+    rows += [(100 + k, f"Farterm, {fill()} jo@x.org {fill()} (farterm) {fill()}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert all("arterm" not in out[100 + k] and "[EMAIL]" in out[100 + k] for k in range(5))
+
+
 def test_sanitise_overlapping_spans():
     t = "ip 1.2.3.4 and a@1.2.3.4 end"
     base = ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t))

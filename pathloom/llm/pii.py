@@ -1,6 +1,7 @@
 """Personal data: patterns, then information-theoretic sanitisation of the words of the texts that hold them.
 
-Base spans come from patterns. Every base value is a protected entity. A term (any word of a text that holds the
+Base spans come from patterns. Every base value is a protected entity, and so is what values share: an address's domain, an IP's
+network, a number's first digits; so terms can disclose values that stand in one text only. A term (any word of a text that holds the
 entity, without punctuation around it) reveals it as far as the corpus says so: the pointwise mutual information of term and entity
 over whole documents, as a share of the entity's own information content. Terms of share ``REMOVE`` or more are removed, of
 ``GENERALISE`` or more generalised, at every place of every text that holds the entity, if that they occur together is significant at ``ALPHA``,
@@ -113,10 +114,17 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, i
 
 
 def entities(text: str, spans: list[tuple[str, int, int]]) -> set[str]:
-    """The entities of a text: kind and value in lower case."""
+    """The entities of a text: kind and value in lower case, and what a value shares with others of its kind (domain, network, first digits)."""
     out = set()
     for kind, a, b in spans:
-        out.add(f"{kind}:{text[a:b].lower()}")
+        value = text[a:b].lower()
+        out.add(f"{kind}:{value}")
+        if kind == "email":
+            out.add(f"email:@{value.rpartition('@')[2]}")
+        elif kind == "ip":
+            out.add(f"ip:{value.rpartition('.')[0]}.*")
+        else:
+            out.add(f"{kind}:{''.join(c for c in value if c in string.digits)[: 6 if kind == 'card' else 4]}*")
     return out
 
 

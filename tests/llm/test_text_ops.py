@@ -205,6 +205,19 @@ def test_terms_are_redacted_at_every_place(spark):
     assert all("arterm" not in out[100 + k] and "[EMAIL]" in out[100 + k] for k in range(5))
 
 
+def test_values_of_one_text_are_covered_by_what_they_share(spark):
+    rng = random.Random(9)
+    words = [a + b for a in "ba ce di fo gu".split() for b in "ra se ti vo zu".split()]
+    fill = lambda n=12: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"{fill()} {fill()}") for k in range(80)]
+    rows += [(100 + k, f"{fill()} Firmname {fill()} person{k}@firm.org {fill()}") for k in range(6)]
+    near = f"Copyword {fill(60)}"
+    rows += [(200 + k, f"{near} {fill(2)} me@copies.org") for k in range(4)]  # near copies are one text
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert all("Firmname" not in out[100 + k] for k in range(6)) and all("Copyword" in out[200 + k] for k in range(4))
+
+
 def test_sanitise_overlapping_spans():
     t = "ip 1.2.3.4 and a@1.2.3.4 end"
     base = ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t))

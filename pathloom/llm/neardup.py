@@ -16,7 +16,7 @@
 
 Null texts count as empty; all texts without words are compared exactly only. Equal texts are one
 class whatever their ids. Repeated rows stay repeated. Ids may be null or repeated: texts are
-told apart by digest, and a class is named by its smallest id. Extra columns don't matter.
+told apart by digest, and a class is named by its smallest id; classes that share that id differ in their label. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -285,7 +285,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), fp (digest of the text)."""
+    """A row for each row of ``docs``: ``id_col``, class_id (the smallest id of its class), fp (digest of the text), label (the class's own digest: unlike classes may share an id)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = texts.count()
@@ -343,16 +343,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     named = nodes.select("fp", "least").join(classes, F.col("fp") == F.col("key"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    return signed.select("id", "fp").join(named.join(names, "label").select("fp", "class_id"), "fp").select(F.col("id").alias(id_col), "class_id", "fp")
+    return signed.select("id", "fp").join(named.join(names, "label").select("fp", "class_id", "label"), "fp").select(F.col("id").alias(id_col), "class_id", "fp", "label")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document for each class: a row that has the class's smallest id.
 
-    Of rows with that id and several texts or repeats one stays.
+    Of a class's rows with that id and several texts or repeats one stays. Classes are told apart by their label, not by that id.
     """
     classes = near_duplicate_classes(docs, id_col, text_col)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("fp").alias("__fp")).withColumnRenamed("class_id", "__id")
+    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("fp").alias("__fp"), F.first("class_id").alias("__id")).drop("label")
     own = docs.withColumn("__of", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
     kept = own.join(keep, (F.col("__of") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__fp", "__id"])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

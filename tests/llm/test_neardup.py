@@ -134,3 +134,12 @@ def test_components_of_long_chain(spark):
     got = {r.key: r.label for r in N.components(edges).collect()}
     assert got == {**{k: 0 for k in range(201)}, 500: 500, 501: 500}
     assert N.components(edges.where("false")).count() == 0
+
+
+def test_unlike_classes_of_one_id_stay_apart(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta", "one two three four five six seven", "red green blue black white grey pink")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, a + " theta"), (2, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in N.one_of_each(df).collect()]
+    classes = {r.label: r.class_id for r in N.near_duplicate_classes(df).collect()}
+    assert len(got) == len(classes) and {t for _, t in got} >= {b, c} and (1, c) in got and (None, b) in got

@@ -1,13 +1,13 @@
 """HTML extraction by nearest-URL page differencing.
 
-Pages are sorted by host and URL path; each page's neighbour is the page before it there (the first
-page of a partition takes the one after it), so that a host of any size is spread over tasks. Pages
+Pages are sorted by host and URL path; each page's neighbour is the nearest page before it there that has other lines (the first
+pages of a host take the nearest one after them), so copies have one neighbour and equal texts. A host of any size is spread over tasks:
+each task hands over the lines at its borders, and the pages there are settled from those. Pages
 are cut into text lines at block tags. Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 dropped by their markup; lines of an article or main element stay. All other lines are aligned with the
-neighbour's by longest common subsequence, and shared lines are deleted, unless nearly all lines
-are shared: then the pages are copies.
+neighbour's by longest common subsequence, and shared lines are deleted.
 
-Null and empty pages have empty text. Equal pages next to each other are copies and keep their lines. Repeated rows stay; a null url is its own host.
+Null and empty pages have empty text. Pages of a host that are all equal keep their lines. Repeated rows stay; a null url is its own host.
 Extra columns are ignored.
 """
 
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import reliable_checkpoint, table
 
 #: Elements whose content isn't main text; elements whose text is kept; elements that cut lines (fixed values of the format).
 DROPPED = frozenset("nav header footer aside form script style noscript template svg math iframe object select button menu dialog head title textarea canvas audio video".split())
@@ -32,8 +33,6 @@ RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Words of class, id and role that mark what isn't main text.
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|popup|modal|overlay|menu|navbar|nav|navigation|breadcrumbs?|sidebar|widget|footer|masthead|comments?|replies|disqus|newsletter|subscribe|share|sharing|social|related|login|signup|complementary|contentinfo)(?:$|[\s_-])", re.I)
-#: Share of a page's open lines in common with its neighbour from which on the two are copies.
-COPY_SHARE = 0.9
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _attr = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -155,36 +154,97 @@ def common(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(own: list[Line], other: list[Line] | None) -> str:
     """The lines of a page without those that it shares with its neighbour."""
-    free = [k for k, x in enumerate(own) if not x.sure]
     gone: set[int] = set()
-    if free and other:
-        place = common([own[k].text for k in free], [x.text for x in other if not x.sure])
-        if len(place) < COPY_SHARE * len(free):
-            gone = {free[k] for k in place}
+    if other:
+        free = [k for k, x in enumerate(own) if not x.sure]
+        gone = {free[k] for k in common([own[k].text for k in free], [x.text for x in other if not x.sure])}
     return " ".join(x.text for k, x in enumerate(own) if k not in gone)
 
 
+def _packed(own: list[Line]) -> str:
+    return "\n".join(f"{x.sure:d}{x.text}" for x in own)
+
+
+def _unpacked(text: str) -> list[Line]:
+    return [Line(x[1:], x[0] == "1") for x in text.split("\n")] if text else []
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each run of one host, a page is compared with the one before it, the first with the one after."""
-    held: tuple | None = None  # (page_id, url, host, lines, text or None while its neighbour is to come)
+    """Rows of three sorts: ``done`` (a page's text), ``open`` (a page whose neighbour lies in another task) and ``edge`` (lines of a host at a border).
+
+    Pages of equal lines in a row are a run. A run's neighbour is the run before it, that of a host's first run the one after it. In a task's
+    first host the first run is open; in its last host too if no other follows.
+    """
+    part = TaskContext.get().partitionId()
+    host: str | None = None
+    run, before, text, lead = [], None, "", True
+    waiting: list[tuple] = []  # pages of the host's first run
+    head: list[str] = []
+    rows: list[tuple] = []
+
+    def done(pages: list[tuple], text: str) -> None:
+        rows.extend(("done", i, u, text, None, part, None, None) for i, u in pages)
+
+    def is_open(pages: list[tuple]) -> None:
+        rows.extend(("open", i, u, None, host, part, None, None) for i, u in pages)
+
+    def close(last: bool) -> None:
+        if waiting and (lead or last):
+            is_open(waiting)
+        else:
+            done(waiting, main_text(run, None))
+        waiting.clear()
+        if lead or last:
+            rows.append(("edge", None, None, None, host, part, head, [_packed(x) for x in (run, before) if x is not None]))
+
+    b = None
     for b in batches:
-        rows = []
-        for page_id, url, host, page in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for page_id, url, at, page in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             own = lines(page or "")
-            near = held[3] if held and held[2] == host else None
-            if held:
-                rows.append((held[0], held[1], held[4] if held[4] is not None else main_text(held[3], own if near is not None else None)))
-            held = (page_id, url, host, own, main_text(own, near) if near is not None else None)
+            if at != host:
+                if host is not None:
+                    close(False)
+                    lead = False
+                host, run, before, head = at, own, None, [_packed(own)]
+                waiting.append((page_id, url))
+            elif own != run:
+                if lead:
+                    is_open(waiting)
+                else:
+                    done(waiting, main_text(run, own) if waiting else "")
+                waiting.clear()
+                if len(head) < 2:
+                    head.append(_packed(own))
+                run, before, text = own, run, main_text(own, run)
+                done([(page_id, url)], text)
+            elif before is None:
+                waiting.append((page_id, url))
+            else:
+                done([(page_id, url)], text)
         if rows:
             yield _rows(b, rows)
-    if held:
-        yield _rows(b, [(held[0], held[1], held[4] if held[4] is not None else main_text(held[3], None))])
+            rows.clear()
+    if host is not None:
+        close(True)
+        yield _rows(b, rows)
 
 
 def _rows(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int64()]
-    cols = [*zip(*rows, strict=True), [len(r[2]) for r in rows]]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+    kinds = [pa.string(), b.schema.field(0).type, pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string())]
+    names = ["sort", "page_id", "url", "text", "host", "part", "head", "tail"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _settled(edges: pa.Table) -> pa.Table:
+    """(host, part, text) of the first run of a host in each task: its neighbour is the nearest other run before it, or else after it."""
+    rows, out = sorted(edges.select(["part", "host", "head", "tail"]).to_pylist(), key=lambda r: r["part"]), []
+    for k, r in enumerate(rows):
+        own = r["head"][0]
+        earlier = (x for e in reversed(rows[:k]) for x in e["tail"])
+        later = (x for e in rows[k:] for x in e["head"])
+        other = next((x for near in (earlier, later) for x in near if x != own), None)
+        out.append(main_text(_unpacked(own), None if other is None else _unpacked(other)))
+    return pa.table({"host": pa.array([r["host"] for r in rows], pa.string()), "part": pa.array([r["part"] for r in rows], pa.int32()), "text": pa.array(out, pa.string())})
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -196,7 +256,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col(html_col).alias("html"), F.coalesce(F.regexp_replace(path, r"\d+\D*$", ""), F.lit("")).alias("folder"), F.coalesce(sized, F.lit("")).alias("item"))
     order = ["host", "folder", "item", "url", "page_id"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "host", "html")
-    return dealt.mapInArrow(_extract, f"page_id {dict(pages.dtypes)[id_col]}, url string, text string, n_chars long")
+    kind = dict(pages.dtypes)[id_col]
+    rows = reliable_checkpoint(dealt.mapInArrow(_extract, f"sort string, page_id {kind}, url string, text string, host string, part int, head array<string>, tail array<string>"))
+    settled = rows.where("sort = 'edge'").select("part", "host", "head", "tail").groupBy("host").applyInArrow(_settled, "host string, part int, text string")
+    late = rows.where("sort = 'open'").select("page_id", "url", "host", "part").join(F.broadcast(settled), ["host", "part"])
+    return rows.where("sort = 'done'").select("page_id", "url", "text").union(late.select("page_id", "url", "text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

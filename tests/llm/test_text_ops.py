@@ -118,6 +118,26 @@ def test_shared_lines_go_by_the_nearest_page(spark):
     assert by[13] == by[14] == "Site name Top Text 1 Ask us"  # copies keep their lines
 
 
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_copies_are_compared_with_other_pages_across_tasks(spark, tasks):
+    menu = "".join(f"<div>Menu {k}</div>" for k in range(10))
+    page = lambda k: f"{menu}<div>A long paragraph of page {k}</div>"
+    # copies at the start, in the middle and at the end of a host
+    of = [0, 0, 0, 1, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4]
+    rows = [(k, f"http://h.org/n/{k}", page(x)) for k, x in enumerate(of)] + [(100 + k, "http://z.org/a", page(9)) for k in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(got) == len(rows) and all(got[k] == f"A long paragraph of page {x}" for k, x in enumerate(of))
+    assert all(got[100 + k].startswith("Menu 0") for k in range(5))  # no other page on that host
+
+
 def test_html_query(spark, sf):
     rows = html_extract.query(spark, sf).collect()
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -30,7 +30,7 @@ class HashedLinear:
     lower: bool = True
     log_ratio: bool = True
     #: Features that the regression sees: those whose log-count ratio, times the root of their texts, is largest.
-    keep: int = 10_000
+    keep: int = 40_000
     l2: float = 1e-3
     #: Shares are of a text's features and so many more: a short text is drawn to the bias.
     smooth: int = 800

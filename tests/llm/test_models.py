@@ -33,6 +33,15 @@ def test_linear_model_separates_held_out_rows():
     assert 0 < one.score("x") < 1 and none.score("x") == 0.5
 
 
+def test_rare_features_have_weights():
+    rng = random.Random(4)
+    word = lambda chars: "".join(rng.choice(chars) for _ in range(5))
+    sides = [[word(c) for _ in range(700)] for c in ("abcdefghi", "nopqrstuv")]
+    rows = [(y, " ".join(rng.choices(sides[y], k=60)) + (" zkxwjm" if k < 6 else "")) for y in (0, 1) for k in range(200) if y or k >= 6]
+    m = HashedLinear().fit([t for _, t in rows], [y for y, _ in rows])
+    assert (m.weights[m.indexes("zkxwjm")] > 0).any()
+
+
 def test_training_ignores_the_held_out_fold(spark):
     docs = spark.createDataFrame([(k, t) for k, t, _ in corpus(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, y) for k, _, y in corpus(200)] + [(None, 1), (5, None)], "doc_id long, toxic int")

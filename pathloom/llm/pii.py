@@ -2,15 +2,21 @@
 
 Base spans come from patterns. Every base value is a protected entity, and so is what values share: an address's domain, an IP's
 network, a number's first digits; so terms can disclose values that stand in one text only. A term (any word of a text that holds the
-entity, without punctuation around it) reveals it as far as the corpus says so: the pointwise mutual information of term and entity
-over whole documents, as a share of the entity's own information content. Terms of share ``REMOVE`` or more are removed, of
-``GENERALISE`` or more generalised, at every place of every text that holds the entity, if that they occur together is significant at ``ALPHA``,
-corrected for all pairs tested, over unlike texts. Copies count once there (see ``SKETCHES``); one text alone is no evidence.
-Document frequencies are counted over all documents. A text costs its words times its entities that lie in several unlike texts.
-
-Null and empty texts have no spans. Repeated rows are separate rows; they are one text for the test.
-What is added to a text depends on the text and the corpus, so it is found by the text's digest: repeated or null ids do no harm. Extra columns are ignored.
-Pattern searches take linear time in texts without white space.
+entity, without punctuation around it, in lower case) reveals it as far as the corpus says so: the pointwise mutual information of term and
+entity over whole documents, as a share of the entity's own information content. Terms of share ``REMOVE`` or more are removed, of
+``GENERALISE`` or more replaced by what kind of word they are (see ``ladder``), at every place of every text that holds the entity, if that
+they occur together is significant at ``ALPHA``, corrected for all pairs tested, over unlike texts. Copies count once there (see ``SKETCHES``);
+one text alone is no evidence.
+
+Three passes: texts with entities are gathered, with their words as 64-bit hashes; then the document frequencies, over all documents, of
+those terms alone that could still disclose (a term occurs at least as often as in the texts gathered, which bounds share and significance
+from above); then every text is marked. Candidates reach the second pass as a bit filter of fixed size, which lets some
+others pass but stops none of them. A text costs its words times its entities that lie in several unlike texts.
+
+Null and empty texts have no spans. Repeated rows are separate rows; they are one text for the test. Words may have any length; very long
+texts are scanned whole, and pattern searches take linear time also without white space. An empty table gives an empty result.
+What is added to a text depends on the text and the corpus, so it is found by the text's digest: repeated or null ids do no harm. Of base spans that overlap
+the first, then the longer is marked. Extra columns, whatever their names, are ignored by ``find`` and kept by ``sanitised``.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +44,10 @@ ALPHA = 0.05
 SKETCHES = 4
 #: Shares of an entity's information content that a term discloses.
 REMOVE, GENERALISE = 0.95, 0.8
-#: Texts with disclosing terms, and pairs of entity and term, up to which they are broadcast.
-SMALL = 5000
-#: Words whose counts a task holds before it passes them on.
-HELD = 150_000
+#: Bytes of disclosing terms (pairs, or by text) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 4 << 20
+#: Bits of the candidates' filter (a power of two); counts that a task holds before it passes them on.
+FILTER_BITS, HELD = 1 << 23, 150_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -98,8 +105,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def term_hash(word: str) -> int:
+    """The signed 64-bit hash by which a term is counted and joined."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """(term, start, end) of every word that touches no span: lower case, without punctuation at its ends. Words of 48 characters or more aren't terms."""
+    """(term, start, end) of every word that touches no span: lower case, without punctuation at its ends."""
     bounds, k = sorted((x, y) for _, x, y in spans), 0
     reach = 0
     for m in _word.finditer(text):
@@ -108,7 +121,7 @@ def terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, i
         if reach > m.start():
             continue
         word = m[0].strip(_edges)
-        if word and len(word) < 48:
+        if word:
             at = m.start() + m[0].index(word)
             yield word.lower(), at, at + len(word)
 
@@ -134,58 +147,36 @@ def sketches(text: str) -> list[int]:
     return [int(mix(h ^ s).min().view(np.int64)) for s in _salts] if len(h) else [0] * SKETCHES
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass over the texts. Rows of three sorts: ``doc`` (a row's base spans), ``held`` (a text with entities) and ``word`` (documents of the task that hold a word).
-
-    ``fp`` is the digest of a row's text.
-    """
-    names = ["sort", "fp", "id", "spans", "text", "entities", "terms", "sketches", "term", "n"]
-    kind = dict(docs.dtypes)[id_col]
+def _digest(text: Column) -> Column:
+    """The digest by which texts are told apart; a null text is empty."""
+    return F.unhex(F.md5(F.encode(F.coalesce(text, F.lit("")), "UTF-8")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
-        own = None
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            many = pa.list_(pa.string())
-            kinds = [pa.string(), pa.binary(), own, pa.string(), pa.string(), many, many, pa.list_(pa.int64()), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-        def counted(words: Counter[str]) -> list[tuple]:
-            return [("word", *[None] * 7, w, n) for w, n in words.items() if 0 < len(w) < 48] or [("word", *[None] * 7, "", 0)]
+def held_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each distinct text with entities: fp (digest), n (rows with it), entities, terms (hashes), sketches."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
-            own = b.schema.field(0).type
-            for ids, texts in slices(b):
+            for _, texts in slices(b):
                 rows = []
-                for i, text in zip(ids, texts, strict=True):
-                    spans = base_spans(text)
-                    fp = hashlib.md5(text.encode()).digest()
-                    base = ",".join(f"{k}:{x}:{y}" for k, x, y in spans)
-                    rows.append(("doc", fp, i, base, *[None] * 6))
-                    if spans:
-                        rows.append(("held", fp, None, base, text, sorted(entities(text, spans)), sorted({t for t, _, _ in terms(text, spans)}), sketches(text), None, None))
-                    words.update({w.strip(_edges) for w in set(text.lower().split())})
-                yield made(rows)
-                if len(words) > HELD:
-                    yield made(counted(words))
-                    words.clear()
-        if words:
-            yield made(counted(words))
-            words.clear()
+                for text in texts:
+                    if spans := base_spans(text):
+                        found = sorted({term_hash(t) for t, _, _ in terms(text, spans)})
+                        rows.append((hashlib.md5(text.encode()).digest(), sorted(entities(text, spans)), found, sketches(text)))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["fp", "entities", "terms", "sketches"])
         release()
 
-    schema = f"sort string, fp binary, id {kind}, spans string, text string, entities array<string>, terms array<string>, sketches array<long>, term string, n long"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    rows = docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "fp binary, entities array<string>, terms array<long>, sketches array<long>")
+    return reliable_checkpoint(rows.groupBy("fp").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("entities", "terms", "sketches")]))
 
 
-def _holders(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts with entities (n: rows of each), and a row (fp, entity, n, first) for each text and entity that lies in two unlike texts or more.
+def holders_of(held: DataFrame) -> DataFrame:
+    """(fp, entity, n, first) for each text and entity that lies in two unlike texts or more.
 
     Texts that share a sketch, or are joined by others that do, are alike; ``first`` is 1 in one text of all alike ones that hold the entity.
     """
-    firsts = [F.first(c).alias(c) for c in ("spans", "text", "entities", "terms", "sketches")]
-    held = reliable_checkpoint(found.where("sort = 'held'").groupBy("fp").agg(F.count("*").alias("n"), *firsts))
     slots = held.select("fp", F.posexplode("sketches").alias("k", "sketch"))
     least = slots.groupBy("k", "sketch").agg(F.min("fp").alias("to"))
     alike = components(slots.join(least, ["k", "sketch"]).where("fp <> to").select("fp", "to").distinct(), "fp", "to")
@@ -193,71 +184,133 @@ def _holders(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = reliable_checkpoint(each.groupBy("entity", "label").agg(F.min("fp").alias("least")))
     usable = sources.groupBy("entity").agg(F.count("*").alias("unlike")).where("unlike > 1").select("entity")
     rows = each.join(usable, "entity").join(sources, ["entity", "label"])
-    return held, reliable_checkpoint(rows.select("fp", "entity", "n", (F.col("fp") == F.col("least")).cast("int").alias("first")))
+    return reliable_checkpoint(rows.select("fp", "entity", "n", (F.col("fp") == F.col("least")).cast("int").alias("first")))
 
 
-def disclosing(found: DataFrame, held: DataFrame, holders: DataFrame) -> DataFrame:
-    """(entity, term, share): how much of an entity's information a term in its texts gives away; only shares from GENERALISE on that are significant.
+def _judged(rows: DataFrame, total: float, tested: int) -> DataFrame:
+    """rows(both, k, holders, unlike, df) whose share is GENERALISE or more and significant, with ``share``.
 
     share = PMI(term, entity) / IC(entity) with document frequencies: 1 if the term never occurs without the entity. The test is the
     upper tail of a Poisson count of the unlike texts with both (bounded by its first term and a geometric series), times the pairs tested.
+    Share falls and the tail rises with df, so a row that fails with a df too small fails with the true one.
     """
-    pairs = holders.join(held.select("fp", "terms"), "fp").select("entity", F.explode("terms").alias("term"), "n", "first")
-    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("first").alias("k")).where("k > 1")
-    known = holders.groupBy("entity").agg(F.sum("n").alias("holders"), F.sum("first").alias("unlike"))
-    words = found.where("sort = 'word'").groupBy("term").agg(F.sum("n").alias("df"))
-    total = float(max(found.where("sort = 'doc'").count(), 1))
-    tested = holders.join(held.select("fp", F.size("terms").alias("m")), "fp").agg(F.sum("m")).first()[0] or 1
-    joined = together.join(words, "term").join(known, "entity").withColumn("df", F.greatest("df", "both"))
     info = F.log(F.lit(total) / F.col("holders"))
     pmi = F.log(F.lit(total) * F.col("both") / (F.col("df") * F.col("holders")))
     k, mean = F.col("k").cast("double"), F.col("df") * F.col("unlike") / F.lit(total)
     tail = k * F.log(mean) - (k * F.log(k) - k + 0.5 * F.log(2 * math.pi * k)) - mean - F.log(1 - F.least(mean / (k + 1), F.lit(0.999)))
     sure = (mean < k) & (tail + math.log(tested) <= math.log(ALPHA))
-    return joined.where((info > 0) & sure).select("entity", "term", (pmi / info).alias("share")).where(F.col("share") >= GENERALISE)
+    return rows.where((info > 0) & sure).withColumn("share", pmi / info).where(F.col("share") >= GENERALISE)
 
 
-def _added(found: DataFrame) -> DataFrame:
-    """fp and added (array of start, end, share) of the texts that hold disclosing terms: all their places."""
-    held, holders = _holders(found)
-    shares = reliable_checkpoint(disclosing(found, held, holders))
-    each = holders.join(held.select("fp", "terms"), "fp").select("fp", "entity", F.explode("terms").alias("term"))
-    few = shares.limit(SMALL + 1).count() <= SMALL
-    known = each.join(F.broadcast(shares) if few else shares, ["entity", "term"]).groupBy("fp", "term").agg(F.max("share").alias("share"))
-    of_text = known.groupBy("fp").agg(F.collect_list("term").alias("told"), F.collect_list("share").alias("shares"))
+def bit_filter(hashes: DataFrame, column: str) -> bytes:
+    """FILTER_BITS bits, set where a hash (its lowest bits) stands: at most FILTER_BITS / 64 rows reach the driver, whatever the table's size."""
+    slot = F.col(column).bitwiseAND(FILTER_BITS - 1)
+    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
+def document_frequencies(docs: DataFrame, wanted: bytes, text_col: str = "text") -> DataFrame:
+    """(term, df): rows of ``docs`` with each word that the filter lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+        bits, low, counts = shared.value, FILTER_BITS - 1, Counter()
+        hashed = xxhash.xxh64_intdigest
+
+        def counted() -> pa.RecordBatch:
+            h = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
+            out = pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["term", "df"])
+            counts.clear()
+            return out
+
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                p, got = b.slice(at, 256), []
-                for base, text, told, share in zip(*(p.column(j).to_pylist() for j in range(1, 5)), strict=True):
-                    spans = [(k, int(x), int(y)) for k, x, y in (s.rsplit(":", 2) for s in base.split(","))]
-                    of = dict(zip(told, share, strict=True))
-                    got.append([{"start": x, "end": y, "share": of[t]} for t, x, y in terms(text, spans) if t in of])
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(got, kind)], names=["fp", "added"])
+            for _, texts in slices(b):
+                for text in texts:
+                    own = {w.strip(_edges).lower() for w in set(text.split())}
+                    own.discard("")
+                    counts.update([h for h in map(hashed, own) if bits[(h & low) >> 3] >> (h & 7) & 1])
+                if len(counts) > HELD:
+                    yield counted()
+        yield counted()
+        release()
 
-    rows = held.select("fp", "spans", "text").join(of_text, "fp").select("fp", "spans", "text", "told", "shares")
-    return rows.mapInArrow(run, "fp binary, added array<struct<start:int,end:int,share:double>>")
+    return docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def _with_added(rows: DataFrame, added: DataFrame) -> DataFrame:
-    """``rows`` left joined with ``added`` by fp. Up to SMALL texts are broadcast, more are joined by a shuffle."""
-    added = reliable_checkpoint(added)
-    return rows.join(F.broadcast(added) if added.limit(SMALL + 1).count() <= SMALL else added, "fp", "left")
+def disclosing(docs: DataFrame, held: DataFrame, holders: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, share): how much of an entity's information a term in its texts gives away; only significant shares from GENERALISE on."""
+    total = float(max(docs.count(), 1))
+    pairs = holders.join(held.select("fp", "terms"), "fp").select("entity", F.explode("terms").alias("term"), "n", "first")
+    together = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.sum("first").alias("k")).where("k > 1")
+    known = holders.groupBy("entity").agg(F.sum("n").alias("holders"), F.sum("first").alias("unlike"))
+    tested = holders.join(held.select("fp", F.size("terms").alias("m")), "fp").agg(F.sum("m")).first()[0] or 1
+    least = held.select(F.explode("terms").alias("term"), "n").groupBy("term").agg(F.sum("n").alias("df"))
+    hopeful = reliable_checkpoint(_judged(together.join(known, "entity").join(least, "term"), total, tested).drop("df", "share"))
+    exact = document_frequencies(docs, bit_filter(hopeful.select("term"), "term"), text_col)
+    return _judged(hopeful.join(exact, "term"), total, tested).select("entity", "term", "share")
+
+
+def _small(rows: DataFrame, row_bytes: Column) -> bool:
+    """Whether a table's rows, by their sizes, are within BROADCAST_BYTES."""
+    return (rows.agg(F.sum(row_bytes)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def told_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """fp, told (hashes of terms) and shares of the texts that hold disclosing terms."""
+    held = held_texts(docs, text_col)
+    holders = holders_of(held)
+    shares = reliable_checkpoint(disclosing(docs, held, holders, text_col))
+    each = holders.join(held.select("fp", "terms"), "fp").select("fp", "entity", F.explode("terms").alias("term"))
+    known = each.join(F.broadcast(shares) if _small(shares, F.length("entity") + 48) else shares, ["entity", "term"]).groupBy("fp", "term").agg(F.max("share").alias("share"))
+    return reliable_checkpoint(known.groupBy("fp").agg(F.collect_list("term").alias("told"), F.collect_list("share").alias("shares")))
+
+
+def _with_told(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` (whose texts lie in ``text_col``) with told and shares by the digest of the text, null where there are none; the digest is dropped."""
+    told = told_texts(rows, text_col)
+    own = rows.withColumn("fp", _digest(F.col(text_col)))
+    return own.join(F.broadcast(told) if _small(told, F.size("told") * 16 + 64) else told, "fp", "left").drop("fp")
+
+
+def added(text: str, spans: list[tuple[str, int, int]], told: list[int] | None, shares: list[float] | None) -> list[tuple[int, int, float]]:
+    """(start, end, share) of all places of disclosing terms."""
+    if not told:
+        return []
+    of = dict(zip(told, shares, strict=True))
+    return [(x, y, of[h]) for t, x, y in terms(text, spans) if (h := term_hash(t)) in of]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base (spans in text form) and added (array of start, end, share of disclosing terms) of every row."""
-    found = reliable_checkpoint(scan(docs, id_col, text_col))
-    return _with_added(found.where("sort = 'doc'").select("fp", "id", F.col("spans").alias("base")), _added(found)).select("id", "base", "added")
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("share", pa.float64())]))
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                p, base, more = b.slice(at, 256), [], []
+                for text, told, shares in zip(*(p.column(j).to_pylist() for j in (1, 2, 3)), strict=True):
+                    spans = base_spans(text or "")
+                    base.append(",".join(f"{k}:{x}:{y}" for k, x, y in spans))
+                    more.append([{"start": x, "end": y, "share": s} for x, y, s in added(text or "", spans, told, shares)])
+                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(base, pa.string()), pa.array(more, place)], names=["id", "base", "added"])
+
+    rows = _with_told(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", "text", "told", "shares")
+    return rows.mapInArrow(run, f"id {kind}, base string, added array<struct<start:int,end:int,share:double>>")
 
 
-def sanitise(text: str, base: str, added: list | None) -> str:
-    """``text`` with a mark of its kind for each base span, and for each disclosing term: none if it is removed, [TERM] if generalised."""
-    marks = [(int(y), int(x), f"[{k.upper()}]") for k, x, y in (s.rsplit(":", 2) for s in base.split(",") if s)]
-    marks = [(x, y, m) for y, x, m in marks]
-    marks += [(a["start"], a["end"], "" if a["share"] >= REMOVE else "[TERM]") for a in added or []]
+def ladder(word: str, share: float) -> str:
+    """What a disclosing word becomes: nothing from REMOVE on; below, its kind: a number, a name (capital first), or a word."""
+    if share >= REMOVE:
+        return ""
+    return "[NUMBER]" if _digits.search(word) else "[NAME]" if word[:1].isupper() else "[WORD]"
+
+
+def sanitise(text: str, spans: list[tuple[str, int, int]], terms: list[tuple[int, int, float]]) -> str:
+    """``text`` with a mark of its kind for each base span, and for each disclosing term what its ``ladder`` gives."""
+    marks = [(x, y, f"[{k.upper()}]") for k, x, y in spans] + [(x, y, ladder(text[x:y], s)) for x, y, s in terms]
     out, at = [], 0
     for x, y, m in sorted(marks, key=lambda s: (s[0], -s[1])):
         if x < at:  # inside a span before it: what sticks out of that goes too
@@ -268,26 +321,25 @@ def sanitise(text: str, base: str, added: list | None) -> str:
     return "".join([*out, text[at:]])
 
 
-def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None) -> DataFrame:
-    """``docs``, all columns, with sanitised texts (null stays null); ``chars_col``, if there, gets their length.
+def sanitised(docs: DataFrame, text_col: str = "text", chars_col: str | None = None) -> DataFrame:
+    """``docs``, all columns, with sanitised texts (null stays null); ``chars_col``, if there, gets their length."""
+    columns, at = docs.columns, docs.columns.index(text_col)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)])
+    rows = _with_told(own, f"c{at}").select(*own.columns, "told", "shares")
 
-    Base spans are found again from the text; disclosing terms come by the text's digest.
-    """
-    added = _added(reliable_checkpoint(scan(docs, id_col, text_col))).withColumnRenamed("added", "__added")
-    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("fp"))
-    rows = _with_added(own, added).select(*[f"c{k}" for k in range(len(docs.columns))], "__added")
-    at, columns = docs.columns.index(text_col), docs.columns
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                p = b.slice(k, 256)
-                texts, extra = p.column(at).to_pylist(), p.column(p.num_columns - 1).to_pylist()
-                new = [t if t is None else sanitise(t, ",".join(f"{n}:{x}:{y}" for n, x, y in base_spans(t)), e) for t, e in zip(texts, extra, strict=True)]
-                cols = [pa.array(new, p.column(at).type) if n == text_col else pa.array([None if t is None else len(t) for t in new], p.column(j).type) if n == chars_col else p.column(j) for j, n in enumerate(columns)]
+                p, new = b.slice(k, 256), []
+                n = p.num_columns
+                for text, told, shares in zip(*(p.column(j).to_pylist() for j in (at, n - 2, n - 1)), strict=True):
+                    spans = base_spans(text or "")
+                    new.append(None if text is None else sanitise(text, spans, added(text, spans, told, shares)))
+                sizes = [None if t is None else len(t) for t in new]
+                cols = [pa.array(new, p.column(j).type) if j == at else pa.array(sizes, p.column(j).type) if c == chars_col else p.column(j) for j, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return rows.mapInArrow(apply, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

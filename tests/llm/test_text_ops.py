@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 
@@ -210,7 +211,7 @@ def test_disclosing_terms(spark):
 def test_disclosing_terms_by_the_join_way(spark, monkeypatch):
     df = spark.createDataFrame(docs_with_terms(), "doc_id long, text string").repartition(4)
     want = sorted(map(str, pii.sanitised(df).collect()))
-    monkeypatch.setattr(pii, "SMALL", 0)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", -1)
     assert sorted(map(str, pii.sanitised(df).collect())) == want
 
 
@@ -240,8 +241,77 @@ def test_values_of_one_text_are_covered_by_what_they_share(spark):
 
 def test_sanitise_overlapping_spans():
     t = "ip 1.2.3.4 and a@1.2.3.4 end"
-    base = ",".join(f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t))
-    assert pii.sanitise(t, base, None) == "ip [IP] and [EMAIL] end"
+    assert pii.sanitise(t, pii.base_spans(t), []) == "ip [IP] and [EMAIL] end"
+
+
+def test_ladder():
+    t = "Anna met agent 007 there"
+    places = [(0, 4, 0.9), (9, 14, 0.85), (15, 18, 0.9), (19, 24, 0.99)]
+    assert pii.sanitise(t, [], places) == "[NAME] met [WORD] [NUMBER] "
+
+
+def brute_added(rows):
+    """(text, start, end) -> share of all disclosing terms, by plain loops over all pairs of entity and term."""
+    texts = [t or "" for _, t in rows]
+    words = lambda t, spans: {w for w, _, _ in pii.terms(t, spans)}
+    held = {t: (pii.entities(t, pii.base_spans(t)), words(t, pii.base_spans(t))) for t in set(texts) if pii.base_spans(t)}
+    group = {t: {t} for t in held}
+    sketch = {t: pii.sketches(t) for t in held}
+    for a in held:
+        for b in held:
+            if any(x == y for x, y in zip(sketch[a], sketch[b], strict=True)) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for t in group[a]:
+                    group[t] = group[a]
+    unlike = lambda ts: len({id(group[t]) for t in ts})
+    ents = {e for es, _ in held.values() for e in es}
+    holders = {e: [t for t in held if e in held[t][0]] for e in ents}
+    holders = {e: ts for e, ts in holders.items() if unlike(ts) > 1}
+    tested = sum(len(held[t][1]) for ts in holders.values() for t in ts) or 1
+    df = lambda w: sum(w in {x.strip(pii._edges).lower() for x in t.split()} for t in texts)
+    out = {}
+    for e, ts in holders.items():
+        own = sum(texts.count(t) for t in ts)
+        info = math.log(len(texts) / own)
+        for w in set().union(*(held[t][1] for t in ts)):
+            having = [t for t in ts if w in held[t][1]]
+            k, n = unlike(having), df(w)
+            mean = n * unlike(ts) / len(texts)
+            if k < 2 or info <= 0 or mean >= k:
+                continue
+            tail = k * math.log(mean) - (k * math.log(k) - k + 0.5 * math.log(2 * math.pi * k)) - mean - math.log(1 - min(mean / (k + 1), 0.999))
+            share = math.log(len(texts) * sum(texts.count(t) for t in having) / (n * own)) / info
+            if tail + math.log(tested) > math.log(pii.ALPHA) or share < pii.GENERALISE:
+                continue
+            for t in ts:
+                for x, a, b in pii.terms(t, pii.base_spans(t)):
+                    if x == w:
+                        out[t, a, b] = max(share, out.get((t, a, b), 0))
+    return out
+
+
+def test_added_terms_equal_brute_force(spark):
+    rng = random.Random(12)
+    words = [a + b for a in "ba ce di fo gu".split() for b in "ra se ti vo zu".split()] + ["x" * 60]
+    fill = lambda n=12: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, f"{fill()} {'Oddword' if k == 3 else ''} {fill()}") for k in range(120)]
+    rows += [(200 + k, f"{fill()} (Hiddenname), {fill()} p{k}@firm.org, {fill()} {'oddword' if k else ''} {'w' * 70} HIDDENNAME") for k in range(7)]
+    rows += [(300 + k, f"{fill(40)} +1-743-555-38{k}{k} {fill(40)} Callerid7 {fill(5)}") for k in range(6)]
+    rows += [(400, rows[125][1]), (401, rows[125][1]), (402, None), (403, "")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, told string").repartition(5)
+    text = dict(rows)
+    got = {(text[r.id], a["start"], a["end"]): a["share"] for r in pii.find(df).collect() for a in r.added}
+    want = brute_added(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    named = {t[a:b].lower() for t, a, b in want}
+    assert named >= {"hiddenname", "w" * 70, "callerid7", "oddword"}
+
+
+def test_filter_lets_all_candidates_pass(spark):
+    hashes = [pii.term_hash(f"word{k}") for k in range(3000)]
+    bits = pii.bit_filter(spark.createDataFrame([(h,) for h in hashes], "term long"), "term")
+    assert all(bits[(h & pii.FILTER_BITS - 1) >> 3] >> (h & 7) & 1 for h in hashes)
+    assert sum(b.bit_count() for b in bits) <= 3000 and not any(pii.bit_filter(spark.createDataFrame([], "term long"), "term"))
 
 
 def test_pii_query(spark, sf):

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,13 +34,29 @@ def tokenizer_path(name: str) -> str:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session's ``spark.checkpoint.dir``; a folder of our own only where the session names none (local tests)."""
+    """The shared folder of the session's ``spark.checkpoint.dir``. A session that names none gets a temporary folder in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "pathloom-checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "pathloom-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared folder, read back, and its path: compressed, unlike a checkpoint."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so that lost executors cost no recomputation."""
     checkpoint_folder(df.sparkSession)

@@ -108,35 +108,92 @@ def test_common_lines_are_a_longest_common_subsequence():
         assert len(got) == best[-1][-1] and all(a[i] in it for i in got)
 
 
+def brute_extract(rows):
+    """page_id, text of every page, by sorting the pages of a host and comparing each with the nearest other ones."""
+    def key(r):
+        path = re.sub(r"^.*?://[^/?#]*([^?#]*).*$", r"\1", r[1], flags=re.S) if r[1] and "://" in r[1] else ""
+        host = re.sub(r"^.*?://([^/?#]*).*$", r"\1", r[1], flags=re.S).lower() if r[1] and "://" in r[1] else ""
+        m = re.search(r"(\d+)\D*$", path)
+        return (host, re.sub(r"\d+\D*$", "", path), int(m[1]) if m else -1, r[1] is not None, r[1] or "", r[0]), path
+
+    order = sorted(((*key(r), r[0], html_extract.lines(r[2] or "")) for r in rows), key=lambda x: (x[0], x[3]))
+    out = []
+    for k, (at, _, page_id, own) in enumerate(order):
+        same = [x for x in order if x[0][0] == at[0]]
+        i = next(j for j, x in enumerate(same) if x is order[k])
+        first = last = i
+        while first and same[first - 1][3] == own:
+            first -= 1
+        while last + 1 < len(same) and same[last + 1][3] == own:
+            last += 1
+        prev, after = same[first - 1] if first else None, same[last + 1] if last + 1 < len(same) else None
+        side = html_extract.nearer(prev and prev[1], same[first][1], same[last][1], after and after[1])
+        other = {-1: prev, 0: None, 1: after}[side]
+        out.append((page_id, html_extract.main_text(own, other and other[3])))
+    return sorted(out, key=str)
+
+
+def with_partitions(spark, n, make):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        return make()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_shared_lines_go_by_the_nearest_page(spark):
     page = lambda k: f"<div>Site name</div><div>Top</div><div>Text {k}</div><div>Ask us</div>"
     rows = [(k, f"http://h.org/n/{k}", page(k)) for k in range(6)] + [(10, "http://one.org/", page(10)), (11, None, None), (12, None, ""), (13, "http://dup.org/a", page(1)), (14, "http://dup.org/a", page(1)), (14, "http://dup.org/a", page(1))]
-    got = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")).collect()]
+    got = [(r.page_id, r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, host string")).collect()]
     assert len(got) == len(rows) and all(n == len(t) for _, t, n in got)
     by = {i: t for i, t, _ in got}
     assert all(by[k] == f"Text {k}" for k in range(6))
     assert by[10] == "Site name Top Text 10 Ask us" and by[11] == by[12] == ""
     assert by[13] == by[14] == "Site name Top Text 1 Ask us"  # copies keep their lines
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
 
+def test_the_neighbour_shares_the_longer_path():
+    assert html_extract.nearer("/a/x", "/b/y", "/b/y", "/b/z") == 1 and html_extract.nearer("/b/x", "/b/y", "/b/y", "/c") == -1
+    assert html_extract.nearer("/b/x", "/b/y", "/b/y", "/b/z") == -1 and html_extract.nearer(None, "", "", None) == 0 and html_extract.nearer(None, "", "", "") == 1
 
-@pytest.mark.parametrize("tasks", ["1", "7"])
-def test_copies_are_compared_with_other_pages_across_tasks(spark, tasks):
+
+def test_lines_of_articles_stay_and_menus_go():
+    own = html_extract.lines("<nav>Home</nav><div>Same</div><article><p>Same passage</p><p>Own</p></article><div>Mine</div><footer>c 1</footer>")
+    other = html_extract.lines("<nav>Home</nav><div>Same</div><article><p>Same passage</p><p>Else</p></article><div>Theirs</div><footer>c 2</footer>")
+    assert html_extract.main_text(own, other) == "Same passage Own Mine" and html_extract.main_text(own, None) == "Same Same passage Own Mine"
+    assert len(html_extract.common([x[1:] for x in own], [x[1:] for x in other])) == 3
+
+
+def test_texts_dont_depend_on_partitions(spark):
+    rng = random.Random(21)
     menu = "".join(f"<div>Menu {k}</div>" for k in range(10))
-    page = lambda k: f"{menu}<div>A long paragraph of page {k}</div>"
-    # copies at the start, in the middle and at the end of a host
-    of = [0, 0, 0, 1, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4]
-    rows = [(k, f"http://h.org/n/{k}", page(x)) for k, x in enumerate(of)] + [(100 + k, "http://z.org/a", page(9)) for k in range(5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", tasks)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-    assert len(got) == len(rows) and all(got[k] == f"A long paragraph of page {x}" for k, x in enumerate(of))
-    assert all(got[100 + k].startswith("Menu 0") for k in range(5))  # no other page on that host
+    page = lambda k: f"{menu}<div>Part {k % 3}</div><nav>Way {k % 2}</nav><div>A long paragraph of page {k}</div><article>Passage {k % 4}</article>"
+    rows = []
+    for host in range(7):  # hosts of one page, of copies only, of many pages; runs of copies over several tasks
+        for k in range([1, 3, 60, 5, 90, 2, 30][host]):
+            kind = rng.choice([0, 1, 2, 3]) if host in (2, 6) else 7 if host in (1, 4) and k > 2 else k
+            rows.append((host * 1000 + k, f"http://h{host}.org/{rng.choice('ab')}/{rng.choice([k, 10 ** 30 + k, ''])}/", page(kind)))
+    rows += [(9000, None, page(1)), (9001, "no scheme", page(2)), (9000, None, page(1)), (None, "http://h2.org/a", page(3))]
+    df = spark.createDataFrame([(i, u, h) for i, u, h in rows], "page_id long, url string, html string").repartition(3)
+    want = brute_extract([(i if i is not None else -1, u, h) for i, u, h in rows])
+    for n in (2, 40, 211):
+        got = with_partitions(spark, n, lambda: [(r.page_id if r.page_id is not None else -1, r.text) for r in html_extract.extract(df).collect()])
+        assert sorted(got, key=str) == want, n
+    assert all("Menu" not in t for i, t in want if 4000 <= i < 5000 or 2000 <= i < 3000)
+
+
+def test_alignment_of_long_pages_takes_linear_memory(monkeypatch):
+    rng = random.Random(5)
+    a, b = ([f"{rng.randrange(900)}" for _ in range(3000)] for _ in range(2))
+    whole = html_extract.common(a, b)
+    monkeypatch.setattr(html_extract, "_TABLE_BITS", 1 << 12)
+    halved = html_extract.common(a, b)
+    it = iter(b)
+    assert len(halved) == len(whole) > 50 and all(a[i] in it for i in sorted(halved))
 
 
 def test_html_query(spark, sf):

@@ -47,7 +47,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as Parquet in the shared folder, read back, and its path: compressed, unlike a checkpoint."""
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

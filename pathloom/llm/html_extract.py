@@ -8,17 +8,18 @@ shares the longer start of its path, the earlier if equal. So copies are passed
 with all lines of the neighbour by longest common subsequence; shared lines are deleted, but for those of articles, since articles share passages.
 Of the lines that the alignment leaves, those that the markup calls OFF are deleted: menus and adverts that differ from page to page.
 
-Lines, not pages, are shuffled, compressed. A host of any size is spread over tasks by range; each task hands over the first and last two runs of equal pages
-at its borders, and the pages there are settled from those, so that the number of tasks changes no text. Who is whose neighbour there is
-settled from paths and digests alone (four for each task), the lines meet by joins.
+Lines, not pages, are shuffled, compressed, once. A host of any size is spread over ranges of the order, whose borders come from a sample of the URLs; each range hands
+over the first and last two runs of equal pages of its first and last host, and the pages there are settled from those, so that the borders change no text. Who is whose
+neighbour there is settled from paths and digests alone (four for each range), the lines meet by joins.
 
 Null and empty pages have empty text. Very long pages are read whole; the alignment's memory is linear in the lines. Pages of a host that are all equal have no
-neighbour: they keep what isn't OFF. Ties in the order of URLs go by page id, then by text. Repeated rows stay; a null url is its own host. An empty table gives an
+neighbour: they keep what isn't OFF. Ties in the order of URLs go by page id as text, then by digest. Repeated rows stay; a null url is its own host. An empty table gives an
 empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import os.path
@@ -27,11 +28,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import removed, table, written
+from .common import table, written
 
 #: What the markup says of a line.
 FREE, SURE, OFF = "0", "1", "2"
@@ -189,7 +189,7 @@ def main_text(own: list[str], other: list[str] | None) -> str:
 
 
 def _packed(own: list[str]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress("\n".join(own).encode())
+    return zstandard.ZstdCompressor().compress("\n".join(own).encode())
 
 
 def _unpacked(data: bytes) -> list[str]:
@@ -223,10 +223,10 @@ _EXTRACTED = "sort string, page_id {kind}, url string, text string, host string,
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of three sorts from pages in order: ``done`` (a page and its text), ``open`` (a page of a run that may go on in another task, or whose
-    neighbour may lie there) and ``end`` (a run at a border: the first and last two of the task's first and last host)."""
-    part = TaskContext.get().partitionId()
-    host, lead = None, True
+    """Rows of three sorts from pages in order: ``done`` (a page and its text), ``open`` (a page of a run that may go on in another range, or whose
+    neighbour may lie there) and ``end`` (a run at a border: the first and last two of the range's first and last host)."""
+    part = host = None
+    lead = True  # the host is the first of its range
     at = 0  # the current run's place in its host
     head: list[tuple[int, _Run]] = []
     before = now = None
@@ -256,12 +256,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     b = None
     for b in batches:
-        for page_id, url, own_host, path, sig, packed in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            if own_host != host:
-                if host is not None:
-                    close(False)
-                    lead = False
-                host, before, at, now = own_host, None, 0, _Run(sig, packed, path)
+        for page_id, url, own_part, own_host, path, sig, packed in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            if own_part != part or own_host != host:
+                if now is not None:
+                    close(own_part != part)
+                    lead = own_part != part
+                part, host, before, at, now = own_part, own_host, None, 0, _Run(sig, packed, path)
                 head = [(0, now)]
             elif sig != now.sig:
                 new = _Run(sig, packed, path)
@@ -277,7 +277,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows:
             yield _rows(b, rows)
             rows.clear()
-    if host is not None:
+    if now is not None:
         close(True)
         yield _rows(b, rows)
 
@@ -320,29 +320,44 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(j).slice(k, 1) for j in range(3)), pa.array([text])], names=["host", "part", "idx", "text"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 256):
-            p = b.slice(at, 256)
-            own = [lines(t or "") for t in p.column(5).to_pylist()]
-            sigs = [hashlib.md5("\n".join(x).encode()).digest() for x in own]
-            yield pa.RecordBatch.from_arrays([*p.columns[:5], pa.array(sigs, pa.binary()), pa.array([_packed(x) for x in own], pa.binary())], names=["page_id", "url", "host", "path", "item", "sig", "packed"])
+#: Sampled URLs for each range, at most, and in all.
+_SAMPLED, _SAMPLE = 40, 200_000
+_KEYS = ("host", "folder", "item", "at", "id")
+
+
+def _borders(keys: DataFrame, ranges: int) -> list[tuple]:
+    """Keys that cut the table into so many ranges of about equal size: quantiles of a sample, drawn by hash, of bounded size."""
+    each = max(4, min(_SAMPLED, _SAMPLE // ranges))
+    every = max(1, keys.count() // (each * ranges))
+    drawn = sorted(map(tuple, keys.where(F.pmod(F.xxhash64(*_KEYS), F.lit(every)) == 0).collect()))
+    return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    url, kind = F.col(url_col), dict(pages.dtypes)[id_col]
+    spark, url, kind = pages.sparkSession, F.col(url_col), dict(pages.dtypes)[id_col]
     host = F.lower(F.regexp_extract(url, r"://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1)
     digits = F.regexp_extract(F.regexp_extract(path, r"(\d+)\D*$", 1), r"^0*(.*)$", 1)
     item = F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)  # numbers of any length in their order
     blank = lambda c: F.coalesce(c, F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), blank(host).alias("host"), blank(path).alias("path"), blank(item).alias("item"), F.col(html_col).alias("html"))
-    cut, own = written(rows.mapInArrow(_cut, f"page_id {kind}, url string, host string, path string, item string, sig binary, packed binary"))
-    order = ["host", F.regexp_replace("path", r"\d+\D*$", ""), "item", "url", "page_id", "sig"]
-    dealt = cut.repartitionByRange(*order).sortWithinPartitions(*order).select("page_id", "url", "host", "path", "sig", "packed")
-    found, _ = written(dealt.mapInArrow(_extract, _EXTRACTED.format(kind=kind)))
-    removed(pages.sparkSession, own)
+    keys = [blank(host).alias("host"), blank(F.regexp_replace(path, r"\d+\D*$", "")).alias("folder"), blank(item).alias("item"), blank(url).alias("at"), blank(F.col(id_col).cast("string")).alias("id")]
+    borders = spark.sparkContext.broadcast(_borders(pages.select(*keys), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["page_id", "url", *_KEYS, "path", "part", "sig", "packed"]
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                p = b.slice(k, 256)
+                own = [lines(t or "") for t in p.column(8).to_pylist()]
+                parts = [bisect.bisect_right(borders.value, x) for x in zip(*(p.column(j).to_pylist() for j in range(2, 7)), strict=True)]
+                sigs = [hashlib.md5("\n".join(x).encode()).digest() for x in own]
+                yield pa.RecordBatch.from_arrays([*p.columns[:8], pa.array(parts, pa.int32()), pa.array(sigs, pa.binary()), pa.array([_packed(x) for x in own], pa.binary())], names=names)
+
+    rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), *keys, blank(path).alias("path"), F.col(html_col).alias("html"))
+    schema = f"page_id {kind}, url string, {', '.join(f'{k} string' for k in _KEYS)}, path string, part int, sig binary, packed binary"
+    dealt = rows.mapInArrow(cut, schema).repartition("part").sortWithinPartitions("part", *_KEYS, "sig")
+    found, _ = written(dealt.select("page_id", "url", "part", "host", "path", "sig", "packed").mapInArrow(_extract, _EXTRACTED.format(kind=kind)))
     ends = found.where("sort = 'end'")
     near = ends.select("host", "part", "idx", "sig", "first", "last").groupBy("host").applyInArrow(_neighbours, "host string, part int, idx int, npart int, nidx int")
     other = ends.select("host", F.col("part").alias("npart"), F.col("idx").alias("nidx"), F.col("packed").alias("other"))

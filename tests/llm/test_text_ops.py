@@ -114,7 +114,7 @@ def brute_extract(rows):
         path = re.sub(r"^.*?://[^/?#]*([^?#]*).*$", r"\1", r[1], flags=re.S) if r[1] and "://" in r[1] else ""
         host = re.sub(r"^.*?://([^/?#]*).*$", r"\1", r[1], flags=re.S).lower() if r[1] and "://" in r[1] else ""
         m = re.search(r"(\d+)\D*$", path)
-        return (host, re.sub(r"\d+\D*$", "", path), int(m[1]) if m else -1, r[1] is not None, r[1] or "", r[0]), path
+        return (host, re.sub(r"\d+\D*$", "", path), int(m[1]) if m else -1, r[1] or "", str(r[0]) if r[0] != -1 else ""), path
 
     order = sorted(((*key(r), r[0], html_extract.lines(r[2] or "")) for r in rows), key=lambda x: (x[0], x[3]))
     out = []

@@ -1,16 +1,21 @@
 """Media columns: TIFF. Walks image directories, decodes PackBits, LZW or deflate strips and tiles,
 undoes predictors, and gives one row per page. A writer stores bytes as 8-bit samples.
 
-Images are read whole in memory, one at a time. Supported: both byte orders; 8- and 16-bit unsigned samples;
+Images are read whole in memory, one at a time, and pages leave one at a time. Supported: both byte orders; 8- and 16-bit unsigned samples;
 chunky and planar samples; strips and tiles; compression 1 (none), 5 (LZW), 8 and 32946 (deflate),
-32773 (PackBits); predictors 1 and 2 (horizontal differences). Anything else raises ``ValueError``, which
-``read_pages`` reports in the column ``error`` of a row with page -1. A null or empty value has no pages: one row with page -1.
-Repeated rows give repeated pages; extra columns are ignored.
+32773 (PackBits); predictors 1 and 2 (horizontal differences).
+
+A page that is not supported, or broken (no sides, strips that are missing, overlap or leave the file, more samples than its bytes can hold,
+bytes that don't decode), is a row with its number and the column ``error``; the pages behind it follow. A file without a readable
+chain of directories gets a row with page -1 and ``error``. A null or empty value has no pages: one row with page -1 and no error.
+Nothing is allocated for a page before its size is known to fit its bytes. Repeated rows give repeated pages, in the order of their directories; an empty table gives
+none; extra columns, whatever their names, are ignored. Very long payloads are spread over pages.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,38 +35,39 @@ TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Bytes of a value by its type (fixed values of the format).
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-#: Payload stored in a page at most, in an image row, and in a strip. Payloads up to so many bytes are stored by PackBits, LZW.
-PAGE_BYTES, ROW_BYTES, STRIP_BYTES = 1 << 20, 64, 1 << 16
-PACKBITS_UP_TO, LZW_UP_TO = 512, 2048
+#: Payload stored in a page at most, in an image row, and in a strip; side of a tile.
+PAGE_BYTES, ROW_BYTES, STRIP_BYTES, TILE = 1 << 20, 64, 1 << 16, 32
+#: Bytes that one stored byte can become at most: LZW's longest entry in its shortest code, PackBits' longest run, deflate's bound.
+EXPANSION = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 
 
 # ------------------------------------------------------------- compression
 
+_run = re.compile(rb"(.)\1{2,127}", re.S)
+
 
 def packbits(data: bytes) -> bytes:
     """Run-length code: a header byte n under 128 and n + 1 literals, or 257 - n and one byte for n copies."""
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 2:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    out, at = bytearray(), 0
+
+    def literal(end: int) -> None:
+        for k in range(at, end, 128):
+            part = data[k : min(k + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _run.finditer(data):
+        literal(m.start())
+        at = m.end()
+        out += bytes((257 - (at - m.start()), data[m.start()]))
+    literal(len(data))
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
-    """The inverse of ``packbits``; header 128 is skipped."""
+def unpackbits(data: bytes, most: int | None = None) -> bytes:
+    """The inverse of ``packbits``, up to ``most`` bytes; header 128 is skipped."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (most is None or len(out) < most):
         h = data[i]
         if h < 128:
             out += data[i + 1 : i + 2 + h]
@@ -70,84 +76,93 @@ def unpackbits(data: bytes) -> bytes:
             if h > 128:
                 out += data[i + 1 : i + 2] * (257 - h)
             i += 2 if h > 128 else 1
-    return bytes(out)
+    return bytes(out[:most])
+
+
+#: Codes that follow a clear code with 9, 10 and 11 bits; all later ones have 12.
+_WIDE = ((9, 254), (10, 512), (11, 1024))
+#: Codes between two clear codes of the writer: then the table is full.
+_FULL = 3836
 
 
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; 256 clears the table, 257 ends. Widths grow one code early."""
-    acc = width = 0
-    out = bytearray()
-    bits, table, new = 9, {}, 258
-
-    def put(code: int) -> None:
-        nonlocal acc, width
-        acc, width = acc << bits | code, width + bits
-        while width >= 8:
-            width -= 8
-            out.append(acc >> width & 255)
-        acc &= (1 << width) - 1
-
-    put(256)
-    now = -1
+    codes, table, new = [256], {}, 258
+    full, now, put = 258 + _FULL, -1, codes.append
     for b in data:
         if now < 0:
             now = b
             continue
-        nxt = table.get(now << 8 | b)
+        key = now << 8 | b
+        nxt = table.get(key)
         if nxt is not None:
             now = nxt
             continue
         put(now)
-        table[now << 8 | b] = new
+        table[key] = new
         new += 1
-        if new + 1 > 1 << bits and bits < 12:
-            bits += 1
-        elif new >= 4094:
+        if new == full:
             put(256)
-            bits, table, new = 9, {}, 258
+            table, new = {}, 258
         now = b
     if now >= 0:
         put(now)
-        new += 1
-        if new + 1 > 1 << bits and bits < 12:
-            bits += 1
     put(257)
-    if width:
-        out.append(acc << 8 - width & 255)
-    return bytes(out)
-
-
-def unlzw(data: bytes) -> bytes:
-    """The inverse of ``lzw``."""
-    out, base = [], [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, bits, acc, width, before = base.copy(), 9, 0, 0, None
-    for byte in data:
-        acc, width = (acc << 8 | byte) & 0xFFFFFFF, width + 8
-        if width < bits:
-            continue
-        width -= bits
-        code = acc >> width & (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, bits, before = base.copy(), 9, None
-            continue
-        if before is None:
-            entry = table[code]
-        else:
-            if code > len(table):
-                raise ValueError("LZW code beyond its table")
-            entry = table[code] if code < len(table) else before + before[:1]
-            table.append(before + entry[:1])
-        out.append(entry)
-        before = entry
-        if len(table) + 1 >= 1 << bits and bits < 12:
-            bits += 1
-    return b"".join(out)
+    own = np.array(codes, np.uint16)
+    start = np.flatnonzero(own == 256)
+    since = np.arange(len(own)) - np.repeat(start, np.diff(np.append(start, len(own)))) - 1  # codes since the last clear code; -1 for itself
+    width = 9 + sum((since >= n).astype(np.int64) for n in np.cumsum([n for _, n in _WIDE]))
+    width[start[1:]] = 12
+    width[0] = 9
+    place = np.arange(11, -1, -1)
+    bits = (own[:, None] >> place & 1).astype(np.uint8)
+    return np.packbits(bits[place[None, :] < width[:, None]]).tobytes()
+
+
+def unlzw(data: bytes, most: int | None = None) -> bytes:
+    """The inverse of ``lzw``, up to ``most`` bytes (and an entry)."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    base = [bytes((i,)) for i in range(256)] + [b"", b""]
+    out, at, size = [], 0, 0
+    while True:  # from one clear code to the next
+        table, before, cleared = base.copy(), None, False
+        add = table.append
+        for width, n in (*_WIDE, (12, len(bits))):
+            n = min(n, (len(bits) - at) // width)
+            codes = bits[at : at + n * width].reshape(-1, width) @ (1 << np.arange(width - 1, -1, -1))
+            ends = np.flatnonzero((codes == 256) | (codes == 257))
+            upto = int(ends[0]) if len(ends) else n
+            for code in codes[:upto].tolist():
+                if before is None:
+                    if code > 255:
+                        raise ValueError("LZW data begin with no byte")
+                    entry = table[code]
+                else:
+                    if code > len(table):
+                        raise ValueError("LZW code beyond its table")
+                    entry = table[code] if code < len(table) else before + before[:1]
+                    add(before + entry[:1])
+                out.append(entry)
+                size += len(entry)
+                before = entry
+                if most is not None and size >= most:
+                    return b"".join(out)[:most]
+            if upto < n:
+                if codes[upto] == 257:
+                    return b"".join(out)
+                at, cleared = at + (upto + 1) * width, True
+                break
+            at += n * width
+        if not cleared:
+            return b"".join(out)
+
+
+def _inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, max(1, most))
 
 
 _PACK = {NONE: bytes, PACKBITS: packbits, LZW: lzw, DEFLATE: lambda b: zlib.compress(b, 1)}
-_UNPACK = {NONE: bytes, PACKBITS: unpackbits, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+_UNPACK = {NONE: lambda b, most: bytes(b[:most]), PACKBITS: unpackbits, LZW: unlzw, DEFLATE: _inflate, OLD_DEFLATE: _inflate}
 
 
 # ------------------------------------------------------------- reading
@@ -163,8 +178,11 @@ class Page:
     samples: np.ndarray
 
 
-def pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file, in the order of its directories."""
+BROKEN = (ValueError, KeyError, IndexError, OverflowError, MemoryError, struct.error, zlib.error)
+
+
+def each_page(data: bytes) -> Iterator[Page | tuple[int, str]]:
+    """The pages of a file, in the order of its directories; (number, error) for one that can't be read. Raises where the chain of directories breaks."""
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise ValueError("no TIFF header")
     e = "<" if data[:2] == b"II" else ">"
@@ -176,10 +194,21 @@ def pages(data: bytes) -> Iterator[Page]:
             raise ValueError("image directories form a loop or leave the file")
         seen.add(at)
         tags, at = _directory(data, at, e)
-        yield _page(data, tags, e, number)
+        try:
+            yield _page(data, tags, e, number)
+        except BROKEN as x:
+            yield number, str(x) or type(x).__name__
         number += 1
 
 
+def pages(data: bytes) -> Iterator[Page]:
+    """The pages of a file, in the order of its directories. Raises for one that can't be read."""
+    for p in each_page(data):
+        if not isinstance(p, Page):
+            raise ValueError(f"page {p[0]}: {p[1]}")
+        yield p
+
+
 def _directory(data: bytes, at: int, e: str) -> tuple[dict[int, list[int]], int]:
     n = struct.unpack_from(e + "H", data, at)[0]
     tags = {}
@@ -189,28 +218,40 @@ def _directory(data: bytes, at: int, e: str) -> tuple[dict[int, list[int]], int]
         size = TYPE_SIZE.get(kind, 0) * count
         where = p + 8 if size <= 4 else struct.unpack_from(e + "I", data, p + 8)[0]
         if kind in (1, 3, 4):
-            tags[tag] = list(struct.unpack_from(f"{e}{count}{'BHI'[(1, 3, 4).index(kind)]}", data, where))
+            inside = where + size <= len(data)  # values that leave the file are missing
+            tags[tag] = list(struct.unpack_from(f"{e}{count}{'BHI'[(1, 3, 4).index(kind)]}", data, where)) if inside else []
     return tags, struct.unpack_from(e + "I", data, at + 2 + 12 * n)[0]
 
 
 def _page(data: bytes, tags: dict[int, list[int]], e: str, number: int) -> Page:
-    one = lambda tag, other: tags.get(tag, [other])[0]
+    one = lambda tag, other: (tags.get(tag) or [other])[0]
     width, height, samples, bits = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1)
     packed, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if bits not in (8, 16) or packed not in _UNPACK or predictor not in (1, 2) or planar not in (1, 2) or any(b != bits for b in tags.get(BITS, [])):
         raise ValueError(f"not supported: {bits} bits, compression {packed}, predictor {predictor}")
-    kind, deep = np.dtype(f"{e}u{bits // 8}"), samples if planar == 1 else 1
-    if TILE_OFFSETS in tags:
-        w, h, offsets, counts = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags[TILE_COUNTS]
+    kind, deep, tiled = np.dtype(f"{e}u{bits // 8}"), samples if planar == 1 else 1, TILE_OFFSETS in tags
+    if tiled:
+        w, h, offsets, counts = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0), tags[TILE_OFFSETS], tags.get(TILE_COUNTS, [])
     else:
-        w, h, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags[STRIP_OFFSETS], tags[STRIP_COUNTS]
+        w, h, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags.get(STRIP_OFFSETS, []), tags.get(STRIP_COUNTS, [])
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError(f"no sides: {width} x {height} x {samples}, blocks of {w} x {h}")
     across, down = -(-width // w), -(-height // h)
+    if not len(offsets) == len(counts) == across * down * (samples if planar == 2 else 1):
+        raise ValueError(f"{len(offsets)} places and {len(counts)} sizes of strips or tiles")
+    spans = sorted(zip(offsets, counts, strict=True))
+    if any(a + n > b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) or spans[-1][0] + spans[-1][1] > len(data):
+        raise ValueError("strips or tiles overlap or leave the file")
+    rows_of = lambda y: h if tiled else min(h, height - y)
+    size = lambda y: rows_of(y) * w * deep * kind.itemsize
+    for k, count in enumerate(counts):
+        if size(k % (across * down) // across * h) > count * EXPANSION[packed]:
+            raise ValueError("a strip or tile holds less than its samples")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for k, (offset, count) in enumerate(zip(offsets, counts, strict=True)):
         plane, cell = divmod(k, across * down)
         y, x = cell // across * h, cell % across * w
-        rows = h if TILE_OFFSETS in tags else min(h, height - y)
-        block = np.frombuffer(_UNPACK[packed](data[offset : offset + count]), kind, rows * w * deep).reshape(rows, w, deep)
+        block = np.frombuffer(_UNPACK[packed](data[offset : offset + count], size(y)), kind, rows_of(y) * w * deep).reshape(rows_of(y), w, deep)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=out.dtype)
         first = plane if planar == 2 else 0
@@ -218,6 +259,22 @@ def _page(data: bytes, tags: dict[int, list[int]], e: str, number: int) -> Page:
     return Page(number, packed, predictor, out)
 
 
+def page_rows(value: bytes | None) -> Iterator[tuple]:
+    """(page, width, height, samples, bits, compression, predictor, pixels, error) of every page of a media value."""
+    if not value:
+        yield (-1, *[None] * 8)
+        return
+    try:
+        for p in each_page(value):
+            if isinstance(p, Page):
+                h, w, s = p.samples.shape
+                yield p.number, w, h, s, p.samples.dtype.itemsize * 8, p.compression, p.predictor, p.samples.tobytes(), None
+            else:
+                yield (p[0], *[None] * 7, p[1])
+    except BROKEN as x:
+        yield (-1, *[None] * 7, str(x) or type(x).__name__)
+
+
 def read_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row for each page: id, page, width, height, samples, bits, compression, predictor, pixels (row-major bytes), error."""
     kind = dict(df.dtypes)[id_col]
@@ -225,19 +282,10 @@ def read_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                own, value, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), []
-                if not value:
-                    rows.append((own, -1, None, None, None, None, None, None, None, None))
-                else:
-                    try:
-                        for p in pages(value):
-                            h, w, s = p.samples.shape
-                            rows.append((own, p.number, w, h, s, p.samples.dtype.itemsize * 8, p.compression, p.predictor, p.samples.tobytes(), None))
-                    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as x:
-                        rows.append((own, -1, None, None, None, None, None, None, None, str(x)))
-                kinds = [batch.schema.field(0).type] + [pa.int32()] * 7 + [pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            kinds = [batch.schema.field(0).type] + [pa.int32()] * 7 + [pa.binary(), pa.string()]
+            for own, value in zip(batch.column(0), batch.column(1), strict=True):
+                for row in page_rows(value.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((own.as_py(), *row), kinds, strict=True)], names=names)
 
     schema = f"id {kind}, page int, width int, height int, samples int, bits int, compression int, predictor int, pixels binary, error string"
     return df.select(F.col(id_col), F.col(media_col)).mapInArrow(run, schema)
@@ -246,15 +294,19 @@ def read_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 # ------------------------------------------------------------- writing
 
 
-def write(payload: bytes, row: int = ROW_BYTES, page: int = PAGE_BYTES, strip: int = STRIP_BYTES, compression: int | None = None, predictor: int = 2, tile: int = 0) -> bytes:
+def layout(payload: bytes) -> tuple[int, int]:
+    """Compression and side of tiles (0: strips) of a payload, drawn from its CRC, so that payloads of every size use all of them."""
+    n = zlib.crc32(payload)
+    return (PACKBITS, LZW, DEFLATE)[n % 3], n // 3 % 2 * TILE
+
+
+def write(payload: bytes, row: int = ROW_BYTES, page: int = PAGE_BYTES, strip: int = STRIP_BYTES, compression: int = DEFLATE, predictor: int = 2, tile: int = 0) -> bytes:
     """A little-endian file of 8-bit grey pages that holds ``payload``, whose length is a multiple of ``row``.
 
     Pages have ``page`` bytes at most, strips ``strip``. With ``tile`` (a multiple of 16) pages have square tiles of that side instead.
     """
     if not payload or len(payload) % row:
         raise ValueError("the payload must fill its rows")
-    if compression is None:
-        compression = PACKBITS if len(payload) <= PACKBITS_UP_TO else LZW if len(payload) <= LZW_UP_TO else DEFLATE
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     for start in range(0, len(payload), page):
@@ -307,11 +359,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = []
         for t in texts:
             raw = t.encode()
-            media = write(raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw)))
-            got = [p.samples.reshape(-1) for p in pages(media)]
-            samples = np.concatenate(got)
-            back = samples.tobytes()
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples), len(got)))
+            payload = raw + b"\0" * (max(1, -(-len(raw) // 64)) * 64 - len(raw))
+            compression, tile = layout(payload)
+            media = write(payload, compression=compression, tile=tile)
+            got = list(page_rows(media))
+            back = b"".join(r[7] for r in got)
+            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(back, np.uint8)), len(got)))
         return {"doc_id": ids} | {n: [r[k] for r in rows] for k, n in enumerate(names)}
 
     return map_text(docs, run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages long")

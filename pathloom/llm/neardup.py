@@ -1,22 +1,24 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles of five words get the weight ``(1 + ln tf) * idf``. The idf falls with the share of
-   documents that hold the shingle, counted exactly over all documents for every shingle held by
-   at least the share ``COMMON`` of them; rarer shingles all have idf 1. At most
-   ``mean shingles / COMMON`` shingles can be that common, whatever the corpus size, which is the
-   proven bound of what is broadcast. The idf stays in [0.95, 1], so that a large group of near copies, whose
-   shingles are common because of the copies, keeps its similarity.
+1. Shingles of five words get the weight ``(1 + ln tf) * idf``. The idf is the logarithm of the inverse share of the documents that hold the
+   shingle, counted exactly over all documents, by the logarithm at the share ``COMMON``, where it saturates: rarer shingles have 1. At most
+   ``mean shingles / COMMON`` shingles can be more common, whatever the corpus size, which is the
+   proven bound of what is broadcast. Documents with one smallest shingle count once: else a large group of near copies would make
+   its own shingles common, leave weight to its edits alone, and fall apart.
 2. Each distinct text gets ``BANDS * ROWS`` consistent weighted samples; equal bands make candidates.
 3. In every bucket each text is compared with one leader, the text that shares most buckets with others (the
    middle of a group of copies); those that don't get into its class are compared with a second leader
    of their own. What still stands outside its leader's class is a set of queries against all texts of that
    leader, in blocks of BLOCK by BLOCK texts, each joined by an inverted list of shingles in one task: no candidate link is
    lost, no pairs are emitted but links, and a group of copies costs a few comparisons for each copy.
+   A leader's texts are dealt to tasks in blocks, and joins by leader are salted: a leader may be hot.
 4. Verified links (weighted Jaccard of at least ``THRESHOLD``) are joined to classes by label propagation.
 
 Null texts count as empty; all texts without words are compared exactly only. Equal texts are one
 class whatever their ids. Repeated rows stay repeated. Ids may be null or repeated: texts are
-told apart by digest, and a class is named by its smallest id; classes that share that id differ in their label. Extra columns don't matter.
+told apart by digest, and a class is named by its smallest id; classes that share that id differ in their label. Very long texts are
+shingled whole. Similarities equal to the threshold are links; of leaders that share equally many buckets the one of the larger digest leads. An empty
+table has no classes. Extra columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from pyspark.sql import functions as F
 from .common import release, reliable_checkpoint, shingles, slices
 
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
-#: Share of the documents from which on a shingle's idf is under 1; the least idf.
-COMMON, LEAST_IDF = 0.01, 0.95
-#: Texts of a block, by mean.
-BLOCK = 256
+#: Share of the documents from which on a shingle's idf is under 1; the idf of what all documents hold, so that no weight is 0.
+COMMON, LEAST_IDF = 0.01, 0.01
+#: Texts of a block, by mean; keys that a leader's rows are dealt to in a join.
+BLOCK, SALT = 256, 16
 #: Shingles that a task counts at once.
 CHUNK = 2_000_000
 
@@ -105,100 +107,105 @@ def band_keys(found: np.ndarray, w: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _count_pass(texts: DataFrame, local: float | None, only: np.ndarray | None) -> DataFrame:
-    """Rows (h, n, docs): documents with shingle h in a chunk of so many documents.
-
-    With ``local``, those that hold at least that share of the chunk; with ``only``, the named ones.
-    """
+def _chunked(texts: DataFrame, made, schema: str) -> DataFrame:
+    """``made(chunk, docs)`` of the distinct shingles of some documents after each other, as many as have CHUNK shingles. texts(text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = docs = 0
-
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            if local is not None:
-                most = n >= local * docs
-                h, n = h[most], n[most]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.full(len(h), docs, np.int64))], names=["h", "n", "docs"])
-
+        size = 0
         for batch in batches:
             for _, part in slices(batch):
                 for t in part:
-                    s = np.unique(shingles(t.encode(), SIZE))
-                    if only is not None and len(s):
-                        at = np.minimum(np.searchsorted(only, s), len(only) - 1)
-                        s = s[only[at] == s]
-                    held.append(s)
-                    size, docs = size + len(s), docs + 1
+                    held.append(np.unique(shingles(t.encode(), SIZE)))
+                    size += len(held[-1])
                 if size >= CHUNK:
-                    yield flush()
-                    held, size, docs = [], 0, 0
-        if docs:
-            yield flush()
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
             held = []
             release()
 
-    return texts.select(F.lit(0).alias("id"), "text").mapInArrow(run, "h long, n long, docs long")
+    return texts.select(F.lit(0).alias("id"), "text").mapInArrow(run, schema)
 
 
 def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles that at least the share COMMON of the documents hold, in order, and their idf.
+    """All shingles that at least the share COMMON of the documents hold, in order, and their idf. Documents with one smallest shingle count once.
 
     A shingle with that share overall holds half of it in some chunk; a chunk where it has less adds
     at most that half. So at most 2 * mean shingles / COMMON shingles can pass the first count.
     """
-    none = np.empty(0, np.uint64), np.empty(0)
-    least = COMMON * total
-    first = _count_pass(texts, COMMON / 2, None).groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    none, least = (np.empty(0, np.uint64), np.empty(0)), COMMON * total
+
+    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        most = n >= COMMON / 2 * len(held)
+        return pa.RecordBatch.from_arrays([pa.array(h[most].view(np.int64)), pa.array(n[most].astype(np.int64)), pa.array(np.full(most.sum(), len(held), np.int64))], names=["h", "n", "docs"])
+
+    first = _chunked(texts, frequent, "h long, n long, docs long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = first.where(F.col("n") + COMMON / 2 * (total - F.col("docs")) >= least).where("n > 1").select("h").toArrow()["h"].to_numpy()
     if not len(found):
         return none
     only = np.sort(found.view(np.uint64))
-    exact = _count_pass(texts, None, only).groupBy("h").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toArrow()
+
+    def sources(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, s = [], []
+        for own in held:
+            if len(own):
+                at = np.minimum(np.searchsorted(only, own), len(only) - 1)
+                h.append(own[only[at] == own])
+                s.append(np.full(len(h[-1]), own[0], np.uint64))
+        both = np.unique(np.stack([np.concatenate(h), np.concatenate(s)], 1), axis=0) if h else np.empty((0, 2), np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, k]).view(np.int64)) for k in range(2)], names=["h", "source"])
+
+    exact = _chunked(texts, sources, "h long, source long").distinct().groupBy("h").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).toArrow()
     if not len(exact):
         return none
     h = exact["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
     share = exact["n"].to_numpy()[order] / total
-    return h[order], np.maximum(LEAST_IDF, LEAST_IDF + (1 - LEAST_IDF) * np.log(1 / share) / math.log(1 / COMMON))
+    return h[order], np.maximum(LEAST_IDF, np.log(1 / share) / math.log(1 / COMMON))
 
 
-def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b, ...) with the two texts, ta and tb; texts(key, text)."""
-    one = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return one.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
+def _by_leader(rows: DataFrame, leaders: DataFrame) -> DataFrame:
+    """rows(a, b, ...) joined with leaders(a, ...), one row for each; a leader's rows are dealt to SALT keys."""
+    salted = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
 
 
-class _Leaders:
-    """The weighted shingles of the last few leaders: a hot leader meets many texts in a row."""
+def _block(n: str):
+    """The block of text b among so many."""
+    return F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
 
-    def __init__(self, heavy):
-        self.heavy, self.last = heavy, {}
 
-    def get(self, key: bytes, text) -> tuple[np.ndarray, np.ndarray]:
-        if key not in self.last:
-            if len(self.last) > 64:
-                self.last.clear()
-            self.last[key] = weighted((text.as_py() or "").encode(), *self.heavy)
-        return self.last[key]
+def _blocks(rows: DataFrame, n: str) -> DataFrame:
+    """a and the number of blocks of about BLOCK of its rows."""
+    return rows.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, heavy) -> DataFrame:
-    """pairs(a, b) with the weighted Jaccard of their texts."""
+    """pairs(a, b), of distinct rows, with the weighted Jaccard of their texts. A leader's text goes once to each block of its pairs."""
+    dealt = _by_leader(pairs, _blocks(pairs, "n")).select("a", _block("n").alias("i"), F.lit(1).alias("side"), "b")
+    heads = dealt.select("a", "i").distinct().select("a", "i", F.lit(0).alias("side"), F.col("a").alias("b"))
+    rows = dealt.unionByName(heads).join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "i", "side", "b", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = _Leaders(heavy.value)
+        leader = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys, ta, tb, got = part.column(0).to_pylist(), part.column(2), part.column(3), []
-                for k, key in enumerate(keys):
-                    own = weighted((tb[k].as_py() or "").encode(), *heavy.value)
-                    got.append(similarity(leaders.get(key, ta[k]), own))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got, pa.float64())], names=["a", "b", "sim"])
+                sides, of, got, here = part.column(2).to_pylist(), part.column(4), [], []
+                for k, side in enumerate(sides):
+                    own = weighted((of[k].as_py() or "").encode(), *heavy.value)
+                    if side:
+                        got.append(similarity(leader, own))
+                        here.append(k)
+                    else:
+                        leader = own
+                kept = part.take(pa.array(here, pa.int32()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(3), pa.array(got, pa.float64())], names=["a", "b", "sim"])
 
-    return _with_texts(pairs, texts).select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary, sim double")
+    return rows.repartition("a", "i").sortWithinPartitions("a", "i", "side", "b").mapInArrow(run, "a binary, b binary, sim double")
 
 
 def _block_links(queries: list[tuple], texts: list[tuple], threshold: float) -> Iterator[tuple[bytes, bytes]]:
@@ -231,11 +238,9 @@ def _rest(lone: DataFrame, members: DataFrame, texts: DataFrame, heavy, threshol
     lone and members: (a, b, c), a leader, a text and its class. Texts are dealt to blocks by digest; a task
     joins a block of queries with a block of texts, so that a hot leader is spread over many.
     """
-    blocks = lambda df, n: df.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
-    counts = blocks(lone, "nq").join(blocks(members, "nt"), "a")
-    place = lambda n: F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
-    q = lone.join(counts, "a").select("a", place("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"), F.lit(0).alias("side"), "b", "c")
-    t = members.join(counts, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), place("nt").alias("j"), F.lit(1).alias("side"), "b", "c")
+    counts = _blocks(lone, "nq").join(_blocks(members, "nt"), "a")
+    q = _by_leader(lone, counts).select("a", _block("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"), F.lit(0).alias("side"), "b", "c")
+    t = _by_leader(members, counts).select("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), _block("nt").alias("j"), F.lit(1).alias("side"), "b", "c")
     rows = q.unionByName(t).join(texts.select(F.col("key").alias("b"), "text"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +270,7 @@ def _rest(lone: DataFrame, members: DataFrame, texts: DataFrame, heavy, threshol
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(key, label) of every end of an edge: the smallest key of its connected component.
 
     Smallest labels pass along edges, then each label takes its own label's label, so that long
@@ -273,7 +278,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     both = reliable_checkpoint(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
     labels = reliable_checkpoint(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
-    for _ in range(rounds):
+    while True:  # labels only fall, and every round lowers one, until they are settled
         near = both.join(labels, both.y == labels.key).groupBy("x").agg(F.min("label").alias("near"))
         took = labels.join(near, labels.key == near.x, "left").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("key").alias("of"), F.col("label").alias("up"))
@@ -281,7 +286,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         labels = new.select("key", "label")
         if new.where("old <> label").isEmpty():
             return labels
-    raise RuntimeError(f"components not settled after {rounds} rounds")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -320,12 +324,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     links = first.where(F.col("sim") >= threshold).select("a", "b")
     classes = components(links)
 
-    def classed(rows: DataFrame, end: str, name: str) -> DataFrame:
-        return rows.join(classes.select(F.col("key").alias(end), F.col("label").alias("__c")), end, "left").withColumn(name, F.coalesce("__c", end)).drop("__c")
+    def classed(rows: DataFrame) -> DataFrame:
+        """rows(a, b, ...) with the class c of b."""
+        return rows.join(classes.select(F.col("key").alias("b"), F.col("label").alias("c")), "b", "left").withColumn("c", F.coalesce("c", "b"))
 
     def apart(columns: list[str]) -> DataFrame:
         """The members that aren't in their leader's class."""
-        return classed(classed(members.select(*columns).distinct(), "a", "ca"), "b", "c").where("ca <> c").drop("ca")
+        leaders = members.select("a").distinct().join(classes.select(F.col("key").alias("a"), F.col("label").alias("ca")), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+        return classed(_by_leader(members.select(*columns).distinct(), leaders)).where("ca <> c").drop("ca")
 
     lone = reliable_checkpoint(apart(["band", "h", "a", "b", "reach"]))
     second = lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l"))
@@ -336,7 +342,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         classes = components(links)
 
     left = reliable_checkpoint(apart(["a", "b"]))
-    everyone = classed(members.select("a", "b").distinct().join(left.select("a").distinct(), "a"), "b", "c")
+    everyone = classed(_by_leader(members.select("a", "b").distinct(), left.select("a").distinct()))
     last = reliable_checkpoint(_rest(left.select("a", "b", "c"), reliable_checkpoint(everyone).select("a", "b", "c"), kept, heavy, threshold))
     if not last.isEmpty():
         classes = components(links.unionByName(last))
@@ -347,15 +353,21 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of one document for each class: a row that has the class's smallest id.
+    """The rows of ``docs``, all columns whatever their names, of one document for each class: a row that has the class's smallest id.
 
-    Of a class's rows with that id and several texts or repeats one stays. Classes are told apart by their label, not by that id.
+    Of a class's rows with that id the one of the smallest text digest stays, of repeated ones that of the smallest hash of all columns. Classes
+    are told apart by their label, not by that id.
     """
     classes = near_duplicate_classes(docs, id_col, text_col)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("fp").alias("__fp"), F.first("class_id").alias("__id")).drop("label")
-    own = docs.withColumn("__of", F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))))
-    kept = own.join(keep, (F.col("__of") == F.col("__fp")) & F.col(id_col).eqNullSafe(F.col("__id"))).dropDuplicates(["__fp", "__id"])
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("fp").alias("of"), F.first("class_id").alias("least")).drop("label")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    text, key = (names[docs.columns.index(c)] for c in (text_col, id_col))
+    rows = own.withColumn("fp", F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))))
+    kept = rows.join(keep, (F.col("fp") == F.col("of")) & F.col(key).eqNullSafe(F.col("least")))
+    hashed = [n for n, kind in own.dtypes if "map<" not in kind]
+    one = kept.groupBy("of", "least").agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias("row")).select("row.*")
+    return one.toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

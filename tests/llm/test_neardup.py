@@ -1,5 +1,6 @@
 """Near-duplicate classes against brute force, with a large group of edited copies."""
 
+import math
 import random
 
 import numpy as np
@@ -24,11 +25,26 @@ def edited(rng, t, edits):
     return " ".join(words)
 
 
+def plain_idf(texts):
+    """The common shingles and their idf, by plain counting: documents with one smallest shingle count once."""
+    held = {}
+    for t in texts:
+        own = set(N.shingles((t or "").encode()).tolist())
+        for h in own:
+            held.setdefault(h, [0, set()])
+            held[h][0] += 1
+            held[h][1].add(min(own))
+    least = N.COMMON * len(texts)
+    common = sorted((h, len(s)) for h, (n, s) in held.items() if len(s) >= least and len(s) > 1)
+    idf = [max(N.LEAST_IDF, min(1, math.log(len(texts) / n) / math.log(1 / N.COMMON))) for _, n in common]
+    return np.array([h for h, _ in common], np.uint64), np.array(idf)
+
+
 def brute(rows, threshold=0.8):
-    """Smallest id of each row's connected component under plain weighted Jaccard (all idf 1)."""
-    e, f = np.empty(0, np.uint64), np.empty(0)
-    vectors = [N.weighted((t or "").encode(), e, f) for _, t in rows]
-    parent = list(range(len(rows)))
+    """Smallest id of each row's connected component under weighted Jaccard, and all pairs of that similarity."""
+    heavy = plain_idf([t for _, t in rows])
+    vectors = [N.weighted((t or "").encode(), *heavy) for _, t in rows]
+    parent, pairs = list(range(len(rows))), []
 
     def find(x):
         while parent[x] != x:
@@ -40,10 +56,11 @@ def brute(rows, threshold=0.8):
             alike = (rows[i][1] or "") == (rows[j][1] or "") if not len(vectors[i][0]) or not len(vectors[j][0]) else N.similarity(vectors[i], vectors[j]) >= threshold
             if alike:
                 parent[find(i)] = find(j)
+                pairs.append((rows[i][0], rows[j][0]))
     least = {}
     for k, (i, _) in enumerate(rows):
         least[find(k)] = min(least.get(find(k), 1 << 60), i)
-    return {(i, t or ""): least[find(k)] for k, (i, t) in enumerate(rows)}
+    return {(i, t or ""): least[find(k)] for k, (i, t) in enumerate(rows)}, pairs
 
 
 @pytest.fixture(scope="module")
@@ -58,19 +75,23 @@ def rows():
     return list(enumerate(out))
 
 
-def test_classes_equal_brute_force(spark, rows, monkeypatch):
-    monkeypatch.setattr(N, "LEAST_IDF", 1.0)  # so that brute force needs no document frequencies
+def test_classes_equal_brute_force(spark, rows):
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, band int").repartition(5)
     got = {(r.doc_id): r.class_id for r in N.near_duplicate_classes(df).collect()}
-    want = {i: c for (i, _), c in brute(rows).items()}
-    assert got.keys() == want.keys()
+    classes, pairs = brute(rows)
+    want = {i: c for (i, _), c in classes.items()}
+    assert got.keys() == want.keys() and (plain_idf([t for _, t in rows])[1] < 0.95).any()
     wrong = [i for i in want if got[i] != want[i]]
     # banding finds a pair at the threshold with probability 0.998
     assert len(wrong) <= 2, wrong
+    recall = np.mean([got[a] == got[b] for a, b in pairs])
+    assert recall >= 0.99, recall
+    together = {c: [i for i in got if got[i] == c] for c in set(got.values())}
+    assert all(want[i] == want[c] for c, members in together.items() for i in members)  # no class of unlike texts
 
 
 def test_one_of_each_keeps_columns(spark, rows):
-    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, `least` int").repartition(5)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, of string, `least` int").repartition(5)
     out = N.one_of_each(df)
     assert out.columns == df.columns
     ids = {r.doc_id for r in out.collect()}
@@ -114,7 +135,10 @@ def test_common_shingles_are_counted_exactly(spark):
         for h in set(N.shingles(t.encode()).tolist()):
             df_of[h] = df_of.get(h, 0) + 1
     assert heavy.tolist() == sorted(h for h, n in df_of.items() if n >= N.COMMON * 400 and n > 1)
-    assert ((idf >= N.LEAST_IDF) & (idf <= 1)).all()
+    plain = plain_idf(docs)
+    assert (plain[0] == heavy).all() and np.allclose(plain[1], idf) and (idf < 0.7).all()
+    copies = [docs[0]] * 100 + docs  # of documents with one smallest shingle one counts
+    assert not N.common_shingles(spark.createDataFrame([(t,) for t in copies[:100]], "text string"), 100)[0].size
 
 
 def test_samples_agree_as_often_as_weighted_jaccard():

@@ -18,9 +18,10 @@ _SPREAD = np.uint32(0x9E3779B1)
 
 @dataclass
 class HashedLinear:
-    """Features: shares of a text's hashed character n-grams (and words and word pairs). Score: a logistic of their weighted sum.
+    """Features: shares of a text's hashed character n-grams (and words and word pairs), all of them. Score: a logistic of their weighted sum.
 
-    With ``log_ratio`` every feature is scaled by its naive Bayes log-count ratio before the regression.
+    With ``log_ratio`` every feature is scaled by its naive Bayes log-count ratio before the regression. Training streams over the
+    texts: it holds a few numbers for each of the 2 ** ``bits`` features, whatever the number of texts and their length.
     A text without features scores the logistic of the bias.
     """
 
@@ -29,9 +30,9 @@ class HashedLinear:
     words: bool = False
     lower: bool = True
     log_ratio: bool = True
-    #: Features that the regression sees: those whose log-count ratio, times the root of their texts, is largest.
-    keep: int = 40_000
-    l2: float = 1e-3
+    #: Length of the regression's steps, and its passes over the texts.
+    step: float = 0.1
+    passes: int = 4
     #: Shares are of a text's features and so many more: a short text is drawn to the bias.
     smooth: int = 800
     #: Weight of the rows of class 1 in training, of 1 for both.
@@ -69,61 +70,44 @@ class HashedLinear:
         if not len(y) or y[own].min(initial=1) == y[own].max(initial=0):
             self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(y) else 0.0
             return self
-        in_one, in_zero = np.zeros(1 << self.bits, np.float32), np.zeros(1 << self.bits, np.float32)
-        for t, label, use in zip(texts, y, own, strict=True):
-            if use:
-                (in_one if label else in_zero)[np.unique(self.indexes(t))] += 1
         n1, n0 = y[own].sum(), (1 - y[own]).sum()
-        ratio = np.log((in_one + 0.5) / (n1 + 1)) - np.log((in_zero + 0.5) / (n0 + 1))
-        worth = np.abs(ratio) * np.sqrt(in_one + in_zero) * (in_one + in_zero >= 3)
-        chosen = np.flatnonzero(worth > 0)
-        if len(chosen) > self.keep:
-            chosen = np.sort(chosen[np.argpartition(-worth[chosen], self.keep)[: self.keep]])
-        place = np.full(1 << self.bits, -1, np.int32)
-        place[chosen] = np.arange(len(chosen))
-        r = ratio[chosen] if self.log_ratio else np.ones(len(chosen), np.float32)
-        sizes, cols, vals = np.zeros(len(texts), np.int64), [], []
-        for i, t in enumerate(texts):
-            idx = self.indexes(t)
-            at = place[idx]
-            at, n = np.unique(at[at >= 0], return_counts=True)
-            sizes[i] = len(at)
-            cols.append(at), vals.append((n / (len(idx) + self.smooth)).astype(np.float32))
-        rows, cols, vals = np.repeat(np.arange(len(texts), dtype=np.int32), sizes), np.concatenate(cols), np.concatenate(vals)
-        vals *= r[cols].astype(np.float32) * np.float32(100)
-        w, b = self._regress(rows, cols, vals, y, own, len(chosen))
-        self.weights[chosen] = w * r * 100
-        self.bias = float(b)
+        if self.log_ratio:
+            held = np.zeros((2, 1 << self.bits), np.float32)
+            for k in np.flatnonzero(own):
+                held[int(y[k]), np.unique(self.indexes(texts[k]))] += 1
+            ratio = (np.log((held[1] + 0.5) / (n1 + 1)) - np.log((held[0] + 0.5) / (n0 + 1))).astype(np.float32)
+        else:
+            ratio = np.ones(1 << self.bits, np.float32)
+        self._regress([(texts[k], y[k]) for k in np.flatnonzero(own)], ratio, len(y[own]) * np.array([(1 - self.part) / n0, self.part / n1]))
         if calibrate:
-            s = np.bincount(rows, vals * w[cols], len(y)) + b
-            self.scale = _platt(s[~own], y[~own])
+            self.scale = _platt(np.array([self._raw(texts[k]) for k in np.flatnonzero(~own)]), y[~own])
         return self
 
-    def _regress(self, rows, cols, vals, y, own, width):
-        """Logistic regression by accelerated gradient descent on both classes in equal weight; columns scaled by their spread."""
-        use = own[rows]
-        if not use.all():
-            rows, cols, vals = rows[use], cols[use], vals[use]
-        spread = np.sqrt(np.bincount(cols, vals**2, width) / max(1, own.sum())) + 1e-6
-        vals = vals / spread[cols].astype(np.float32)
-        share = np.where(y == 1, self.part / max(1, y[own].sum()), (1 - self.part) / max(1, (1 - y[own]).sum())) * own
-        w, b, vw, vb = np.zeros(width), 0.0, np.zeros(width), 0.0
-        norm = np.bincount(rows, vals**2, len(y))
-        step = 4 / (np.average(norm, weights=share) + 1)
-        for k in range(150):
-            m = k / (k + 3)
-            aw, ab = w + m * vw, b + m * vb
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, vals * aw.astype(np.float32)[cols], len(y)) + ab, -30, 30)))
-            g = (p - y) * share
-            nw, nb = aw - step * (np.bincount(cols, vals * g.astype(np.float32)[rows], width) + self.l2 * aw), ab - step * g.sum()
-            vw, vb, w, b = nw - w, nb - b, nw, nb
-        return w / spread, b
+    def _regress(self, rows: list[tuple[str, float]], ratio: np.ndarray, share: np.ndarray) -> None:
+        """Logistic regression by gradient steps, text by text, each feature's steps shortened by its own gradients so far. share: weights of the two classes' texts."""
+        w, sums = self.weights, np.full(1 << self.bits, 1e-6, np.float32)
+        b, own_sum = 0.0, 1e-6
+        for _ in range(self.passes):
+            for text, label in rows:
+                at = self.indexes(text)
+                r, unit = ratio[at], 100 / max(1, len(at) + self.smooth)
+                z = b + unit * float(w[at] @ r)
+                g = float((1 / (1 + np.exp(-min(30.0, max(-30.0, z)))) - label) * share[int(label)])
+                move = r * np.float32(g * unit)
+                np.add.at(sums, at, move * move)
+                np.subtract.at(w, at, np.float32(self.step) * move / np.sqrt(sums[at]))
+                own_sum += g * g
+                b -= self.step * g / own_sum**0.5
+        w *= ratio * np.float32(100)
+        self.bias = float(b)
+
+    def _raw(self, text: str) -> float:
+        idx = self.indexes(text)
+        return self.bias + (float(self.weights[idx].sum(dtype=np.float64)) / (len(idx) + self.smooth) if len(idx) else 0.0)
 
     def score(self, text: str) -> float:
         """Probability of label 1."""
-        idx = self.indexes(text)
-        raw = self.bias + (float(self.weights[idx].sum(dtype=np.float64)) / (len(idx) + self.smooth) if len(idx) else 0.0)
-        z = self.scale[0] * raw + self.scale[1]
+        z = self.scale[0] * self._raw(text) + self.scale[1]
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -132,13 +116,14 @@ def _platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return 1.0, 0.0
+    mean, spread = s.mean(), s.std() or 1.0
     t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, ab = np.stack([s, np.ones_like(s)], 1), np.array([1.0, 0.0])
-    for _ in range(50):
+    x, ab = np.stack([(s - mean) / spread, np.ones_like(s)], 1), np.array([1.0, 0.0])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ ab, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-6
-        ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - t)), -2, 2)
-    return (float(ab[0]), float(ab[1])) if ab[0] > 0 else (1.0, 0.0)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3
+        ab = ab - np.clip(np.linalg.solve(h, x.T @ (p - t)), -0.5, 0.5)
+    return (float(ab[0] / spread), float(ab[1] - ab[0] * mean / spread)) if ab[0] > 0 else (1.0, 0.0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: int | None = 0, folds: int = 5) -> DataFrame:
@@ -161,7 +146,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, f
 
 
 def fit_sample(model: HashedLinear, sample: DataFrame, calibrate: float = 0.0) -> HashedLinear:
-    """``model`` fitted to a bounded sample (y, rank, id, text) in one task; only the weights of its ``keep`` features come to the driver."""
+    """``model`` fitted to a bounded sample (y, rank, id, text) in one task; its weights (2 ** bits numbers) come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, texts = [], []
@@ -169,18 +154,15 @@ def fit_sample(model: HashedLinear, sample: DataFrame, calibrate: float = 0.0) -
             y += b.column(0).to_pylist()
             texts += b.column(3).to_pylist()
         model.fit(texts, y, calibrate)
-        at = np.flatnonzero(model.weights)
-        row = [[model.bias], [model.scale[0]], [model.scale[1]], [at.tolist()], [model.weights[at].tolist()]]
-        kinds = [pa.float64()] * 3 + [pa.list_(pa.int32()), pa.list_(pa.float32())]
+        row = [[model.bias], [model.scale[0]], [model.scale[1]], [model.weights.tobytes()]]
         y, texts, model.weights = [], [], None
         release()
-        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["bias", "a", "b", "at", "weights"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.float64()] * 3 + [pa.binary()], strict=True)], names=["bias", "a", "b", "weights"])
 
-    one = sample.repartition(1).sortWithinPartitions("rank", "id", "y").mapInArrow(run, "bias double, a double, b double, at array<int>, weights array<float>")
+    one = sample.repartition(1).sortWithinPartitions("rank", "id", "y").mapInArrow(run, "bias double, a double, b double, weights binary")
     got = one.toArrow()
     if not len(got):  # an empty sample may have no task
         return model.fit([], [])
     model.bias, model.scale = got["bias"][0].as_py(), (got["a"][0].as_py(), got["b"][0].as_py())
-    model.weights = np.zeros(1 << model.bits, np.float32)
-    model.weights[got["at"].combine_chunks().flatten().to_numpy()] = got["weights"].combine_chunks().flatten().to_numpy()
+    model.weights = np.frombuffer(got["weights"][0].as_py(), np.float32)
     return model

@@ -3,8 +3,12 @@
 The classifier is a logistic regression of hashed word and character n-grams, trained on at most
 ``SAMPLE`` labelled texts of each class and Platt-scaled on a quarter of them, scored in Arrow batches
 against the fixed threshold ``KEEP``. A row is kept when the base rules pass and its
-probability of good quality reaches ``KEEP``. Null and empty texts have no words and fail. Repeated rows
-count each; extra columns are ignored.
+probability of good quality reaches ``KEEP``.
+
+Null and empty texts have no words and fail. Repeated rows count each and get equal results. Very long texts are read whole, in linear
+time but for sorting their windows. A probability equal to ``KEEP`` is kept; of an id with several labelled texts the least one trains. An empty table gives an
+empty result; without labels of both classes the probability is the label's smoothed share. Extra columns, whatever their names, are ignored by
+``judge`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -62,7 +66,7 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> HashedLinear:
     """The calibrated classifier of the ``quality`` label."""
-    model = HashedLinear(sizes=(2, 3, 4), words=True, lower=False, log_ratio=False, bits=18, smooth=0)
+    model = HashedLinear(sizes=(2, 3, 4), words=True, lower=False, log_ratio=False, bits=18, smooth=0, step=0.03, passes=6)
     return fit_sample(model, labelled_sample(docs, labels, "quality", sample), calibrate=0.25)
 
 

@@ -1,9 +1,11 @@
 """Toxicity: a linear classifier of hashed character n-grams scaled by naive Bayes log-count ratios.
 
 Trained on at most ``SAMPLE`` labelled texts of each class, of rows outside the held-out fold; scored
-over whole texts. Null and empty texts score the logistic of the bias, so equal texts have equal
-scores. Repeated rows are scored each. Without labels of both classes the score is the label's
-smoothed share. Labels, language, source and id are never features; extra columns are ignored.
+over whole texts, also very long ones, in linear time. Labels, language, source and id are never features.
+
+Null and empty texts score the logistic of the bias. Repeated rows are scored each; equal texts have equal scores. A score equal to ``THRESHOLD`` is toxic. Without
+labels of both classes the score is the label's smoothed share; of an id with several labelled texts the least one trains. An empty table gives an
+empty result. Extra columns, whatever their names, are ignored by ``score`` and kept by ``drop_toxic``.
 """
 
 from __future__ import annotations

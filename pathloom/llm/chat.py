@@ -1,13 +1,15 @@
 """Chat formatting with typed content parts.
 
 A visitor flattens the parts of a turn (text, image, audio, document) into ordered text: text is escaped, other
-parts become placeholders ``<|kind:n|>`` and are recorded with their reference and expanded token count. Turns are marked
+parts become placeholders ``<|kind:n|>``, numbered within their turn, and are recorded with their reference and expanded token count. Turns are marked
 ``<|turn|>role<|is|>...<|end|>``. Escaping is reversible and leaves no ``<|`` inside a text: the escape
 character goes before itself and before ``|``.
 
-Null texts and roles count as empty. Turns are ordered by turn (nulls first), then role, then text, so ties and
-repeated rows have a defined order; conversations with a null id form one conversation. A long conversation streams:
-memory is that of a batch of its turns.
+Null texts and roles count as empty. A content that is no JSON list of parts, or a part of another type, gives a row without a formatted turn
+and with ``error``; no row is lost. Turns are ordered by turn (nulls first), then role, then text, so ties and
+repeated rows have a defined order; conversations with a null id form one conversation. Very long texts are formatted whole; a long conversation streams:
+memory is that of a batch of its turns. An empty table gives an empty result. Input columns keep their names and values: where one has the name of a new column,
+the new one gets underscores behind its name until it differs; ``text_parts`` and ``read_back`` ignore extra columns.
 """
 
 from __future__ import annotations
@@ -90,21 +92,47 @@ def body_text(body: str) -> str:
     return unescape(_placeholder.sub("", body))
 
 
+def parts_of(content: str | None) -> list[dict]:
+    """The typed parts of a content; raises ValueError if it is no JSON list of them."""
+    parts = json.loads(content) if content else []
+    if not isinstance(parts, list) or not all(isinstance(p, dict) for p in parts):
+        raise ValueError("the content is no list of parts")
+    return parts
+
+
+NEW_COLUMNS = ("formatted", "attachments", "expanded_tokens", "error")
+
+
+def new_names(columns: list[str]) -> list[str]:
+    """Names of the new columns beside ``columns``."""
+    out = []
+    for name in NEW_COLUMNS:
+        while name.lower() in {c.lower() for c in [*columns, *out]}:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def format_turns(rows: DataFrame, content_col: str = "content", role_col: str = "role") -> DataFrame:
-    """``rows`` with formatted, attachments (JSON list) and expanded_tokens. content: a JSON list of typed parts; null: no parts."""
-    at = [rows.columns.index(c) for c in (role_col, content_col)]
+    """``rows`` with formatted, attachments (JSON list), expanded_tokens and error. content: a JSON list of typed parts; null: no parts."""
     from pyspark.sql.types import LongType, StringType, StructType
 
-    names = ["formatted", "attachments", "expanded_tokens"]
-    if set(names) & set(rows.columns):
-        rows = rows.drop(*names)
-        at = [rows.columns.index(c) for c in (role_col, content_col)]
-    schema = StructType([*rows.schema.fields]).add(names[0], StringType()).add(names[1], StringType()).add(names[2], LongType())
+    at, names = [rows.columns.index(c) for c in (role_col, content_col)], new_names(rows.columns)
+    schema = StructType([*rows.schema.fields])
+    for name in names:
+        schema = schema.add(name, LongType() if name.startswith("expanded") else StringType())
+
+    def formatted(role: str | None, content: str | None) -> tuple:
+        try:
+            text, found = format_turn(role, parts_of(content))
+            return text, json.dumps(found), sum(a["tokens"] for a in found), None
+        except (ValueError, TypeError, OverflowError, RecursionError) as x:  # what a part's values can be wrong in
+            return None, None, None, str(x) or type(x).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [format_turn(role, json.loads(content) if content else []) for role, content in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist(), strict=True)]
-            new = [pa.array([m[0] for m in made], pa.string()), pa.array([json.dumps(m[1]) for m in made], pa.string()), pa.array([sum(a["tokens"] for a in m[1]) for m in made], pa.int64())]
+            made = [formatted(*x) for x in zip(*(b.column(k).to_pylist() for k in at), strict=True)]
+            new = [pa.array([m[k] for m in made], pa.int64() if k == 2 else pa.string()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
     return rows.mapInArrow(run, schema)

@@ -3,12 +3,12 @@
 Every task keeps at most ``WINDOWS`` open windows of ``LENGTH`` tokens. A document is cut into full
 windows and a rest; the rest goes to the open window that it fills best. When it fits none and all windows are in
 use, the fullest is emitted. Windows still open at the end of a task are leftovers: their pieces (not their
-tokens) are merged by best fit decreasing over groups of ``MERGE`` tasks, so that the
-number of part-filled sequences grows with the groups alone.
+tokens) are merged by best fit decreasing over groups of tasks. A group is as many tasks, one after another, as have at most ``MERGE`` such pieces together (or one task:
+it has ``WINDOWS * LENGTH`` at most), so that a merging task's memory is bounded, and the number of part-filled sequences grows with the groups alone.
 
-Null and empty texts have the end token alone and are packed like others. Repeated rows are packed
-each. The result depends on how the table is split into tasks, not on when they run; a lost
-executor repeats the same pieces. Extra columns are ignored.
+Null and empty texts have the end token alone and are packed like others. Very long texts are encoded and cut whole. Repeated rows are packed
+each. Windows that a piece fills alike are taken in the order in which they were opened. An empty table gives no pieces. The result depends on how the table is split into
+tasks, not on when they run; a lost executor repeats the same pieces. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import bisect
 import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import release, reliable_checkpoint, slices, table, tokenizer_path
 
-LENGTH, WINDOWS, MERGE, END = 4096, 64, 64, 2
+LENGTH, WINDOWS, END = 4096, 64, 2
+#: Leftover pieces that are merged in one task.
+MERGE = 1 << 18
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of text whose ids a worker remembers.
 CACHE = 200_000
@@ -185,21 +188,48 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """A sequence number and an offset for each piece, the pieces being in falling order of size. Windows of equal room are taken first opened first."""
+    seq, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    waiting: dict[int, deque[int]] = {}  # windows by their room
+    rooms: list[int] = []  # those there are, in order: at most ``length``
+    made = 0
+    for k, size in enumerate(sizes.tolist()):
+        at = bisect.bisect_left(rooms, size)
+        if at < len(rooms):
+            room = rooms[at]
+            w = waiting[room].popleft()
+            if not waiting[room]:
+                del waiting[room], rooms[at]
+        else:
+            room, w, made = length, made, made + 1
+        seq[k], offset[k] = w, length - room
+        if room > size:
+            left = room - size
+            if left not in waiting:
+                waiting[left] = deque()
+                bisect.insort(rooms, left)
+            waiting[left].append(w)
+    return seq, offset
+
+
+def _merge(t: pa.Table) -> pa.Table:
     """Best fit decreasing over the leftover pieces of a group; an open window left at the end is a sequence too."""
-    t = pa.Table.from_batches(batches)
-    rows = sorted(t.to_pylist(), key=lambda r: (-r["length"], r["part"], r["seq"], r["offset"]))
-    packer, done = Packer(LENGTH, len(rows) + 1), []
-    for r in rows:
-        if (full := packer.add(r, r["length"])) is not None:
-            done.append(full)
-    out = []
-    for seq, window in enumerate([*done, *packer.rest()]):
-        offset = 0
-        for r in window:
-            out.append(r | {"seq": seq, "offset": offset})
-            offset += r["length"]
-    yield from pa.Table.from_pylist(out, schema=t.schema).to_batches()
+    t = t.sort_by([("length", "descending"), ("part", "ascending"), ("seq", "ascending"), ("offset", "ascending")])
+    seq, offset = _best_fit_decreasing(t["length"].to_numpy())
+    for name, values in (("seq", seq), ("offset", offset)):
+        t = t.set_column(t.schema.get_field_index(name), name, pa.array(values))
+    return t
+
+
+def merge_groups(left: list[tuple[int, int]], most: int = MERGE) -> dict[int, int]:
+    """A group for each task (part, pieces): tasks one after another, up to ``most`` pieces or one task."""
+    out, group, held = {}, -1, most + 1
+    for part, n in sorted(left):
+        if held + n > most:
+            group, held = group + 1, 0
+        out[part], held = group, held + n
+    return out
 
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +237,12 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     placed = reliable_checkpoint(pieces(docs, path or tokenizer_path(VOCABULARY), id_col, text_col))
     named = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "seq", "offset"]
     closed = placed.where(~F.col("open")).select(*named, F.lit(0).cast("long").alias("round"))
-    groups = placed.where("open").select(*named, (F.col("part") / MERGE).cast("long").alias("grp"))
-    merged = groups.groupBy("grp").applyInArrow(lambda t: pa.Table.from_batches(_merge(iter(t.to_batches()))), groups.schema)
-    merged = reliable_checkpoint(merged).select(*[F.col("grp").alias("part") if c == "part" else F.col(c) for c in named], F.lit(1).cast("long").alias("round"))
+    # a row for each task, which is what a plan holds anyway
+    groups = merge_groups([tuple(r) for r in placed.where("open").groupBy("part").count().collect()])
+    grouped = docs.sparkSession.createDataFrame(list(groups.items()), "part long, grp long")
+    waiting = placed.where("open").select(*named).join(F.broadcast(grouped), "part").select(*named, "grp")
+    merged = reliable_checkpoint(waiting.groupBy("grp").applyInArrow(_merge, waiting.schema))
+    merged = merged.select(*[F.col("grp").alias("part") if c == "part" else F.col(c) for c in named], F.lit(1).cast("long").alias("round"))
     every = closed.unionByName(merged)
     sequence = F.shiftleft(F.col("part"), 32).bitwiseOR(F.shiftleft(F.col("seq"), 1)).bitwiseOR(F.col("round"))
     return every.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), "offset")

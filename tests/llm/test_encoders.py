@@ -101,3 +101,31 @@ def test_packer_is_bounded_and_loses_nothing(windows):
         assert len(p.room) <= windows
     out += p.rest()
     assert sorted(k for w in out for k in w) == list(range(500)) and all(sum(sizes[k] for k in w) <= 100 for w in out)
+
+
+def test_best_fit_decreasing_equals_plain_search():
+    rng = random.Random(3)
+    sizes = sorted((rng.choice([rng.randint(1, 99), 50, 1]) for _ in range(700)), reverse=True)
+    seq, offset = packing._best_fit_decreasing(np.array(sizes), 100)
+    fill, order, want = [], [], []
+    for s in sizes:
+        fits = [w for w in order if fill[w] + s <= 100]
+        best = max((fill[w] for w in fits), default=None)
+        w = next((w for w in fits if fill[w] == best), None)  # of equal ones the one that waits longest
+        if w is None:
+            w = len(fill)
+            fill.append(0)
+        else:
+            order.remove(w)
+        want.append((w, fill[w]))
+        fill[w] += s
+        order.append(w)
+    assert list(zip(seq.tolist(), offset.tolist(), strict=True)) == want
+
+
+def test_merging_groups_are_bounded(spark, monkeypatch):
+    assert packing.merge_groups([(3, 5), (1, 4), (2, 4), (9, 20), (10, 1)], 10) == {1: 0, 2: 0, 3: 1, 9: 2, 10: 3}
+    docs = {k: "a" if k % 3 else None for k in range(3000)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(packing, "MERGE", 700)
+    check_pieces(packing.pack(df).collect(), {k: t or "" for k, t in docs.items()})

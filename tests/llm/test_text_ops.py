@@ -42,9 +42,17 @@ def test_visitor_records_attachments():
 
 
 def test_format_turns(spark):
-    rows = spark.createDataFrame([(1, "user", json.dumps([{"type": "text", "text": "hi"}, {"type": "image", "ref": "r"}]), "old"), (2, None, None, None)], "k long, role string, content string, formatted string")
-    got = {r.k: r for r in chat.format_turns(rows).collect()}
-    assert got[1].expanded_tokens == 256 and got[1].formatted.endswith("<|image:0|><|end|>") and got[2].formatted == "<|turn|><|is|><|end|>"
+    bad = ["{", "[1]", '"x"', json.dumps([{"type": "video"}]), json.dumps([{"type": "image", "width": "wide"}]), json.dumps([{"type": "audio", "seconds": 1e400}]), json.dumps([{"type": "text", "text": 5}]), json.dumps([{}])]
+    rows = [(1, "user", json.dumps([{"type": "text", "text": "hi"}, {"type": "image", "ref": "r"}]), "old", "e"), (2, None, None, None, None)] + [(10 + k, "user", x, "old", "e") for k, x in enumerate(bad)]
+    df = spark.createDataFrame(rows, "k long, role string, content string, formatted string, Error string")
+    out = chat.format_turns(df)
+    got = {r.k: r for r in out.collect()}
+    assert out.columns == [*df.columns, "formatted_", "attachments", "expanded_tokens", "error_"]
+    assert got[1].expanded_tokens == 256 and got[1].formatted_.endswith("<|image:0|><|end|>") and got[2].formatted_ == "<|turn|><|is|><|end|>"
+    assert got[1].formatted == "old" and got[1].error_ is None
+    for k in range(len(bad)):
+        assert got[10 + k].error_ and got[10 + k].formatted_ is None and got[10 + k].formatted == "old", bad[k]
+    assert chat.format_turns(df.where("false")).count() == 0
 
 
 def test_digests_against_brute_force(spark):

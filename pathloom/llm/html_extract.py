@@ -356,7 +356,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), *keys, blank(path).alias("path"), F.col(html_col).alias("html"))
     schema = f"page_id {kind}, url string, {', '.join(f'{k} string' for k in _KEYS)}, path string, part int, sig binary, packed binary"
-    dealt = rows.mapInArrow(cut, schema).repartition("part").sortWithinPartitions("part", *_KEYS, "sig")
+    dealt = rows.mapInArrow(cut, schema).repartitionById(len(borders.value) + 1, "part").sortWithinPartitions("part", *_KEYS, "sig")
     found, _ = written(dealt.select("page_id", "url", "part", "host", "path", "sig", "packed").mapInArrow(_extract, _EXTRACTED.format(kind=kind)))
     ends = found.where("sort = 'end'")
     near = ends.select("host", "part", "idx", "sig", "first", "last").groupBy("host").applyInArrow(_neighbours, "host string, part int, idx int, npart int, nidx int")

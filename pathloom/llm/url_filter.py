@@ -1,10 +1,13 @@
-"""URL filters: host and path rules, then a logistic regression of hashed character n-grams.
+"""URL filters: host and path rules, then a logistic regression of hashed character n-grams of host and path.
 
-All on DataFrame functions: splitting, rules, hashing, training by stochastic gradient steps in an ``aggregate`` over
-the small labelled table below, and scoring. The weights (BUCKETS numbers) are the one thing that reaches the driver.
+All on DataFrame functions: splitting, rules, hashing, training and scoring. The regression is trained by gradient steps over the whole small
+labelled table below at once. Its weights are sums of the rows' n-grams, so each step moves one number for each row, by the
+table of the rows' inner products; the n-grams meet by a join, and their weights are summed by a groupBy at the end.
+The weights (BUCKETS numbers and a bias) are the one thing that reaches the driver.
 
 A null URL, or one without ``://``, has an empty host and path; no rule fits it and the model judges the empty text
-(its bias). Repeated rows are judged each; extra columns are ignored. Of rules of one length the first wins.
+(its bias). Repeated rows are judged each; very long URLs are judged whole, in linear time; of rules of one length the first wins. An empty table gives an
+empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -18,17 +21,17 @@ from .common import table
 
 #: (action, host, path prefix): a rule fits its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Buckets of the model, multipliers of a trigram's three characters, passes over the table, step, shrinkage, verdict threshold.
-BUCKETS, MULTIPLIERS, PASSES, STEP, SHRINK, THRESHOLD = 2048, (7919, 104729, 1299709), 20, 0.2, 0.0002, 0.5
+#: Sizes of n-grams, their buckets, the base and the modulus of their hash (a prime), steps, their length, shrinkage, verdict threshold.
+SIZES, BUCKETS, BASE, MODULUS, STEPS, STEP, SHRINK, THRESHOLD = (3, 4, 5), 4096, 1000003, 2147483647, 150, 0.05, 0.002, 0.5
 
-#: The labelled table: names of sites to block and to allow. Each stands under two of the addresses below, so that only the name tells them apart.
-BLOCKED = (
-    "casino-royal win-casino online-casino casino lucky-win free-spins free-money bets-now sport-bets free-bets bets-app cheap-meds cheap-watches cheap-pills pills-shop diet-pills buy-pills "
-    "adult-cams adult-video xxx-adult adult-x ads-server track-click ads-pixel ads-track adtrack spam-mail spam-links link-farm content-farm spam-farm payday-loan replica-bags click-win"
+#: The labelled table is made of common words: words of sites to block, and ordinary ones.
+BAD = (
+    "casino poker roulette jackpot slots bingo betting bets lottery win pills pharma viagra meds diet replica payday loans cash rich adult xxx sex porn cams dating escort spam ads adserver tracker track click popup farm free cheap bonus crack warez torrent"
 ).split()
-ALLOWED = (
-    "news garden library weather wiki docs museum school thea therein north thousand station nation earth other thistle thermal within mother anthem path health bath mathworld birth "
-    "theatre leather portal recipes river shore history music stone forest winter author thinking threat wheat thing those thanks then this tiles shade hover ether tether nether weather-map"
+PLAIN = (
+    "city library garden weather report university press national museum daily news history notes cooking school recipe river walk mountain open data research lab science journal public radio train time health water board theatre "
+    "music nation archive math leather north station house motion study edition table stable art reading room learning engine market travel address bird sea mail winter summer forest stone author book paper light green bridge "
+    "family child teacher doctor farmhouse kitchen village island ocean planet energy street office project team player sport game film camera photo design color number letter language word story"
 ).split()
 SUBDOMAINS, DOMAINS, FOLDERS, ENDS = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net"), ("en", "de", "fr", "es"), ("", "/", ".html")
 
@@ -54,22 +57,36 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for each row: as the variable of a transform over one element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ngrams(text: Column) -> Column:
-    """The buckets of all trigrams of ``^text$``, as an array."""
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
-    code = lambda i, k: F.ascii(F.substr(marked, i + k, F.lit(1))).cast("long") * MULTIPLIERS[k]
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(marked) - 2), lambda i: ((code(i, 0) + code(i, 1) + code(i, 2)) % BUCKETS).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """The buckets of all n-grams of ``^text$``, as an array: a polynomial hash of their characters modulo a prime."""
+
+    def grams(codes: Column, n: int) -> Column:
+        def bucket(i: Column) -> Column:
+            h = F.lit(0).cast("long")
+            for k in range(n):
+                h = (h * BASE + F.element_at(codes, i + k)) % MODULUS
+            return (h % BUCKETS).cast("int")
+
+        return F.when(F.size(codes) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(codes) - (n - 1), F.lit(1))), bucket)).otherwise(F.array().cast("array<int>"))
+
+    codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
+    return F.when(F.length(text) > 0, _bound(codes, lambda c: F.concat(*[grams(c, n) for n in SIZES]))).otherwise(F.array().cast("array<int>"))
 
 
 def labelled_rows() -> list[tuple[str, int]]:
-    """(host and path, label) of the labelled table."""
-    out = []
-    for label, names in ((1, BLOCKED), (0, ALLOWED)):
-        for k, name in enumerate(names):
-            for j in (k, 2 * k + 1):
-                number = 37 * k + 411 * (j - k) % 900
-                out.append((f"{SUBDOMAINS[j % 4]}{name}.{DOMAINS[j % 3]}/{FOLDERS[(j + k) % 4]}/{number}{ENDS[(j + 1) % 3]}", label))
-    return out
+    """(host and path, label) of the labelled table: each bad word with an ordinary and with another bad one, each ordinary word alone or with another one."""
+    names = []
+    for k, w in enumerate(BAD):
+        names += [(f"{w}-{PLAIN[7 * k % len(PLAIN)]}", 1), (f"{BAD[(5 * k + 3) % len(BAD)]}{'-' * (k % 2)}{w}", 1)]
+    for k, w in enumerate(PLAIN):
+        names += [(w, 0), (f"{w}{'-' * (k % 2)}{PLAIN[(11 * k + 5) % len(PLAIN)]}", 0)]
+    at = lambda k, m: (k * 2654435761 >> 9) % m  # noqa: E731  spreads hosts and paths over both labels
+    return [(f"{SUBDOMAINS[at(k, 4)]}{name}.{DOMAINS[at(k + 500, 3)]}/{FOLDERS[at(k + 1000, 4)]}/{at(k + 1500, 9000)}{ENDS[at(k + 2000, 3)]}", y) for k, (name, y) in enumerate(names)]
 
 
 def labelled(spark: SparkSession) -> DataFrame:
@@ -79,38 +96,48 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 
 def train(spark: SparkSession, rows: DataFrame | None = None) -> list[float]:
-    """Weights of the buckets, then the bias. ``rows``: a small table of text and y in order of n.
+    """Weights of the buckets, then the bias. ``rows``: a small table of n (0, 1, ...), text and y; its square is held in one task. Without rows, all are 0.
 
-    One row of the table at a time moves the weights of its n-grams; rows are taken in strides, so that both labels mix.
+    A row's features are its n-grams' counts, by the root of the sum of their squares, and 1 for the bias.
     """
     rows = labelled(spark) if rows is None else rows
-    data = rows.select("n", "y", ngrams(F.col("text")).alias("at")).agg(F.array_sort(F.collect_list(F.struct("n", "y", "at"))).alias("rows"))
-
-    def step(w: Column, t: Column) -> Column:
-        n = F.size("rows")
-        row = F.element_at("rows", (t * _stride() % n).cast("int") + 1)
-        idx = row["at"]
-        margin = F.aggregate(idx, F.element_at(w, BUCKETS + 1), lambda s, i: s + F.element_at(w, i + 1))
-        move = (row["y"] - 1 / (1 + F.exp(-margin))) * STEP
-        # a one-row array carries the step's values, so that they are worked out once for each step
-        packed = F.array(F.struct(idx.alias("idx"), move.alias("move")))
-        moved = F.transform(packed, lambda p: F.transform(w, lambda v, j: v * (1 - SHRINK) + p["move"] * F.when(j == BUCKETS, 1.0).otherwise(F.size(F.filter(p["idx"], lambda i: i == j)).cast("double"))))
-        return F.element_at(moved, 1)
-
-    steps = F.sequence(F.lit(0), F.size("rows") * PASSES - 1)
-    zero = F.array_repeat(F.lit(0.0), BUCKETS + 1)
-    return list(data.select(F.when(F.size("rows") > 0, F.aggregate(steps, zero, step)).otherwise(zero).alias("w")).first()["w"])
+    counts = rows.select("n", F.explode(ngrams(F.col("text"))).alias("at")).groupBy("n", "at").agg(F.count("*").alias("c"))
+    size = counts.groupBy("n").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
+    features = counts.join(F.broadcast(size), "n").select("n", "at", (F.col("c") / F.col("size")).alias("x"))
+    a, b = features.select(F.col("n").alias("i"), "at", F.col("x").alias("xi")), features.select(F.col("n").alias("j"), "at", F.col("x").alias("xj"))
+    met = a.join(b, "at").groupBy("i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("k"))
+    lines = met.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "k"))).alias("row"))
+    labels = rows.select("n", "y")
+    whole = labels.join(lines, labels.n == lines.i, "left").agg(F.array_sort(F.collect_list(F.struct("n", "y", "row"))).alias("t"))
+
+    def step(alpha: Column, table: Column) -> Column:
+        def moved(r: Column, i: Column) -> Column:
+            margin = F.aggregate(F.zip_with(r["k"], alpha, lambda k, x: k * x), F.lit(0.0), lambda s, v: s + v)
+            return F.element_at(alpha, i + 1) * (1 - STEP * SHRINK) + STEP * (r["y"] - 1 / (1 + F.exp(-margin)))
+
+        return F.transform(table, moved)
+
+    # a row's inner products with all rows, 1 more for the bias
+    line = lambda row: F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda j: F.coalesce(F.element_at(row, j), F.lit(0.0)) + 1)
+    products = F.transform("t", lambda r: F.struct(r["y"].alias("y"), _bound(F.map_from_entries(r["row"]), line).alias("k")))
+    dual = whole.where(F.size("t") > 0).select(_bound(products, lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array_repeat(F.lit(0.0), F.size(t)), lambda alpha, _: step(alpha, t))).alias("alpha"))
+    alphas = dual.select(F.posexplode("alpha").alias("n", "alpha"))
+    summed = features.join(F.broadcast(alphas), "n").groupBy("at").agg(F.sum(F.col("alpha") * F.col("x")).alias("w"))
+    got = {r["at"]: r["w"] for r in summed.union(alphas.agg(F.lit(BUCKETS).alias("at"), F.sum("alpha").alias("w"))).collect()}
+    return [got.get(k) or 0.0 for k in range(BUCKETS + 1)]
 
 
-def _stride() -> int:
-    """A prime stride, so that it shares no factor with the size of a table it doesn't divide."""
-    return 10007
+def probability(text: Column, weights: list[float]) -> Column:
+    """The model's probability that a URL's host and path are to be blocked: the mean weight of its n-grams by the root of the sum of their counts' squares."""
+    w = F.split(F.lit(",".join(map(repr, weights[:BUCKETS]))), ",").cast("array<double>")
 
+    def margin(at: Column) -> Column:
+        ordered = F.array_sort(at)
+        runs = lambda o: F.aggregate(o, F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")), lambda s, i: F.struct(i.alias("last"), F.when(i == s["last"], s["run"] + 1).otherwise(1.0).alias("run"), (s["sum"] + F.when(i == s["last"], 2 * s["run"] + 1).otherwise(1.0)).alias("sum")))["sum"]
+        total = F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(w, i + 1))
+        return F.when(F.size(at) > 0, total / F.sqrt(runs(ordered))).otherwise(0.0)
 
-def probability(text: Column, weights: list[float]) -> Column:
-    """The model's probability that a URL's host and path are to be blocked."""
-    w = F.array(*[F.lit(x) for x in weights[:BUCKETS]])
-    return 1 / (1 + F.exp(-F.aggregate(ngrams(text), F.lit(weights[BUCKETS]), lambda s, i: s + F.element_at(w, i + 1))))
+    return 1 / (1 + F.exp(-(_bound(ngrams(text), margin) + weights[BUCKETS])))
 
 
 def judge(pages: DataFrame, weights: list[float], id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -132,24 +159,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain_ngrams(text: str) -> list[int]:
     """As ``ngrams``."""
-    s = f"^{text}$"
-    return [sum(ord(s[i + k]) * m for k, m in enumerate(MULTIPLIERS)) % BUCKETS for i in range(len(s) - 2)] if text else []
-
-
-def plain_train() -> list[float]:
-    """As ``train``."""
-    rows = [(float(y), plain_ngrams(t)) for t, y in labelled_rows()]
-    w = [0.0] * (BUCKETS + 1)
-    for t in range(len(rows) * PASSES):
-        y, idx = rows[t * _stride() % len(rows)]
-        margin = w[BUCKETS]
-        for i in idx:
-            margin += w[i]
-        move = (y - 1 / (1 + math.exp(-margin))) * STEP
-        w = [v * (1 - SHRINK) for v in w]
-        for i in [*idx, BUCKETS]:
-            w[i] += move
-    return w
+    out, s = [], f"^{text}$"
+    for n in SIZES if text else ():
+        for i in range(len(s) - n + 1):
+            h = 0
+            for c in s[i : i + n]:
+                h = (h * BASE + ord(c)) % MODULUS
+            out.append(h % BUCKETS)
+    return out
+
+
+def plain_train(rows: list[tuple[str, int]] | None = None) -> list[float]:
+    """As ``train``, by steps on the weights themselves."""
+    import numpy as np
+
+    rows = labelled_rows() if rows is None else rows
+    x = np.array([np.bincount(plain_ngrams(t), minlength=BUCKETS) for t, _ in rows], float).reshape(len(rows), BUCKETS)
+    x = np.hstack([x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300), np.ones((len(rows), 1))])
+    y, w = np.array([float(v) for _, v in rows]), np.zeros(BUCKETS + 1)
+    for _ in range(STEPS):
+        w = w * (1 - STEP * SHRINK) + STEP * (x.T @ (y - 1 / (1 + np.exp(-(x @ w)))))
+    return w.tolist()
+
+
+def plain_probability(text: str, w: list[float]) -> float:
+    """As ``probability``."""
+    at = plain_ngrams(text)
+    size = math.sqrt(sum(at.count(i) ** 2 for i in set(at)))
+    return 1 / (1 + math.exp(-(w[BUCKETS] + (sum(w[i] for i in at) / size if at else 0))))
 
 
 def oracle_sql() -> str:
@@ -160,10 +197,14 @@ def oracle_sql() -> str:
     path = rf"regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
     best = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     case = lambda value: "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(a, h, p)}'" for a, h, p in best) + " END"
-    code = " + ".join(f"unicode(substr(m, i + {k}, 1))::BIGINT * {c}" for k, c in enumerate(MULTIPLIERS))
     weights = "[" + ", ".join(map(repr, w[:BUCKETS])) + "]::DOUBLE[]"
+    hashed = lambda n: "0::BIGINT" if not n else f"(({hashed(n - 1)}) * {BASE} + unicode(substr(m, i + {n - 1}, 1))) % {MODULUS}"
+    grams = " UNION ALL ".join(f"SELECT m, ({hashed(n)}) % {BUCKETS} AS g FROM texts, range(1, length(m) - {n - 2}) t(i)" for n in SIZES)
     return f"""
 WITH split AS (SELECT page_id, {host} AS host, {path} AS path FROM pages),
 ruled AS (SELECT *, {case(lambda a, h, p: h + p)} AS rule, {case(lambda a, h, p: a)} AS action, '^' || host || path || '$' AS m FROM split),
-scored AS (SELECT *, {w[BUCKETS]!r} + CASE WHEN length(m) > 2 THEN list_sum(list_transform(range(1, length(m) - 1), lambda i: ({weights})[(({code}) % {BUCKETS}) + 1])) ELSE 0 END AS z FROM ruled)
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN 1 / (1 + exp(-z)) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM scored"""
+texts AS (SELECT DISTINCT m, m AS s FROM ruled WHERE length(m) > 2),
+grams AS ({grams.replace("range(1", "range(1::BIGINT").replace("substr(m, i", "substr(m, CAST(i AS BIGINT)")}),
+counts AS (SELECT m, g, count(*) AS c FROM grams GROUP BY m, g),
+scored AS (SELECT m, sum(c * ({weights})[g + 1]) / sqrt(sum(c * c)) AS z FROM counts GROUP BY m)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN 1 / (1 + exp(-({w[BUCKETS]!r} + coalesce(z, 0)))) >= {THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN scored USING (m)"""

@@ -1,8 +1,8 @@
 """URL filters: host and path rules, then a logistic regression of hashed character n-grams of host and path.
 
 All on DataFrame functions: splitting, rules, hashing, training and scoring. The regression is trained by gradient steps over the whole small
-labelled table below at once. Its weights are sums of the rows' n-grams, so each step moves one number for each row, by the
-table of the rows' inner products; the n-grams meet by a join, and their weights are summed by a groupBy at the end.
+labelled table below at once, with momentum. Its weights are sums of the rows' n-grams, so each step moves one number for each row, by the
+table of the rows' inner products; the n-grams meet by a join, and their weights are summed by a groupBy at the end. The table is small, so all that is one task without a shuffle.
 The weights (BUCKETS numbers and a bias) are the one thing that reaches the driver.
 
 A null URL, or one without ``://``, has an empty host and path; no rule fits it and the model judges the empty text
@@ -21,8 +21,8 @@ from .common import table
 
 #: (action, host, path prefix): a rule fits its host and all subdomains.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-#: Sizes of n-grams, their buckets, the base and the modulus of their hash (a prime), steps, their length, shrinkage, verdict threshold.
-SIZES, BUCKETS, BASE, MODULUS, STEPS, STEP, SHRINK, THRESHOLD = (3, 4, 5), 4096, 1000003, 2147483647, 150, 0.05, 0.002, 0.5
+#: Sizes of n-grams, their buckets, the base and the modulus of their hash (a prime), steps, their length, shrinkage, the bias's feature, verdict threshold.
+SIZES, BUCKETS, BASE, MODULUS, STEPS, STEP, SHRINK, BIAS, THRESHOLD = (3, 4, 5), 4096, 1000003, 2147483647, 60, 0.08, 0.002, 0.3, 0.5
 
 #: The labelled table is made of common words: words of sites to block, and ordinary ones.
 BAD = (
@@ -79,10 +79,10 @@ def ngrams(text: Column) -> Column:
 
 
 def labelled_rows() -> list[tuple[str, int]]:
-    """(host and path, label) of the labelled table: each bad word with an ordinary and with another bad one, each ordinary word alone or with another one."""
+    """(host and path, label) of the labelled table: each bad word alone, with an ordinary and with another bad one, each ordinary word alone or with another one."""
     names = []
     for k, w in enumerate(BAD):
-        names += [(f"{w}-{PLAIN[7 * k % len(PLAIN)]}", 1), (f"{BAD[(5 * k + 3) % len(BAD)]}{'-' * (k % 2)}{w}", 1)]
+        names += [(w, 1), (f"{w}-{PLAIN[7 * k % len(PLAIN)]}", 1), (f"{BAD[(5 * k + 3) % len(BAD)]}{'-' * (k % 2)}{w}", 1)]
     for k, w in enumerate(PLAIN):
         names += [(w, 0), (f"{w}{'-' * (k % 2)}{PLAIN[(11 * k + 5) % len(PLAIN)]}", 0)]
     at = lambda k, m: (k * 2654435761 >> 9) % m  # noqa: E731  spreads hosts and paths over both labels
@@ -98,9 +98,9 @@ def labelled(spark: SparkSession) -> DataFrame:
 def train(spark: SparkSession, rows: DataFrame | None = None) -> list[float]:
     """Weights of the buckets, then the bias. ``rows``: a small table of n (0, 1, ...), text and y; its square is held in one task. Without rows, all are 0.
 
-    A row's features are its n-grams' counts, by the root of the sum of their squares, and 1 for the bias.
+    A row's features are its n-grams' counts, by the root of the sum of their squares, and BIAS.
     """
-    rows = labelled(spark) if rows is None else rows
+    rows = (labelled(spark) if rows is None else rows).coalesce(1)
     counts = rows.select("n", F.explode(ngrams(F.col("text"))).alias("at")).groupBy("n", "at").agg(F.count("*").alias("c"))
     size = counts.groupBy("n").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("size"))
     features = counts.join(F.broadcast(size), "n").select("n", "at", (F.col("c") / F.col("size")).alias("x"))
@@ -110,20 +110,25 @@ def train(spark: SparkSession, rows: DataFrame | None = None) -> list[float]:
     labels = rows.select("n", "y")
     whole = labels.join(lines, labels.n == lines.i, "left").agg(F.array_sort(F.collect_list(F.struct("n", "y", "row"))).alias("t"))
 
-    def step(alpha: Column, table: Column) -> Column:
-        def moved(r: Column, i: Column) -> Column:
-            margin = F.aggregate(F.zip_with(r["k"], alpha, lambda k, x: k * x), F.lit(0.0), lambda s, v: s + v)
-            return F.element_at(alpha, i + 1) * (1 - STEP * SHRINK) + STEP * (r["y"] - 1 / (1 + F.exp(-margin)))
+    def step(state: Column, table: Column, t: Column) -> Column:
+        ahead = F.zip_with(state["now"], state["last"], lambda x, y: x + t / (t + 3) * (x - y))
 
-        return F.transform(table, moved)
+        def moved(at: Column) -> Column:
+            margin = lambda r: F.aggregate(F.zip_with(r["k"], at, lambda k, a: k * a), F.lit(0.0), lambda s, v: s + v)
+            now = F.zip_with(table, at, lambda r, x: x * (1 - STEP * SHRINK) + STEP * (r["y"] - 1 / (1 + F.exp(-margin(r)))))
+            return F.struct(now.alias("now"), state["now"].alias("last"))
 
-    # a row's inner products with all rows, 1 more for the bias
-    line = lambda row: F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda j: F.coalesce(F.element_at(row, j), F.lit(0.0)) + 1)
+        return _bound(ahead, moved)
+
+    # a row's inner products with all rows, the bias's feature among theirs
+    line = lambda row: F.transform(F.sequence(F.lit(0), F.size("t") - 1), lambda j: F.coalesce(F.element_at(row, j), F.lit(0.0)) + BIAS * BIAS)
     products = F.transform("t", lambda r: F.struct(r["y"].alias("y"), _bound(F.map_from_entries(r["row"]), line).alias("k")))
-    dual = whole.where(F.size("t") > 0).select(_bound(products, lambda t: F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.array_repeat(F.lit(0.0), F.size(t)), lambda alpha, _: step(alpha, t))).alias("alpha"))
+    zero = F.struct(F.array_repeat(F.lit(0.0), F.size("t")).alias("now"), F.array_repeat(F.lit(0.0), F.size("t")).alias("last"))
+    trained = _bound(products, lambda table: F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), zero, lambda state, t: step(state, table, t)))
+    dual = whole.where(F.size("t") > 0).select(trained["now"].alias("alpha"))
     alphas = dual.select(F.posexplode("alpha").alias("n", "alpha"))
     summed = features.join(F.broadcast(alphas), "n").groupBy("at").agg(F.sum(F.col("alpha") * F.col("x")).alias("w"))
-    got = {r["at"]: r["w"] for r in summed.union(alphas.agg(F.lit(BUCKETS).alias("at"), F.sum("alpha").alias("w"))).collect()}
+    got = {r["at"]: r["w"] for r in summed.union(alphas.agg(F.lit(BUCKETS).alias("at"), (F.sum("alpha") * BIAS * BIAS).alias("w"))).collect()}
     return [got.get(k) or 0.0 for k in range(BUCKETS + 1)]
 
 
@@ -175,11 +180,12 @@ def plain_train(rows: list[tuple[str, int]] | None = None) -> list[float]:
 
     rows = labelled_rows() if rows is None else rows
     x = np.array([np.bincount(plain_ngrams(t), minlength=BUCKETS) for t, _ in rows], float).reshape(len(rows), BUCKETS)
-    x = np.hstack([x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300), np.ones((len(rows), 1))])
-    y, w = np.array([float(v) for _, v in rows]), np.zeros(BUCKETS + 1)
-    for _ in range(STEPS):
-        w = w * (1 - STEP * SHRINK) + STEP * (x.T @ (y - 1 / (1 + np.exp(-(x @ w)))))
-    return w.tolist()
+    x = np.hstack([x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300), np.full((len(rows), 1), BIAS)])
+    y, w, last = np.array([float(v) for _, v in rows]), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    for t in range(STEPS):
+        ahead, last = w + t / (t + 3) * (w - last), w
+        w = ahead * (1 - STEP * SHRINK) + STEP * (x.T @ (y - 1 / (1 + np.exp(-(x @ ahead)))))
+    return [*w[:BUCKETS].tolist(), float(w[BUCKETS]) * BIAS]
 
 
 def plain_probability(text: str, w: list[float]) -> float:

@@ -228,7 +228,7 @@ def test_url_model_on_held_out_rows():
     for fold in range(5):
         w = url_filter.plain_train([r for k, r in enumerate(rows) if k % 5 != fold])
         right += [(url_filter.plain_probability(t, w) >= 0.5) == y for k, (t, y) in enumerate(rows) if k % 5 == fold]
-    assert np.mean(right) > 0.72  # a word's other row may be all that training sees of it
+    assert np.mean(right) > 0.78  # a word's other row may be all that training sees of it
 
 
 def test_url_table_holds_no_host_of_the_pages(spark):

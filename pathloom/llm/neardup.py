@@ -37,7 +37,7 @@ THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the idf of what all documents hold, so that no weight is 0.
 COMMON, LEAST_IDF = 0.01, 0.01
 #: Texts of a block, by mean; keys that a leader's rows are dealt to in a join.
-BLOCK, SALT = 256, 16
+BLOCK, SALT = 256, 8
 #: Shingles that a task counts at once.
 CHUNK = 2_000_000
 
@@ -168,9 +168,12 @@ def common_shingles(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _by_leader(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """rows(a, b, ...) joined with leaders(a, ...), one row for each; a leader's rows are dealt to SALT keys."""
+    """rows(a, b, ...) joined with leaders(a, ...), one row for each; a leader's rows are dealt to SALT keys.
+
+    Never broadcast: Spark's estimate of the leaders' side leaves out its SALT copies.
+    """
     salted = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).join(salted, ["a", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int")).join(salted.hint("merge"), ["a", "salt"]).drop("salt")
 
 
 def _block(n: str):

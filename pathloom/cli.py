@@ -1,15 +1,15 @@
-"""Command line: ``python -m pathloom.cli build|query|count|describe|convert|fanout ...``."""
+"""Command line: ``python -m pathloom.cli build|query|count|describe|convert|fanout|version ...``."""
 
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import alphabet as A
+from .functions import report
 from .operators import index as I
 from .operators import kmercount as K
 from .operators import paths as P
@@ -21,16 +21,18 @@ from .sources import kmers as R
 
 def read(spark: SparkSession, names: list[str], text: bool) -> DataFrame:
     """K-mers of files, by name or by base name without its suffix."""
-    end = R.TEXT if text else R.BINARY
-    paths = [n if os.path.splitext(n)[1] else n + end for n in names]
+    paths = R.paths_of(names, text)
     return R.read_text(spark, paths) if text else R.read_binary(spark, paths)
 
 
 def build(spark: SparkSession, args: argparse.Namespace) -> int:
     kmers = read(spark, args.names, args.text)
     R.checked(kmers)
-    mapping = spark.read.parquet(args.mapping) if args.mapping else None
-    index = I.build_index(kmers, args.doublings, mapping, args.sample_period, occurrences=True, max_rows=args.max_rows)
+    mapping = None if not args.mapping else R.read_mapping(spark, args.mapping) if args.mapping.endswith(".mapping") else spark.read.parquet(args.mapping)
+    if args.load:
+        index = I.PathIndex.load(spark, args.load)
+    else:
+        index = I.build_index(kmers, args.doublings, mapping, args.sample_period, occurrences=True, max_rows=args.max_rows, max_bytes=args.max_bytes)
     index.save(args.output or args.names[0])
     I.statistics(index).show()
     if args.verify:
@@ -71,8 +73,7 @@ def describe(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def convert(spark: SparkSession, args: argparse.Namespace) -> int:
-    for name in args.names:
-        print(R.export_binary(read(spark, [name], True), os.path.splitext(name)[0]))
+    print(*R.convert(spark, args.names), sep="\n")
     return 0
 
 
@@ -82,6 +83,13 @@ def fanout(spark: SparkSession, args: argparse.Namespace) -> int:
     return 0
 
 
+def version(spark: SparkSession, args: argparse.Namespace) -> int:
+    print(report.version())
+    if report.level(args.verbosity) > 1:
+        print("verbosity:", report.LEVELS[report.level(args.verbosity)])
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="pathloom")
     sub = top.add_subparsers(required=True)
@@ -95,7 +103,8 @@ def parser() -> argparse.ArgumentParser:
     text = (("-t", "--text"), {"action": "store_true"})
     names = (("names",), {"nargs": "+"})
     k = [(("-k",), {"type": int, "default": 32}), (("-N", "--with-n"), {"action": "store_true"}), (("-f", "--force"), {"action": "store_true"}), (("-o", "--output"), {}), (("indexes",), {"nargs": "+"})]
-    add("build", build, text, names, (("-o", "--output"), {}), (("-d", "--doublings"), {"type": int, "default": 4}), (("-m", "--mapping"), {}), (("-s", "--sample-period"), {"type": int, "default": 1024}), (("-v", "--verify"), {"action": "store_true"}), (("-l", "--max-rows"), {"type": int}))
+    add("build", build, text, names, (("-o", "--output"), {}), (("-d", "--doublings"), {"type": int, "default": 4}), (("-m", "--mapping"), {}), (("-s", "--sample-period"), {"type": int, "default": 1024}), (("-v", "--verify"), {"action": "store_true"}), (("-l", "--max-rows"), {"type": int}), (("-D", "--max-bytes"), {"type": int}), (("-L", "--load"), {"help": "check a saved index instead of building one"}))
+    add("version", version, (("-V", "--verbosity"), {"type": int, "default": 1}))
     add("query", query, (("index",), {}), (("patterns",), {"nargs": "?"}))
     add("count", count, *k)
     add("describe", describe, (("index",), {}))

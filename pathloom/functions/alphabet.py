@@ -62,6 +62,11 @@ def key_succs(key: Column | str) -> Column:
     return _col(key).bitwiseAND(255).cast("int")
 
 
+def replace_label(key: Column | str, rank: Column | str) -> Column:
+    """A key with a number, the rank of its label, instead of the label; the sets stay."""
+    return F.shiftleft(_col(rank).cast("long"), 16).bitwiseOR(_col(key).bitwiseAND(65535))
+
+
 def has_bit(bits: Column | str, digit: Column | str | int) -> Column:
     """Whether a bit set holds a digit."""
     digit = F.lit(digit) if isinstance(digit, int) else _col(digit)
@@ -81,6 +86,12 @@ def range_lcps(first_a: Column | str, last_a: Column | str, first_b: Column | st
     return lcp(first_a, last_b), lcp(last_a, first_b)
 
 
+def increment_lcp(full: Column | str, part: Column | str, k: int) -> tuple[Column, Column]:
+    """One more digit in common, for a length held as whole k-mers and digits of the next one."""
+    carry = _col(part) + 1 >= k
+    return F.when(carry, _col(full) + 1).otherwise(_col(full)), F.when(carry, 0).otherwise(_col(part) + 1)
+
+
 def prefixes(label: Column | str, least: int = 1) -> Column:
     """All prefixes of a label, from a least length on."""
     label = _col(label)
@@ -91,3 +102,11 @@ def char_counts(df: DataFrame, digit: str) -> DataFrame:
     """comp, n and c (rows with a smaller digit) of every digit: at most SIGMA rows, so the one-task window is bounded."""
     counts = df.groupBy(F.col(digit).cast("int").alias("comp")).agg(F.count("*").alias("n"))
     return counts.select("comp", "n", F.coalesce(F.sum("n").over(Window.orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("c"))
+
+
+def find_char(counts: DataFrame, at: Column | str) -> Column:
+    """The digit whose range in the C array of ``char_counts`` (SIGMA rows at most) holds a place; null beyond all."""
+    out = F.lit(None).cast("int")
+    for row in sorted(counts.collect(), key=lambda r: -r["comp"]):
+        out = F.when((_col(at) >= row["c"]) & (_col(at) < row["c"] + row["n"]), row["comp"]).otherwise(out)
+    return out

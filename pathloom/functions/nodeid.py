@@ -12,10 +12,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _joined(node: Column, offset: Column, reverse: Column) -> Column:
+    return F.shiftleft(node.cast("long"), OFFSET_BITS + 1).bitwiseOR(F.when(reverse, 1 << OFFSET_BITS).otherwise(0).cast("long")).bitwiseOR(offset.cast("long"))
+
+
 def encode(node: Column | str, offset: Column | str, reverse: Column | bool = False) -> Column:
-    """The long of id, offset and orientation."""
-    turned = F.when(reverse, 1 << OFFSET_BITS).otherwise(0) if isinstance(reverse, Column) else F.lit((1 << OFFSET_BITS) * bool(reverse))
-    return F.shiftleft(_col(node).cast("long"), OFFSET_BITS + 1).bitwiseOR(turned.cast("long")).bitwiseOR(_col(offset).cast("long"))
+    """The long of id, offset and orientation; an offset under 0 or over MAX_OFFSET raises: it has no bits to lie in."""
+    at = _col(offset).cast("long")
+    at = F.when(at.isNull() | at.between(0, MAX_OFFSET), at).otherwise(F.raise_error(F.format_string("offset %s is not from 0 to 1023", at)).cast("long"))
+    return _joined(_col(node), at, reverse if isinstance(reverse, Column) else F.lit(bool(reverse)))
 
 
 def parse(token: Column | str) -> Column:
@@ -24,7 +29,7 @@ def parse(token: Column | str) -> Column:
     form = r"^(\d+):(-?)(\d+)$"
     offset = F.regexp_extract(token, form, 3)
     good = token.rlike(form) & (F.length(offset) <= 9) & (F.coalesce(F.try_to_number(offset, F.lit("999999999")), F.lit(9999)) <= MAX_OFFSET)
-    return F.when(good, encode(F.regexp_extract(token, form, 1), offset, F.regexp_extract(token, form, 2) == "-")).otherwise(F.lit(0).cast("long"))
+    return F.when(good, _joined(F.regexp_extract(token, form, 1), offset, F.regexp_extract(token, form, 2) == "-")).otherwise(F.lit(0).cast("long"))
 
 
 def ident(node: Column | str) -> Column:
@@ -49,7 +54,7 @@ def mapped(rows: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
     for k, c in enumerate(columns):
         to = mapping.select(F.col("id").alias(f"__id{k}"), F.col("mapped").alias(f"__to{k}"))
         joined = rows.join(to, ident(c) == F.col(f"__id{k}"), "left")
-        new = F.when(F.col(f"__to{k}").isNull(), F.col(c)).otherwise(encode(f"__to{k}", offset(c), reverse(c)))
+        new = F.when(F.col(f"__to{k}").isNull(), F.col(c)).otherwise(_joined(F.col(f"__to{k}"), offset(c), reverse(c)))
         rows = joined.select(*[new.alias(n) if n == c else F.col(n) for n in rows.columns])
     return rows
 

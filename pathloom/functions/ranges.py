@@ -49,3 +49,15 @@ def in_microseconds(seconds: Column) -> Column:
 def seeded_order(df: DataFrame, seed: int, *columns: str) -> DataFrame:
     """``df`` in an order that depends on the seed and the columns' values alone."""
     return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+
+
+#: A prime modulus and two factors under it (the shuffle's only constants).
+_PRIME, _FACTOR, _SEED_FACTOR = 2147483647, 1103515245, 48271
+
+
+def shuffled(df: DataFrame, seed: int, column: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in an order that depends on the seed and a column of distinct whole numbers alone."""
+    from ..operators.ranking import dense_ids
+
+    mixed = df.withColumn("__mixed", F.pmod(F.pmod(column, F.lit(_PRIME)) * F.lit(_FACTOR) + F.lit(seed * _SEED_FACTOR % _PRIME), F.lit(_PRIME)))
+    return dense_ids(mixed, ["__mixed", column], name).drop("__mixed")

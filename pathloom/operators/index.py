@@ -10,25 +10,28 @@ from pyspark.sql import functions as F
 from ..functions import alphabet as A
 from ..functions import nodeid as N
 from . import paths as P
-from .ranking import kept
+from .ranking import kept, ranked_among
 
-TAG, VERSION = "pathloom-index", 1
-#: Rows of a bucket of path ids, for joins of id ranges.
-BUCKET = 1024
-TABLES = ("nodes", "node_values", "edges", "lcp", "key_ranges", "redundancy", "samples", "meta", "occurrences")
+#: Versions from FIRST on can be read; those before 2 lack the blocks of edges, which are made again.
+TAG, VERSION, FIRST = "pathloom-index", 2, 1
+#: Rows of a bucket of path ids, for joins of id ranges; ids of a block of edges; blocks of a group.
+BUCKET, EDGE_BLOCK, GROUP = 1024, 256, 1024
+TABLES = ("nodes", "node_values", "edges", "edge_blocks", "lcp", "key_ranges", "redundancy", "samples", "meta", "occurrences")
 
 
 @dataclass
 class PathIndex:
     """nodes(path_id, key, preds), node_values(path_id, node), edges(src, dst, comp), lcp(path_id, lcp),
 
-    key_ranges(prefix, sp, ep): the nodes below each prefix of a key, redundancy(path_id, a_cum, r_cum): running sums of
+    edge_blocks(comp, block, prev, next): for every digit and block of ids the last edge before and the first one behind it,
+    key_ranges(prefix, sp, ep): the nodes below the empty prefix, each first digit and each prefix at which keys branch, redundancy(path_id, a_cum, r_cum): running sums of
     further starts and of repeats, samples(path_id, node), meta(one row), occurrences(label, file, from_node): full-length labels, optional.
     """
 
     nodes: DataFrame
     node_values: DataFrame
     edges: DataFrame
+    edge_blocks: DataFrame
     lcp: DataFrame
     key_ranges: DataFrame
     redundancy: DataFrame
@@ -54,29 +57,65 @@ class PathIndex:
     def load(cls, spark: SparkSession, path: str) -> PathIndex:
         """A saved index; raises on another tag, version or flags."""
         meta = spark.read.parquet(f"{path}/meta").first()
-        if meta["tag"] != TAG or meta["flags"] != 0 or not 1 <= meta["version"]:
-            raise RuntimeError(f"{path} is no index")
-        if meta["version"] > VERSION:
-            raise RuntimeError(f"{path} has version {meta['version']}; this is {VERSION}")
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
-        tables = {n: read(n) for n in TABLES if n != "occurrences"}
-        try:
-            tables["occurrences"] = read("occurrences")
-        except Exception as x:  # the table is optional
-            if "PATH_NOT_FOUND" not in str(x):
-                raise
+        if state(meta["tag"], meta["version"], meta["flags"]) != "readable":
+            raise RuntimeError(f"{path}: {state(meta['tag'], meta['version'], meta['flags'])}; this is version {VERSION}")
+        tables = {n: _optional(spark, f"{path}/{n}") if n in ("occurrences", "edge_blocks") else spark.read.parquet(f"{path}/{n}") for n in TABLES}
+        if tables["edge_blocks"] is None:
+            tables["edge_blocks"] = kept(edge_blocks_of(tables["edges"], meta["path_nodes"]))
         return cls(**tables)
 
 
+def _optional(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as x:
+        if "PATH_NOT_FOUND" not in str(x):
+            raise
+        return None
+
+
+def state(tag: str, version: int, flags: int) -> str:
+    """Whether an index of this header can be read: readable, no index, unknown flags, too old or too new."""
+    return "no index" if tag != TAG else "unknown flags" if flags else "too old" if version < FIRST else "too new" if version > VERSION else "readable"
+
+
 def edges_of(nodes: DataFrame) -> DataFrame:
     """src, dst, comp: for each node and predecessor character the node whose key is a prefix of character and key.
 
-    The prefixes are exploded and met by an equi-join: exactly one is a key, as a predecessor's key is at most one longer.
+    It is the greatest key that isn't greater, if any: ids are dense in the order of keys, so the source is the text's rank among them. Predecessors
+    that aren't in the graph, as before its sources, have no node.
     """
     digits = F.array(*[F.lit(str(d)) for d in range(A.SIGMA)])
     steps = nodes.select(F.col("path_id").alias("dst"), "key", F.explode(F.filter(digits, lambda d: A.has_bit("preds", d))).alias("comp"))
-    spread = steps.select("dst", "comp", F.explode(A.prefixes(F.concat("comp", "key"))).alias("prefix"))
-    return spread.join(nodes.select(F.col("path_id").alias("src"), F.col("key").alias("prefix")), "prefix").select("src", "dst", F.col("comp").cast("int").alias("comp"))
+    met = ranked_among(nodes, "key", steps.select("dst", "comp", F.concat("comp", "key").alias("text")), "text", "n")
+    there = met.withColumn("src", F.col("n") - 1).join(nodes.select(F.col("path_id").alias("src"), F.col("key").alias("own")), "src")
+    return there.where(F.col("text").startswith(F.col("own"))).select("src", "dst", F.col("comp").cast("int").alias("comp"))
+
+
+def edge_blocks_of(edges: DataFrame, total: int) -> DataFrame:
+    """comp, block, prev, next (struct of dst, src): for every digit and block of EDGE_BLOCK ids the last edge before the block and the first one behind it.
+
+    Found within groups of blocks, and between groups from one row for each.
+    """
+    from pyspark.sql import Window
+
+    ends = edges.groupBy("comp", F.floor(F.col("dst") / EDGE_BLOCK).cast("long").alias("block")).agg(F.min(F.struct("dst", "src")).alias("first"), F.max(F.struct("dst", "src")).alias("last"))
+    digits = F.array(*[F.lit(d) for d in range(A.SIGMA)])
+
+    def around(rows: DataFrame, size: int, at: str, of: list[str]) -> DataFrame:
+        """All places of a digit, with what lies before and behind within ``of``."""
+        every = rows.sparkSession.range(size).select(F.col("id").alias(at), F.explode(digits).alias("comp"))
+        w = Window.partitionBy("comp", *of).orderBy(at)
+        grid = every.join(rows, ["comp", at], "left")
+        grid = grid.withColumn("grp", F.floor(F.col(at) / GROUP).cast("long")) if of else grid
+        before, behind = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+        return grid.select("comp", at, *of, F.last("last", ignorenulls=True).over(before).alias("prev"), F.first("first", ignorenulls=True).over(behind).alias("next"))
+
+    blocks = -(-total // EDGE_BLOCK)
+    groups = ends.groupBy("comp", F.floor(F.col("block") / GROUP).cast("long").alias("grp")).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    outer = around(groups, -(-blocks // GROUP), "grp", []).select("comp", "grp", F.col("prev").alias("p"), F.col("next").alias("n"))
+    inner = around(ends, blocks, "block", ["grp"])
+    return inner.join(outer, ["comp", "grp"]).select("comp", "block", F.coalesce("prev", "p").alias("prev"), F.coalesce("next", "n").alias("next"))
 
 
 def lcp_of(nodes: DataFrame) -> DataFrame:
@@ -85,10 +124,25 @@ def lcp_of(nodes: DataFrame) -> DataFrame:
     return nodes.join(before, "path_id", "left").select("path_id", F.coalesce(A.lcp("before", "key"), F.lit(0)).alias("lcp"))
 
 
+def branching_prefixes(nodes: DataFrame) -> DataFrame:
+    """prefix: the empty one, every first digit, and what neighbouring keys have in common; so each prefix at which keys branch."""
+    before = nodes.select((F.col("path_id") + 1).alias("path_id"), F.col("key").alias("before"))
+    shared = nodes.join(before, "path_id").select(F.substr("before", F.lit(1), A.lcp("before", "key")).alias("prefix"))
+    first = nodes.select(F.explode(F.array(F.lit(""), F.substr("key", F.lit(1), F.lit(1)))).alias("prefix"))
+    return shared.unionByName(first).distinct()
+
+
+def ranges_of(nodes: DataFrame, prefixes: DataFrame, prefix: str = "prefix") -> DataFrame:
+    """``prefixes`` with sp, ep: the first and last node whose key starts with the prefix (sp > ep if there is none), by the ranks of its borders among the keys."""
+    # ":" follows the digits, so all keys with the prefix lie between it and prefix + ":"; the lower border is put just before the prefix itself
+    low = ranked_among(nodes.select(F.concat("key", F.lit("!")).alias("key")), "key", prefixes, prefix, "sp")
+    high = ranked_among(nodes, "key", low.withColumn("__high", F.concat(prefix, F.lit(":"))), "__high", "ep")
+    return high.select(*prefixes.columns, "sp", (F.col("ep") - 1).alias("ep"))
+
+
 def key_ranges_of(nodes: DataFrame) -> DataFrame:
-    """prefix, sp, ep of every prefix of a key, the empty one included."""
-    spread = nodes.select("path_id", F.explode(A.prefixes("key", 0)).alias("prefix"))
-    return spread.groupBy("prefix").agg(F.min("path_id").alias("sp"), F.max("path_id").alias("ep"))
+    """prefix, sp, ep of the prefixes at which keys branch."""
+    return ranges_of(nodes, branching_prefixes(nodes))
 
 
 def redundancy_of(nodes: DataFrame, values: DataFrame, total: int) -> DataFrame:
@@ -134,17 +188,17 @@ def samples_of(nodes: DataFrame, values: DataFrame, edges: DataFrame, period: in
     """path_id and node of the nodes whose starts can't be derived from a predecessor.
 
     Sampled are nodes with several predecessors or the sink before them, with a start that the period divides, or whose
-    starts aren't those of their only predecessor plus one each.
+    starts aren't those of their only predecessor plus one each. Sets of starts are compared by digest.
     """
-    sets = values.groupBy("path_id").agg(F.sort_array(F.collect_set("node")).alias("own"))
-    before = edges.join(sets.select(F.col("path_id").alias("src"), F.transform("own", lambda x: x + 1).alias("prev")), "src").groupBy(F.col("dst").alias("path_id")).agg(F.count("*").alias("indegree"), F.min("prev").alias("prev"))
-    rows = nodes.join(sets, "path_id").join(before, "path_id", "left")
-    simple = (F.bit_count(F.col("preds")) > 1) | A.has_bit("preds", 0) | F.exists("own", lambda x: x % period == 0)
+    sets = values.groupBy("path_id").agg(P.set_digest(F.col("node"), "own"), P.set_digest(F.col("node") + 1, "next"), F.bool_or(F.col("node") % period == 0).alias("marked"))
+    before = edges.join(sets.select(F.col("path_id").alias("src"), "next"), "src").groupBy(F.col("dst").alias("path_id")).agg(F.min("next").alias("prev"))
+    rows = nodes.join(sets.select("path_id", "own", "marked"), "path_id").join(before, "path_id", "left")
+    simple = (F.bit_count(F.col("preds")) > 1) | A.has_bit("preds", 0) | F.col("marked")
     chosen = rows.where(simple | F.col("prev").isNull() | (F.col("prev") != F.col("own")))
-    return chosen.select("path_id", F.explode("own").alias("node"))
+    return values.join(chosen.select("path_id"), "path_id")
 
 
-def build_index(kmers: DataFrame, steps: int = 4, mapping: DataFrame | None = None, sample_period: int = 1024, occurrences: bool = False, max_rows: int | None = None) -> PathIndex:
+def build_index(kmers: DataFrame, steps: int = 4, mapping: DataFrame | None = None, sample_period: int = 1024, occurrences: bool = False, max_rows: int | None = None, max_bytes: int | None = None) -> PathIndex:
     """The index of k-mers after ``steps`` doublings (1 to 4). With ``occurrences``, also all full-length labels."""
     if not 1 <= steps <= 4:
         raise ValueError("1 to 4 doubling steps")
@@ -152,9 +206,9 @@ def build_index(kmers: DataFrame, steps: int = 4, mapping: DataFrame | None = No
     first = kept(P.initial_paths(kmers))
     full = None
     if occurrences:
-        long = P.double(first, steps, pruned=False, max_rows=max_rows)
+        long = P.double(first, steps, pruned=False, max_rows=max_rows, max_bytes=max_bytes)
         full = kept(mapped_starts(long.select(F.rpad("label", k << steps, A.SINK).alias("label"), "file", "from_node").distinct(), mapping))
-    nodes, values = P.merge(mapped_starts(P.double(first, steps, max_rows=max_rows), mapping))
+    nodes, values = P.merge(mapped_starts(P.double(first, steps, max_rows=max_rows, max_bytes=max_bytes), mapping))
     return index_of(nodes, values, k, steps, sample_period, full)
 
 
@@ -174,7 +228,7 @@ def index_of(nodes: DataFrame, values: DataFrame, k: int, steps: int, sample_per
         [(TAG, VERSION, total, edges.count(), k << steps, k, A.SIGMA, one[0], one[1], one[2], 0)],
         "tag string, version int, path_nodes long, edges long, order int, base_k int, sigma int, sampled_positions long, sample_count long, sample_bits long, flags int",
     )
-    return PathIndex(nodes, values, edges, kept(lcp_of(nodes)), kept(key_ranges_of(nodes)), kept(redundancy_of(nodes, values, total)), sampled, kept(meta), full)
+    return PathIndex(nodes, values, edges, kept(edge_blocks_of(edges, total)), kept(lcp_of(nodes)), kept(key_ranges_of(nodes)), kept(redundancy_of(nodes, values, total)), sampled, kept(meta), full)
 
 
 def statistics(index: PathIndex) -> DataFrame:
@@ -183,5 +237,7 @@ def statistics(index: PathIndex) -> DataFrame:
 
 
 def describe(spark: SparkSession, path: str) -> DataFrame:
-    """The header of a saved index and whether this version can read it."""
-    return spark.read.parquet(f"{path}/meta").withColumn("readable", (F.col("tag") == TAG) & (F.col("version") <= VERSION) & (F.col("flags") == 0))
+    """The header of a saved index of any version, its ``state`` and whether this version can read it."""
+    head = spark.read.parquet(f"{path}/meta")
+    now = F.when(F.col("tag") != TAG, "no index").when(F.col("flags") != 0, "unknown flags").when(F.col("version") < FIRST, "too old").when(F.col("version") > VERSION, "too new").otherwise("readable")
+    return head.withColumn("state", now).withColumn("readable", F.col("state") == "readable")

@@ -70,3 +70,12 @@ def compare_indexes(left: PathIndex, right: PathIndex, k: int, with_n: bool = Fa
         for name, a, b in (("left", l, r), ("right", r, l)):
             a.join(b, "kmer", "left_anti").select(A.decode("kmer").alias("kmer")).write.mode("overwrite").parquet(f"{output}.{name}")
     return compare_kmers(l, r)
+
+
+def sizes(index: PathIndex, kmers: DataFrame) -> DataFrame:
+    """what, n: k-mers, their distinct labels and starts, and the index's nodes, edges, samples and LCP values."""
+    one = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    out = one("kmers", kmers)
+    for what, df in (("labels", kmers.select("label").distinct()), ("starts", kmers.select("from_node").distinct()), ("nodes", index.nodes), ("edges", index.edges), ("samples", index.samples), ("values", index.lcp)):
+        out = out.unionByName(one(what, df))
+    return out

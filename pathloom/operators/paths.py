@@ -61,16 +61,19 @@ def keys_by_prefixes(one: DataFrame) -> DataFrame:
     return spread.select("label", "prefix").join(alike, "prefix").groupBy("label").agg(F.min_by("prefix", F.length("prefix")).alias("key"))
 
 
-def keys_by_borders(one: DataFrame) -> DataFrame:
-    """As ``keys_by_prefixes``, by comparing each label with the nearest ones of other values."""
+def numbered_runs(rows: DataFrame, value: str) -> DataFrame:
+    """rows(id, ...), id dense from 0, with run: the number (from 1) of the run of equal values, one after another, that a row is in. A null value is a run of its own."""
     from .index import running_sums
 
-    ranked = dense_ids(one, ["label"], "id")
-    before = ranked.select((F.col("id") + 1).alias("id"), F.col("value").alias("before"), F.lit(True).alias("there"))
-    starts = ranked.join(before, "id", "left").select("id", "label", "value", F.when(F.col("there") & (F.col("value") == F.col("before")), 0).otherwise(1).alias("start"))
-    starts = kept(starts)
-    runs = running_sums(starts.select("id", "start"), "id", starts.count(), {"start": "run"})
-    rows = kept(starts.join(runs, "id").select("id", "label", "value", "run"))
+    before = rows.select((F.col("id") + 1).alias("id"), F.col(value).alias("__before"), F.lit(True).alias("__there"))
+    starts = kept(rows.join(before, "id", "left").select(*rows.columns, F.when(F.col("__there") & (F.col(value) == F.col("__before")), 0).otherwise(1).alias("__start")))
+    runs = running_sums(starts.select("id", "__start"), "id", starts.count(), {"__start": "run"})
+    return kept(starts.join(runs, "id").select(*rows.columns, "run"))
+
+
+def keys_by_borders(one: DataFrame) -> DataFrame:
+    """As ``keys_by_prefixes``, by comparing each label with the nearest ones of other values."""
+    rows = numbered_runs(dense_ids(one, ["label"], "id"), "value")
     ends = rows.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     left = rows.select((F.col("id") + 1).alias("first"), F.col("label").alias("left"))
     right = rows.select((F.col("id") - 1).alias("last"), F.col("label").alias("right"))
@@ -100,6 +103,11 @@ def prune(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept(out), counts
 
 
+def ranges(paths: DataFrame) -> DataFrame:
+    """One row: how many different labels a generation has, and how many of them several paths share."""
+    return paths.groupBy("label").agg(F.count("*").alias("n")).agg(F.count("*").alias("ranges"), F.count_if(F.col("n") > 1).alias("shared"))
+
+
 def extend(paths: DataFrame) -> DataFrame:
     """Paths that aren't final joined with those that start at their target in the same file; final ones as they are."""
     left = paths.where("to_node IS NOT NULL")
@@ -115,23 +123,43 @@ def extension_fanout(paths: DataFrame) -> DataFrame:
     return left.join(starts, (left.file == starts.file) & (left.to_node == starts["__at"]), "left").select(left.file, "label", "from_node", "to_node", F.coalesce("fanout", F.lit(0)).cast("long").alias("fanout"))
 
 
-def double(paths: DataFrame, steps: int, pruned: bool = True, max_rows: int | None = None) -> DataFrame:
-    """Generations of prune and extend; without ``pruned``, all full-length paths. ``max_rows`` raises beyond so many paths."""
+def extended_size(paths: DataFrame) -> tuple[int, int]:
+    """Rows and label bytes of the next generation, from counts of starts alone, before anything is joined."""
+    fan = extension_fanout(paths).select(F.col("fanout").alias("n"), (F.col("fanout") * F.length("label") * 2).alias("bytes"))
+    final = paths.where("to_node IS NULL").select(F.lit(1).cast("long").alias("n"), F.length("label").cast("long").alias("bytes"))
+    return tuple(fan.unionByName(final).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first())
+
+
+def double(paths: DataFrame, steps: int, pruned: bool = True, max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Generations of prune and extend; without ``pruned``, all full-length paths.
+
+    ``max_rows`` and ``max_bytes`` (of labels) raise before a larger generation is written.
+    """
     for _ in range(steps):
-        paths = kept(extend(prune(paths)[0] if pruned else paths))
-        if max_rows is not None and paths.count() > max_rows:
-            raise MemoryError(f"more than {max_rows} paths; prune the graph first")
+        paths = prune(paths)[0] if pruned else paths
+        if max_rows is not None or max_bytes is not None:
+            rows, size = extended_size(paths)
+            if max_rows is not None and rows > max_rows:
+                raise MemoryError(f"{rows} paths, more than {max_rows}; prune the graph first")
+            if max_bytes is not None and size > max_bytes:
+                raise MemoryError(f"{size} bytes of labels, more than {max_bytes}; prune the graph first")
+        paths = kept(extend(paths))
     return paths
 
 
+def set_digest(node, n: str = "value"):
+    """A value by which sets of distinct nodes are compared without being gathered: their number and two sums (bit by bit) of unlike 64-bit hashes."""
+    return F.struct(F.count(node).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), node)).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), node)).alias("h2")).alias(n)
+
+
 def merge(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes(path_id, key, preds) and node_values(path_id, node) of the maximally pruned graph.
 
-    The value of a label is its set of starts; labels with one prefix and one set become one node.
+    The value of a label is its set of starts, compared by digest; labels with one prefix and one set become one node.
     """
-    sets = kept(paths.groupBy("label").agg(F.sort_array(F.collect_set("from_node")).alias("value"), F.bit_or("preds").alias("preds")))
-    keys = shortest_keys(sets.select("label", "value"))
-    keyed = kept(sets.join(keys, "label"))
-    nodes = dense_ids(keyed.groupBy("key").agg(F.bit_or("preds").alias("preds")), ["key"], "path_id").select("path_id", "key", "preds")
-    values = keyed.select("key", F.explode("value").alias("node")).distinct().join(nodes.select("path_id", "key"), "key").select("path_id", "node")
-    return kept(nodes), kept(values)
+    starts = kept(paths.groupBy("label", "from_node").agg(F.bit_or("preds").alias("preds")))
+    sets = kept(starts.groupBy("label").agg(set_digest(F.col("from_node")), F.bit_or("preds").alias("preds")))
+    keyed = kept(sets.join(shortest_keys(sets.select("label", "value")), "label").select("label", "key", "preds"))
+    nodes = kept(dense_ids(keyed.groupBy("key").agg(F.bit_or("preds").alias("preds")), ["key"], "path_id").select("path_id", "key", "preds"))
+    values = starts.join(keyed.select("label", "key"), "label").select("key", F.col("from_node").alias("node")).distinct()
+    return nodes, kept(values.join(nodes.select("path_id", "key"), "key").select("path_id", "node"))

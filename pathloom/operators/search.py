@@ -6,6 +6,7 @@ A range is (sp, ep), closed; the empty one is (1, 0). Patterns are digit strings
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
-from .index import BUCKET, PathIndex
-from .ranking import kept
+from .index import BUCKET, EDGE_BLOCK, PathIndex, edge_blocks_of, ranges_of, running_sums
+from .ranking import dense_ids, kept, ranked_among
 
 #: Bytes of rank arrays up to which the search kernel is broadcast.
 KERNEL_BYTES = 256 << 20
@@ -33,15 +34,25 @@ def by_bucket(ranges: DataFrame, rows: DataFrame, at: str, bucket: int = BUCKET)
     return left.join(right, "__b").where(F.col(at).between(F.col("sp"), F.col("ep"))).drop("__b")
 
 
-def find_by_labels(index: PathIndex, patterns: DataFrame) -> DataFrame:
-    """pid, pattern, sp, ep of patterns up to the index's order, exactly: by one equi-join with the prefixes of all full-length labels."""
+def label_nodes(index: PathIndex) -> DataFrame:
+    """label, rnk, path_id of the distinct full-length labels in order: a label's node is that of the greatest key that isn't greater."""
     if index.occurrences is None:
         raise ValueError("the index was built without occurrences")
-    labels = index.occurrences.select("label").distinct()
-    node = labels.select("label", F.explode(A.prefixes("label")).alias("key")).join(index.nodes.select("key", "path_id"), "key").select("label", "path_id")
-    table = node.select(F.explode(A.prefixes("label")).alias("pattern"), "path_id").groupBy("pattern").agg(F.min("path_id").alias("sp"), F.max("path_id").alias("ep"))
-    found = patterns.join(table, "pattern", "left")
-    return _with_empty_pattern(index, found)
+    ranked = dense_ids(index.occurrences.select("label").distinct(), ["label"], "rnk")
+    return ranked_among(index.nodes, "key", ranked, "label", "__n").select("label", "rnk", (F.col("__n") - 1).alias("path_id"))
+
+
+def find_by_labels(index: PathIndex, patterns: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """pid, pattern, sp, ep of patterns up to the index's order, exactly: by the ranks of a pattern's borders among the full-length labels.
+
+    ``labels``: what ``label_nodes`` gives, to be used again. Labels with a pattern for prefix follow one another, and so do their nodes.
+    """
+    labels = kept(label_nodes(index)) if labels is None else labels
+    ranged = ranges_of(labels.select(F.col("label").alias("key")), patterns.select("pattern").distinct(), "pattern").where("sp <= ep")
+    first = labels.select(F.col("rnk").alias("sp"), F.col("path_id").alias("__first"))
+    last = labels.select(F.col("rnk").alias("ep"), F.col("path_id").alias("__last"))
+    table = ranged.join(first, "sp").join(last, "ep").select("pattern", F.col("__first").alias("sp"), F.col("__last").alias("ep"))
+    return _with_empty_pattern(index, patterns.join(table, "pattern", "left"))
 
 
 def _with_empty_pattern(index: PathIndex, found: DataFrame) -> DataFrame:
@@ -51,10 +62,22 @@ def _with_empty_pattern(index: PathIndex, found: DataFrame) -> DataFrame:
 
 
 def step_back(index: PathIndex, ranges: DataFrame, comp: Column | str = "comp", keep: tuple[str, ...] = ("pid",)) -> DataFrame:
-    """Ranges of the predecessors by the digit in ``comp``; ranges without any are left out."""
-    frontier = ranges.withColumn("__c", (F.col(comp) if isinstance(comp, str) else comp).cast("int"))
-    met = by_bucket(frontier, index.edges.withColumnRenamed("comp", "__edge"), "dst").where("__c = __edge")
-    return met.groupBy(*keep).agg(F.min("src").alias("sp"), F.max("src").alias("ep"))
+    """Ranges of the predecessors by the digit in ``comp``; ranges without any are left out. ``keep`` names a range.
+
+    Sources rise with targets within a digit, so the first and the last edge into a range give its predecessors' range. Each is looked for
+    in its border's block of edges, of EDGE_BLOCK targets at most, and behind that in what the block knows of the others: the work doesn't grow with the range.
+    """
+    every = ranges.where("sp <= ep").withColumn("__c", (F.col(comp) if isinstance(comp, str) else comp).cast("int"))
+    sides = F.array(F.struct(F.lit(True).alias("low"), F.col("sp").alias("at")), F.struct(F.lit(False).alias("low"), F.col("ep").alias("at")))
+    probes = every.select(*keep, "sp", "ep", "__c", F.inline(sides)).withColumn("__b", F.floor(F.col("at") / EDGE_BLOCK).cast("long"))
+    edges = index.edges.select(F.col("comp").alias("__c"), F.floor(F.col("dst") / EDGE_BLOCK).cast("long").alias("__b"), F.struct("dst", "src").alias("__e"))
+    blocks = index.edge_blocks.select(F.col("comp").alias("__c"), F.col("block").alias("__b"), "prev", "next")
+    met = probes.join(edges, ["__c", "__b"], "left").join(blocks, ["__c", "__b"])
+    inside = F.when(F.col("low"), F.col("__e.dst") >= F.col("at")).otherwise(F.col("__e.dst") <= F.col("at"))
+    low = F.coalesce(F.min(F.when(F.col("low") & inside, F.col("__e"))), F.min(F.when(F.col("low"), F.col("next"))))
+    high = F.coalesce(F.max(F.when(~F.col("low") & inside, F.col("__e"))), F.max(F.when(~F.col("low"), F.col("prev"))))
+    found = met.groupBy(*keep, "sp", "ep").agg(low.alias("__low"), high.alias("__high")).where((F.col("__low.dst") <= F.col("ep")) & (F.col("__high.dst") >= F.col("sp")))
+    return found.select(*keep, F.col("__low.src").alias("sp"), F.col("__high.src").alias("ep"))
 
 
 def find_by_edges(index: PathIndex, patterns: DataFrame) -> DataFrame:
@@ -87,9 +110,14 @@ def kernel(index: PathIndex) -> tuple[np.ndarray, list[np.ndarray], list[np.ndar
     first = np.full((A.SIGMA, 2), (1, 0), np.int64)
     for r in index.key_ranges.where(F.length("prefix") == 1).collect():
         first[int(r["prefix"])] = r["sp"], r["ep"]
+    return rank_arrays(e, first)
+
+
+def rank_arrays(edges, first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The kernel's arrays from first ids by digit and a pandas table of edges (comp, dst, src)."""
     dst, src = [], []
     for c in range(A.SIGMA):
-        one = e[e["comp"] == c].sort_values("dst")
+        one = edges[edges["comp"] == c].sort_values("dst")
         dst.append(one["dst"].to_numpy(np.int64)), src.append(one["src"].to_numpy(np.int64))
     return first, dst, src
 
@@ -202,9 +230,118 @@ def locate_some(index: PathIndex, ranges: DataFrame, most: int, seed: int = 0) -
 
 def find_in_labels(labels: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
     """pid, pattern, sp, ep: ranks of the labels of length k that start with each pattern; patterns over k have none. labels(label, rnk)."""
-    total = labels.count()
-    table = labels.select(F.explode(A.prefixes("label")).alias("pattern"), "rnk").groupBy("pattern").agg(F.min("rnk").alias("sp"), F.max("rnk").alias("ep"))
+    table = ranges_of(labels.select(F.col("label").alias("key")), patterns.where(F.length("pattern") <= k).select("pattern").distinct(), "pattern")
     got = patterns.join(table, "pattern", "left")
     sp, ep = empty_as(F.col("sp"), F.col("ep"))
-    blank = F.col("pattern") == ""
-    return got.select("pid", "pattern", F.when(blank, 0).otherwise(sp).cast("long").alias("sp"), F.when(blank, total - 1).otherwise(ep).cast("long").alias("ep"))
+    return got.select("pid", "pattern", sp.alias("sp"), ep.alias("ep"))
+
+
+# ------------------------------------------------------------- samples
+
+
+def sample_ranges(index: PathIndex) -> DataFrame:
+    """path_id, first, last: the places of each sampled node's samples in the order of nodes and starts, from 0."""
+    placed = dense_ids(index.samples, ["path_id", "node"], "at")
+    return placed.groupBy("path_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+def sampled(index: PathIndex, ids: DataFrame) -> DataFrame:
+    """path_id, is_sampled of ids(path_id)."""
+    there = index.samples.select("path_id").distinct().withColumn("__s", F.lit(True))
+    return ids.join(there, "path_id", "left").select("path_id", F.coalesce("__s", F.lit(False)).alias("is_sampled"))
+
+
+def locate_by_samples(index: PathIndex, ranges: DataFrame, most_steps: int = 1 << 20) -> DataFrame:
+    """pid, node: distinct starts in each range, from samples alone: a node without samples goes to its only predecessor, whose starts are one less.
+
+    All nodes of a batch step together, one join for each step; the steps are bounded by the sample period.
+    """
+    every = by_bucket(ranges.select("pid", "sp", "ep"), index.nodes.select("path_id"), "path_id").select("pid", "path_id").withColumn("steps", F.lit(0).cast("long"))
+    there = index.samples.select("path_id").distinct()
+    back = index.edges.select(F.col("dst").alias("path_id"), "src")
+    now, done = kept(every), None
+    for _ in range(most_steps):
+        got = now.join(index.samples, "path_id").select("pid", (F.col("node") + F.col("steps")).alias("node"))
+        done = got if done is None else done.unionByName(got)
+        rest = now.join(there, "path_id", "left_anti")
+        now = kept(rest.join(back, "path_id").select("pid", F.col("src").alias("path_id"), (F.col("steps") + 1).alias("steps")).distinct())
+        if now.isEmpty():
+            return done.distinct()
+    raise RuntimeError(f"no sample within {most_steps} steps")
+
+
+# ------------------------------------------------------------- bit vectors, de Bruijn graphs, rank-based steps
+
+#: Bits of a word of a bit vector.
+WORD = 32
+
+
+def bit_vectors(index: PathIndex) -> DataFrame:
+    """comp, kind, word, bits: for each digit the nodes with an edge of it into them, as words of WORD bits; words without a bit are left out.
+
+    The bases' vectors are plain (a word can be looked up), the others' are sparse.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(dst % {WORD} AS int))")
+    words = index.edges.groupBy("comp", F.floor(F.col("dst") / WORD).cast("long").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return words.select("comp", F.when(F.col("comp").between(1, 4), "plain").otherwise("sparse").alias("kind"), "word", "bits")
+
+
+@dataclass
+class DeBruijnGraph:
+    """labels(label, rnk, preds, succs) of all k-mers in order, edges(src, dst, comp) between their ranks, and the edges' blocks."""
+
+    k: int
+    labels: DataFrame
+    edges: DataFrame
+    edge_blocks: DataFrame
+
+    @property
+    def size(self) -> int:
+        return self.labels.count()
+
+    def find(self, patterns: DataFrame) -> DataFrame:
+        """pid, pattern, sp, ep: ranks of the k-mers with each pattern for prefix; longer patterns have none."""
+        return find_in_labels(self.labels, patterns, self.k)
+
+    def lf(self, ranges: DataFrame, comps: list[int]) -> DataFrame:
+        """pid, comp, sp, ep: ranges of the predecessors by each digit, (1, 0) where there is none."""
+        return lf_each(self, ranges, comps)
+
+    def char_range(self) -> DataFrame:
+        """comp, sp, ep of the k-mers that start with each digit."""
+        return self.labels.groupBy(F.substr("label", F.lit(1), F.lit(1)).cast("int").alias("comp")).agg(F.min("rnk").alias("sp"), F.max("rnk").alias("ep"))
+
+
+def de_bruijn_graph(keys: DataFrame, k: int) -> DeBruijnGraph:
+    """The graph of distinct k-mers: keys(label, rnk, preds, succs). An edge needs the predecessor's k-mer to be there."""
+    digits = F.array(*[F.lit(str(d)) for d in range(A.SIGMA)])
+    steps = keys.select(F.col("rnk").alias("dst"), "label", F.explode(F.filter(digits, lambda d: A.has_bit("preds", d))).alias("comp"))
+    before = steps.select("dst", F.col("comp").cast("int").alias("comp"), F.substr(F.concat("comp", "label"), F.lit(1), F.lit(k)).alias("label"))
+    edges = kept(before.join(keys.select("label", F.col("rnk").alias("src")), "label").select("src", "dst", "comp"))
+    return DeBruijnGraph(k, keys, edges, kept(edge_blocks_of(edges, keys.count())))
+
+
+def lf_mapping(rows: DataFrame, total: int) -> DataFrame:
+    """pos, comp, lf of rows(pos, comp), pos dense from 0: the rows with a smaller digit, and those before with the same."""
+    marks = [F.when(F.col("comp") == d, 1).otherwise(0).alias(f"n{d}") for d in range(A.SIGMA)]
+    sums = running_sums(rows.select("pos", *marks), "pos", total, {f"n{d}": f"s{d}" for d in range(A.SIGMA)})
+    smaller = {r["comp"]: r["c"] for r in A.char_counts(rows, "comp").collect()}
+    at = lambda d: F.when(F.col("comp") == d, F.col(f"s{d}") - 1 + smaller.get(d, 0))
+    return rows.join(sums, "pos").select("pos", "comp", F.coalesce(*[at(d) for d in range(A.SIGMA)]).cast("long").alias("lf"))
+
+
+def batch_report(index: PathIndex, patterns: DataFrame) -> DataFrame:
+    """One row over a batch of patterns: patterns, found, nodes of their ranges, occurrences, located starts, mean depth of the parents."""
+    from .suffixtree import parent
+
+    ranges = kept(find(index, patterns))
+    good = ranges.where("sp <= ep")
+    totals = ranges.agg(F.count("*").alias("patterns"), F.count_if(F.col("sp") <= F.col("ep")).alias("found"), F.coalesce(F.sum(F.when(F.col("sp") <= F.col("ep"), F.col("ep") - F.col("sp") + 1)), F.lit(0)).alias("nodes"))
+    parts = {
+        "patterns, found, nodes": totals,
+        "occurrences": count(index, good).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences")),
+        "located": locate(index, good).agg(F.count("*").alias("located")),
+        "depth": parent(index, good.select("pid", "sp", "ep")).agg(F.avg("depth").alias("depth")),
+    }
+    row = {k: v for df in parts.values() for k, v in df.first().asDict().items()}
+    return patterns.sparkSession.createDataFrame([tuple(row.values())], "patterns long, found long, nodes long, occurrences long, located long, depth double")

@@ -34,13 +34,16 @@ def _values(index: PathIndex) -> DataFrame:
     return rows.join(index.key_ranges.select("prefix", F.col("sp").alias("s"), F.col("ep").alias("e")), "prefix")
 
 
-def neighbours(index: PathIndex) -> DataFrame:
+def neighbours(index: PathIndex, positions: DataFrame | None = None) -> DataFrame:
     """path_id, lcp and positions and values of psv, psev, nsv, nsev: the nearest smaller (or equal) values before and after.
 
-    Equal values in one prefix's range are at most as many as there are digits, so the windows are small.
+    With positions(path_id), of these alone: only values of their prefixes are looked at. Equal values in one prefix's range are at most as many as there are digits, so the windows are small.
     """
     size = index.size
     v = _values(index)
+    if positions is not None:
+        wanted = v.join(positions.select("path_id").distinct(), "path_id", "left_semi").select("prefix", "lcp").distinct()
+        v = v.join(wanted, ["prefix", "lcp"])
     value = index.lcp.select(F.col("path_id").alias("__p"), F.col("lcp").alias("__v"))
     w = Window.partitionBy("prefix", "lcp").orderBy("path_id")
     rows = v.select(
@@ -50,6 +53,8 @@ def neighbours(index: PathIndex) -> DataFrame:
         F.when((F.col("lcp") > 0) & (F.col("e") + 1 < size), F.col("e") + 1).otherwise(size).alias("nsv"),
         F.coalesce(F.lead("path_id").over(w), F.when((F.col("lcp") > 0) & (F.col("e") + 1 < size), F.col("e") + 1).otherwise(size)).alias("nsev"),
     )
+    if positions is not None:
+        rows = rows.join(positions.select("path_id").distinct(), "path_id", "left_semi")
     for name in ("psv", "psev", "nsv", "nsev"):
         rows = rows.join(value, F.col(name) == F.col("__p"), "left").withColumn(f"{name}_lcp", F.coalesce("__v", F.lit(size)).cast("long")).drop("__p", "__v")
     return rows

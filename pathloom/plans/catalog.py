@@ -5,6 +5,7 @@ Indexes are built once for a session and folder and lie in the checkpoint folder
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,15 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from ..functions import alphabet as A
 from ..functions import nodeid as N
+from ..functions import ranges as G
+from ..functions import report
 from ..operators import index as I
 from ..operators import kmercount as K
 from ..operators import paths as P
 from ..operators import search as S
 from ..operators import suffixtree as T
 from ..operators import verify as V
-from ..operators.ranking import kept
+from ..operators.ranking import dense_ids, kept
 from ..sources import fixtures as X
 from ..sources import kmers as R
 
@@ -30,14 +33,27 @@ _SQL: dict[str, str] = {}
 _built: dict[tuple, object] = {}
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Times and sizes of the tables in a folder: a changed folder is another one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object]):
-    """What ``make`` gives, once for a session, folder and name."""
-    key = (spark.sparkContext.applicationId, id(spark.sparkContext), sf_dir, name)
+    """What ``make`` gives, once for a session, folder (as it is now) and name."""
+    key = (spark.sparkContext.applicationId, id(spark.sparkContext), sf_dir, _stamp(spark, sf_dir), name)
     if key not in _built:
         _built[key] = make()
     return _built[key]
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared checkpoint folder."""
+    kept(spark.range(0))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def _flat(df: DataFrame) -> DataFrame:
     """``df`` with all whole numbers as longs."""
     return df.select(*[F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, (ByteType, ShortType, IntegerType)) else F.col(f.name) for f in df.schema])
@@ -313,7 +329,8 @@ def _(spark, d):
 
 @_query("find_short", "pattern sp:b ep:b", "found")
 def _(spark, d):
-    return S.find_by_labels(event_index(spark, d), patterns(spark, d)).drop("pid")
+    labels = _once(spark, d, "labels", lambda: kept(S.label_nodes(event_index(spark, d))))
+    return S.find_by_labels(event_index(spark, d), patterns(spark, d), labels).drop("pid")
 
 
 @_query("find_by_edges", "pattern sp:b ep:b", "found")
@@ -547,8 +564,6 @@ def _(spark, d):
 
 @_query("range_functions", "pattern n:b n_bits:b inside:b", "(SELECT pattern, CASE WHEN sp > ep THEN 0 ELSE ep + 1 - sp END AS n, CASE WHEN sp = 0 THEN 1 ELSE CAST(floor(log2(sp)) AS BIGINT) + 1 END AS n_bits, greatest(least(100, ep), sp) AS inside FROM found)")
 def _(spark, d):
-    from ..functions import ranges as G
-
     sp, ep = F.col("sp"), F.col("ep")
     return found(spark, d).select("pattern", G.length(sp, ep).alias("n"), G.bit_length(sp).alias("n_bits"), G.bound(F.lit(100), sp, ep).alias("inside"))
 
@@ -559,3 +574,327 @@ def _(spark, d):
 
     texts = rows(spark, d).groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "comp"))), lambda x: x["comp"]), "").alias("text"))
     return textsearch.count(texts, patterns(spark, d), 1).select(F.col("pid").alias("pattern"), "n")
+
+
+# ------------------------------------------------------------- files
+
+
+_FILES = """(SELECT CAST(user_id % 3 AS BIGINT) AS file, substr(tail, 1, 3) AS label, preds, CASE WHEN tail LIKE '0%' THEN 1 ELSE 1 << CAST(substr(tail, 4, 1) AS INT) END AS succs, node AS from_node,
+  CASE WHEN substr(tail, 3, 1) = '0' THEN NULL WHEN substr(tail, 4, 1) = '0' THEN 0 ELSE node + 3 END AS to_node FROM tails WHERE user_id IS NOT NULL
+  UNION ALL SELECT user_id % 3, '000', CAST(bit_or(1 << CAST(comp AS INT)) AS BIGINT), 1, 0, NULL FROM occ WHERE pos = n - 1 GROUP BY user_id % 3)"""
+
+
+@_query("binary_round_trip", "file:b label preds:b succs:b from_node:b to_node:b", _FILES)
+def _(spark, d):
+    rows, bases = kmers(spark, d, 3, 3), [_scratch(spark, f"part{k}") for k in range(3)]
+    for k, base in enumerate(bases):
+        R.export_binary(rows.where(F.col("file") == k), base)
+    return R.read_binary(spark, R.paths_of(bases, False))
+
+
+@_query("text_to_binary", "label preds:b succs:b from_node:b to_node:b", _KMERS.format(k=3))
+def _(spark, d):
+    path = _scratch(spark, "lines") + R.TEXT
+    R.to_lines(kmers(spark, d, 3)).select("value").write.text(path)
+    return R.read_binary(spark, R.convert(spark, [path])).drop("file")
+
+
+def _length(what: str, of: str) -> str:
+    return f"SELECT '{what}' AS what, min(length(label)) AS least, max(length(label)) AS most, CASE WHEN min(length(label)) = max(length(label)) THEN max(length(label)) END AS k FROM ({of})"
+
+
+@_query("k_check", "what least:b most:b k:b", "(" + _length("one length", f"SELECT label FROM {_KMERS.format(k=3)}") + " UNION ALL " + _length("two lengths", f"SELECT label FROM {_KMERS.format(k=3)} UNION ALL SELECT label FROM {_KMERS.format(k=2)}") + ")")
+def _(spark, d):
+    one, two = kmers(spark, d, 3), kmers(spark, d, 2)
+    return R.common_length(one).withColumn("what", F.lit("one length")).unionByName(R.common_length(one.unionByName(two)).withColumn("what", F.lit("two lengths")))
+
+
+@_query("mapping_round_trip", "id:b mapped:b", "(SELECT i AS id, CASE WHEN i % 2 = 0 AND c_custkey IS NOT NULL THEN c_custkey + 1000000 ELSE i END AS mapped FROM (SELECT min(c_custkey) AS lo, max(c_custkey) AS hi FROM customer WHERE c_custkey % 2 = 0) r, range(0, 10000000) t(i) LEFT JOIN customer ON c_custkey = i WHERE i BETWEEN lo AND hi)")
+def _(spark, d):
+    own = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1000000).alias("mapped"))
+    return R.read_mapping(spark, R.write_mapping(own, _scratch(spark, "ids") + ".mapping"))
+
+
+@_query("mapping_insert", "id:b mapped:b", "(SELECT c_custkey AS id, c_custkey + 1000000 AS mapped FROM customer UNION ALL SELECT 5000000 + row_number() OVER (ORDER BY s) - 1, s FROM (SELECT DISTINCT s_suppkey AS s FROM supplier))")
+def _(spark, d):
+    own = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1000000).alias("mapped"))
+    return N.append_mapping(own, spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id")), 5000000)
+
+
+@_query("pattern_scan", "patterns:b characters:b", "(SELECT count(*) AS patterns, sum(length(p)) AS characters FROM (SELECT translate(substr(tail, 1, 4), '0123456', '$ACGTN#') AS p FROM tails) WHERE NOT regexp_full_match(p, 'N*'))")
+def _(spark, d):
+    path, lines = _scratch(spark, "patterns"), event_index(spark, d).occurrences.select(A.decode("label").alias("value"))
+    lines.unionByName(spark.createDataFrame([("",), ("NNNN",)], "value string")).write.text(path)
+    return R.pattern_totals(R.read_patterns(spark, path))
+
+
+@_query("index_save_load", "path_id:b key preds:b lcp:b starts:b", "(SELECT path_id, key, preds, lcp, starts FROM nodes JOIN lcp USING (path_id) JOIN (SELECT path_id, count(*) AS starts FROM node_values GROUP BY path_id) USING (path_id))")
+def _(spark, d):
+    path = _scratch(spark, "index")
+    event_index(spark, d).save(path)
+    index = I.PathIndex.load(spark, path)
+    return index.nodes.join(index.lcp, "path_id").join(index.node_values.groupBy("path_id").agg(F.count("*").alias("starts")), "path_id").select("path_id", "key", "preds", "lcp", "starts")
+
+
+_HEADERS = [("pathloom-index", v, f) for v in range(5) for f in (0, 1)] + [("other", 1, 0)]
+
+
+@_query("header_states", "tag version:b flags:b state", f"(SELECT *, CASE WHEN tag <> 'pathloom-index' THEN 'no index' WHEN flags <> 0 THEN 'unknown flags' WHEN version < {I.FIRST} THEN 'too old' WHEN version > {I.VERSION} THEN 'too new' ELSE 'readable' END AS state FROM (VALUES {', '.join(map(str, _HEADERS))}) t(tag, version, flags))")
+def _(spark, d):
+    meta, out = event_index(spark, d).meta, None
+    for tag, version, flags in _HEADERS:
+        path = _scratch(spark, "header")
+        meta.withColumn("tag", F.lit(tag)).withColumn("version", F.lit(version)).withColumn("flags", F.lit(flags)).write.parquet(f"{path}/meta")
+        one = I.describe(spark, path).select("tag", "version", "flags", "state")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("kmers_right_only", "kmer", "(SELECT kmer FROM halves WHERE half = 1 EXCEPT SELECT kmer FROM halves WHERE half = 0)")
+def _(spark, d):
+    return _half(spark, d, True).join(_half(spark, d, False), "kmer", "left_anti")
+
+
+@_query("symmetric_difference", "side kmer", "(SELECT CASE half WHEN 0 THEN 'left' ELSE 'right' END AS side, translate(kmer, '0123456', '$ACGTN#') AS kmer FROM halves WHERE kmer IN (SELECT kmer FROM halves GROUP BY kmer HAVING count(DISTINCT half) = 1))")
+def _(spark, d):
+    path = _scratch(spark, "difference")
+    R.symmetric_difference(_half(spark, d, False), _half(spark, d, True)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+# ------------------------------------------------------------- further scalars and look-ups
+
+
+@_query("key_replace", "key:b", "(SELECT (dense_rank() OVER (ORDER BY label) - 1) * 65536 + preds * 256 + succs AS key FROM " + _KMERS.format(k=3) + ")")
+def _(spark, d):
+    own = kmers(spark, d, 3)
+    ranks = P.ranked_labels(own).select("label", "rnk")
+    return own.join(ranks, "label").select(A.replace_label(A.pack("label", "preds", "succs"), "rnk").alias("key"))
+
+
+@_query("find_char", "path_id:b comp:b", "(SELECT path_id, CAST(substr(key, 1, 1) AS INT) AS comp FROM nodes)")
+def _(spark, d):
+    nodes = event_index(spark, d).nodes
+    counts = A.char_counts(nodes.select(F.substr("key", F.lit(1), F.lit(1)).alias("comp")), "comp")
+    return nodes.select("path_id", A.find_char(counts, "path_id").alias("comp"))
+
+
+@_query("lf_by_rank", "pos:b comp:b lf:b", "(SELECT pos, comp, count(*) OVER (ORDER BY comp RANGE UNBOUNDED PRECEDING) - count(*) OVER (PARTITION BY comp) + row_number() OVER (PARTITION BY comp ORDER BY pos) - 1 AS lf FROM (SELECT row_number() OVER (ORDER BY tail, node) - 1 AS pos, CAST(pc AS INT) AS comp FROM occ))")
+def _(spark, d):
+    own = kmers(spark, d, 16).where("from_node <> 0").select("label", "from_node", F.floor(F.log2(F.col("preds").cast("double"))).cast("int").alias("comp"))
+    ranked = kept(dense_ids(own, ["label", "from_node"], "pos").select("pos", "comp"))
+    return S.lf_mapping(ranked, ranked.count())
+
+
+@_query("lcp_increment", "path_id:b whole:b part:b", "(SELECT path_id, (lcp + 1) // 2 AS whole, (lcp + 1) % 2 AS part FROM lcp)")
+def _(spark, d):
+    whole, part = A.increment_lcp(F.floor(F.col("lcp") / 2), F.col("lcp") % 2, 2)
+    return event_index(spark, d).lcp.select("path_id", whole.cast("long").alias("whole"), part.alias("part"))
+
+
+def _shared(a: str, b: str) -> str:
+    return f"coalesce(list_max(list_filter(range(1, 5), lambda i: i <= length({a}) AND i <= length({b}) AND substr({a}, 1, CAST(i AS BIGINT)) = substr({b}, 1, CAST(i AS BIGINT)))), 0)"
+
+
+@_query("range_lcps", "path_id:b least:b most:b", f"(SELECT path_id, {_shared('key', 'z')} AS least, {_shared('x', 'y')} AS most FROM (SELECT path_id, key, lead(key, 1) OVER w AS x, lead(key, 2) OVER w AS y, lead(key, 3) OVER w AS z FROM nodes WINDOW w AS (ORDER BY path_id)) WHERE z IS NOT NULL)")
+def _(spark, d):
+    nodes = event_index(spark, d).nodes.select("path_id", "key")
+    met = nodes
+    for k, c in enumerate("xyz", 1):
+        met = met.join(nodes.select((F.col("path_id") - k).alias("path_id"), F.col("key").alias(c)), "path_id")
+    least, most = A.range_lcps("key", "x", "y", "z")
+    return met.select("path_id", least.alias("least"), most.alias("most"))
+
+
+@_query("unit_conversions", "event_id:b mb gb bits us", "(SELECT event_id, value / 1048576.0::DOUBLE AS mb, value / 1073741824.0::DOUBLE AS gb, 8.0::DOUBLE * value / (user_id + 1) AS bits, value * 1000000.0::DOUBLE AS us FROM events)")
+def _(spark, d):
+    value = F.col("value")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", G.in_megabytes(value).alias("mb"), G.in_gigabytes(value).alias("gb"), G.bits_per_character(value, F.col("user_id") + 1).alias("bits"), G.in_microseconds(value).alias("us"))
+
+
+@_query("version", "version major:b minor:b patch:b", "(SELECT 'pathloom version ' || a || '.' || b || '.' || c AS version, a AS major, b AS minor, c AS patch FROM (VALUES (1, 1, 0)) t(a, b, c))")
+def _(spark, d):
+    return report.about(spark)
+
+
+@_query("verbosity_levels", "event_id:b name", "(SELECT event_id, list_extract(['silent', 'basic', 'extended', 'full'], least(event_id % 7, 3) + 1) AS name FROM events)")
+def _(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", report.level_name(F.col("event_id") % 7).alias("name"))
+
+
+@_query("k_guard", "k:b forced:b n:b", f"(WITH {_FORCED} SELECT 0 AS k, 0 AS forced, 1 AS n UNION ALL SELECT 3, 0, (SELECT count(*) FROM distinct_kmers WHERE with_n = 0 AND k = 3) UNION ALL SELECT 6, 0, 0 UNION ALL SELECT 6, 1, (SELECT count(*) FROM g6))")
+def _(spark, d):
+    cases = [(0, False), (3, False), (6, False), (6, True)]
+    return spark.createDataFrame([(k, int(f), K.count_kmers(event_index(spark, d), k, force=f)) for k, f in cases], "k long, forced long, n long")
+
+
+@_query("compare_guard", "k:b shared:b left_only:b right_only:b", "(SELECT 0 AS k, 1 AS shared, 0 AS left_only, 0 AS right_only UNION ALL SELECT 3, (SELECT count(*) FROM distinct_kmers WHERE with_n = 0 AND k = 3), 0, 0 UNION ALL SELECT 9, 0, 0, 0 UNION ALL SELECT 65, 0, 0, 0)")
+def _(spark, d):
+    index, out = event_index(spark, d), None
+    for k, force in ((0, False), (3, False), (9, False), (65, True)):
+        one = K.compare_indexes(index, index, k, force=force).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query("batch_report", "patterns:b found:b nodes:b occurrences:b located:b depth", f"""(WITH p AS {_PARENT}, n AS (SELECT pattern, count(DISTINCT node) AS n FROM found JOIN node_values ON path_id BETWEEN sp AND ep GROUP BY pattern)
+SELECT (SELECT count(*) FROM found) AS patterns, (SELECT count(*) FROM found WHERE sp <= ep) AS found, (SELECT sum(ep - sp + 1) FROM found WHERE sp <= ep) AS nodes, (SELECT sum(n) FROM n) AS occurrences, (SELECT sum(n) FROM n) AS located, (SELECT avg(depth) FROM p) AS depth)""")
+def _(spark, d):
+    return S.batch_report(event_index(spark, d), patterns(spark, d))
+
+
+@_query("runs", "path_id:b run:b", "(SELECT path_id, sum(CASE WHEN n = p THEN 0 ELSE 1 END) OVER (ORDER BY path_id) AS run FROM (SELECT path_id, bit_count(preds) AS n, lag(bit_count(preds)) OVER (ORDER BY path_id) AS p FROM nodes))")
+def _(spark, d):
+    rows = event_index(spark, d).nodes.select(F.col("path_id").alias("id"), F.bit_count("preds").alias("n"))
+    return P.numbered_runs(rows, "n").select(F.col("id").alias("path_id"), "run")
+
+
+@_query("seeded_shuffle", "node:b place:b", f"(SELECT node, row_number() OVER (ORDER BY ((node % {G._PRIME}) * {G._FACTOR} + {7 * G._SEED_FACTOR % G._PRIME}) % {G._PRIME}, node) - 1 AS place FROM occ)")
+def _(spark, d):
+    return G.shuffled(rows(spark, d).select("node"), 7, "node", "place")
+
+
+@_query("sizes", "what n:b", "(WITH k AS (SELECT * FROM " + _KMERS.format(k=2) + ") SELECT 'kmers' AS what, count(*) AS n FROM k UNION ALL SELECT 'labels', count(DISTINCT label) FROM k UNION ALL SELECT 'starts', count(DISTINCT from_node) FROM k UNION ALL SELECT 'nodes', count(*) FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'values', count(*) FROM lcp)")
+def _(spark, d):
+    return K.sizes(event_index(spark, d), kmers(spark, d, 2)).where("what <> 'samples'")
+
+
+@_query("prune_ranges", "ranges:b shared:b", "(SELECT count(*) AS ranges, count(*) FILTER (n > 1) AS shared FROM (SELECT label, count(*) AS n FROM " + _PRUNE + " GROUP BY label))")
+def _(spark, d):
+    return P.ranges(P.prune(P.initial_paths(kmers(spark, d, 6)))[0])
+
+
+@_query("st_root", "sp:b ep:b left_lcp:b right_lcp:b depth:b", "(SELECT 0 AS sp, count(*) - 1 AS ep, min(lcp) AS left_lcp, 0 AS right_lcp, 0 AS depth FROM lcp)")
+def _(spark, d):
+    return T.root(event_index(spark, d))
+
+
+@_query("psv_batch", "path_id:b psv:b psev:b nsv:b nsev:b", f"(SELECT a.path_id, {_near('psv', 'max', '<', '<')}, {_near('psev', 'max', '<', '<=')}, {_near('nsv', 'min', '>', '<')}, {_near('nsev', 'min', '>', '<=')} FROM lcp a, size WHERE a.path_id IN (SELECT sp FROM found WHERE sp <= ep))")
+def _(spark, d):
+    at = hits(spark, d).select(F.col("sp").alias("path_id"))
+    return T.neighbours(event_index(spark, d), at).select("path_id", "psv", "psev", "nsv", "nsev")
+
+
+@_query("rmt_arithmetic", "pos:b parent:b first_child:b last_child:b first_sibling:b last_sibling:b is_first", "(SELECT path_id AS pos, path_id // 8 AS parent, path_id * 8 AS first_child, least((path_id + 1) * 8, size * 8 - 3) - 1 AS last_child, path_id - path_id % 8 AS first_sibling, least(path_id - path_id % 8 + 8, size) - 1 AS last_sibling, path_id % 8 = 0 AS is_first FROM lcp, size)")
+def _(spark, d):
+    index, pos = event_index(spark, d), F.col("path_id")
+    size = F.lit(index.size)
+    return index.lcp.select(
+        pos.alias("pos"), T.tree_parent(pos, 8).alias("parent"), T.tree_first_child(pos, 8).alias("first_child"), T.tree_last_child(pos, size * 8 - 3, 8).alias("last_child"), T.tree_first_sibling(pos, 8).alias("first_sibling"),
+        T.tree_last_sibling(pos, size, 8).alias("last_sibling"), T.tree_is_first(pos, 8).alias("is_first"),
+    )
+
+
+_SAMPLED = _SQL["samples"][_SQL["samples"].rindex("(WITH o AS") :]
+
+
+@_query("sample_ranges", "path_id:b first:b last:b", f"(SELECT path_id, min(place) AS first, max(place) AS last FROM (SELECT path_id, row_number() OVER (ORDER BY path_id, node) - 1 AS place FROM {_SAMPLED}) GROUP BY path_id)")
+def _(spark, d):
+    return S.sample_ranges(event_index(spark, d))
+
+
+@_query("sampled", "path_id:b is_sampled", f"(SELECT path_id, path_id IN (SELECT path_id FROM {_SAMPLED}) AS is_sampled FROM nodes)")
+def _(spark, d):
+    index = event_index(spark, d)
+    return S.sampled(index, index.nodes.select("path_id"))
+
+
+@_query("locate_by_samples", "pattern node:b", "(SELECT DISTINCT pattern, node FROM found JOIN node_values ON path_id BETWEEN sp AND ep)")
+def _(spark, d):
+    return S.locate_by_samples(event_index(spark, d), found(spark, d)).select(F.col("pid").alias("pattern"), "node")
+
+
+@_query("bit_vectors", "comp:b kind word:b bits:b", "(SELECT comp, CASE WHEN comp BETWEEN 1 AND 4 THEN 'plain' ELSE 'sparse' END AS kind, dst // 32 AS word, bit_or(CAST(1 AS BIGINT) << CAST(dst % 32 AS INT)) AS bits FROM edges GROUP BY comp, dst // 32)")
+def _(spark, d):
+    return S.bit_vectors(event_index(spark, d))
+
+
+_DBG = "k3 AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS rnk, preds FROM (SELECT label, bit_or(preds) AS preds FROM " + _KMERS.format(k=3) + " GROUP BY label))"
+
+
+def graph_of_kmers(spark: SparkSession, d: str) -> S.DeBruijnGraph:
+    return _once(spark, d, "dbg", lambda: S.de_bruijn_graph(kept(P.ranked_labels(kmers(spark, d, 3))), 3))
+
+
+@_query("dbg_edges", "src:b dst:b comp:b", f"(WITH {_DBG} SELECT u.rnk AS src, v.rnk AS dst, d AS comp FROM k3 v, digits, k3 u WHERE (v.preds >> CAST(d AS BIGINT)) & 1 = 1 AND u.label = CAST(d AS VARCHAR) || substr(v.label, 1, 2))")
+def _(spark, d):
+    return graph_of_kmers(spark, d).edges
+
+
+@_query("dbg_char_range", "comp:b sp:b ep:b", f"(WITH {_DBG} SELECT CAST(substr(label, 1, 1) AS INT) AS comp, min(rnk) AS sp, max(rnk) AS ep FROM k3 GROUP BY 1)")
+def _(spark, d):
+    return graph_of_kmers(spark, d).char_range()
+
+
+@_query("dbg_lf", "pattern comp:b sp:b ep:b", f"""(WITH {_DBG}, r AS (SELECT substr(label, 1, CAST(i AS BIGINT)) AS pattern, min(rnk) AS sp, max(rnk) AS ep FROM k3, range(1, 4) t(i) GROUP BY 1),
+e AS (SELECT u.rnk AS src, v.rnk AS dst, d AS comp FROM k3 v, digits, k3 u WHERE (v.preds >> CAST(d AS BIGINT)) & 1 = 1 AND u.label = CAST(d AS VARCHAR) || substr(v.label, 1, 2))
+SELECT r.pattern, d AS comp, coalesce(min(src), 1) AS sp, coalesce(max(src), 0) AS ep FROM r JOIN pats USING (pattern) CROSS JOIN range(1, 6) t(d) LEFT JOIN e ON dst BETWEEN r.sp AND r.ep AND comp = d GROUP BY r.pattern, d)""")
+def _(spark, d):
+    g = graph_of_kmers(spark, d)
+    at = g.find(patterns(spark, d)).where("sp <= ep").select("pid", "sp", "ep")
+    return g.lf(at, [1, 2, 3, 4, 5]).withColumnRenamed("pid", "pattern")
+
+
+_GUARDED = "k2 AS (SELECT DISTINCT e1.src AS f, n1.comp || n2.comp AS label, e2.dst AS t FROM g_e e1 JOIN g_e e2 ON e1.dst = e2.src JOIN g_n n1 ON n1.node = e1.src JOIN g_n n2 ON n2.node = e2.src)"
+
+
+@_query("size_guard", "paths:b label_bytes:b", f"(WITH {_PARTS}, {_GUARDED} SELECT count(*) AS paths, 4 * count(*) AS label_bytes FROM k2 a JOIN k2 b ON a.t = b.f)")
+def _(spark, d):
+    return spark.createDataFrame([P.extended_size(P.initial_paths(X.graph_kmers(parts(spark, d), 2)))], "paths long, label_bytes long")
+
+
+# ------------------------------------------------------------- the whole index of the branching graph, and one of order 16
+
+#: From labels with values to nodes, edges, ranges and LCP, for labels of four digits.
+_CHAIN = COMMON[COMMON.index("sets AS") : COMMON.index("distinct_kmers AS")].rstrip().rstrip(",")
+_GRAPH = _PARTS_PATHS + """,
+gp AS (SELECT dst AS node, bit_or(1 << CAST(comp AS INT)) AS preds FROM g_e JOIN g_n ON node = src GROUP BY dst),
+kp AS (SELECT label, p4.node, CAST(coalesce(preds, 64) AS BIGINT) AS preds FROM p4 LEFT JOIN gp ON p4.node = gp.node), """ + _CHAIN
+#: The same for labels of sixteen digits.
+_ORDER16 = "kp AS (SELECT substr(tail, 1, 16) AS label, node, preds FROM tails), " + _CHAIN.replace("range(1, 5)", "range(1, 17)").replace("range(1, 6)", "range(1, 18)")
+
+
+def graph_index(spark: SparkSession, d: str) -> I.PathIndex:
+    """The index of the branching graph of parts: two parts a k-mer, doubled once."""
+    return _once(spark, d, "graph index", lambda: I.build_index(X.graph_kmers(parts(spark, d), 2), steps=1, occurrences=True))
+
+
+def long_index(spark: SparkSession, d: str) -> I.PathIndex:
+    """The index of all users' event sequences of order 16: four events a k-mer, doubled twice."""
+    return _once(spark, d, "long index", lambda: I.build_index(kmers(spark, d, 4), steps=2, occurrences=True))
+
+
+def _whole(prefix: str, chain: str, index: Callable[[SparkSession, str], I.PathIndex], lengths: str) -> None:
+    """Queries of nodes, values, edges, LCP, find, count, locate and parent of an index."""
+    own = f"(WITH {chain}"
+
+    def batch(spark: SparkSession, d: str) -> DataFrame:
+        """The prefixes of some lengths of all labels, forwards and backwards."""
+
+        def make() -> DataFrame:
+            cut = F.explode(F.array(*[F.substr("label", F.lit(1), F.lit(int(n))) for n in lengths.split(",")]))
+            there = index(spark, d).occurrences.select(cut.alias("pattern")).where(~F.col("pattern").contains("0")).distinct()
+            return kept(there.union(there.select(F.reverse("pattern"))).distinct().select(F.col("pattern").alias("pid"), "pattern"))
+
+        return _once(spark, d, f"{prefix} batch", make)
+
+    def ranges(spark: SparkSession, d: str) -> DataFrame:
+        return _once(spark, d, f"{prefix} found", lambda: kept(S.find_by_labels(index(spark, d), batch(spark, d))))
+
+    pats = f"""qs AS (SELECT DISTINCT substr(label, 1, n) AS p FROM sets, unnest([{lengths}]::BIGINT[]) t(n)), qp AS (SELECT p AS pattern FROM qs WHERE NOT contains(p, '0') UNION SELECT reverse(p) FROM qs WHERE NOT contains(p, '0')),
+qf AS (SELECT pattern, coalesce(sp, 1) AS sp, coalesce(ep, 0) AS ep FROM qp LEFT JOIN lr USING (pattern))"""
+    parent = _PARENT.replace("FROM found", "FROM qf").replace("(WITH f AS", f"(WITH {chain}, {pats}, f AS")
+
+    _query(f"{prefix}_nodes", "path_id:b key preds:b", f"{own} SELECT * FROM nodes)")(lambda spark, d: index(spark, d).nodes)
+    _query(f"{prefix}_values", "path_id:b node:b", f"{own} SELECT * FROM node_values)")(lambda spark, d: index(spark, d).node_values)
+    _query(f"{prefix}_index_edges", "src:b dst:b comp:b", f"{own} SELECT * FROM edges)")(lambda spark, d: index(spark, d).edges)
+    _query(f"{prefix}_lcp", "path_id:b lcp:b", f"{own} SELECT * FROM lcp)")(lambda spark, d: index(spark, d).lcp)
+    _query(f"{prefix}_find", "pattern sp:b ep:b", f"{own}, {pats} SELECT * FROM qf)")(lambda spark, d: S.find(index(spark, d), batch(spark, d)).drop("pid"))
+    _query(f"{prefix}_find_labels", "pattern sp:b ep:b", f"{own}, {pats} SELECT * FROM qf)")(lambda spark, d: ranges(spark, d).drop("pid"))
+    _query(f"{prefix}_count", "pattern n:b", f"{own}, {pats} SELECT pattern, count(DISTINCT node) AS n FROM qf LEFT JOIN node_values ON path_id BETWEEN sp AND ep GROUP BY pattern)")(lambda spark, d: S.count(index(spark, d), ranges(spark, d)).withColumnRenamed("pid", "pattern"))
+    _query(f"{prefix}_locate", "pattern node:b", f"{own}, {pats} SELECT DISTINCT pattern, node FROM qf JOIN node_values ON path_id BETWEEN sp AND ep)")(lambda spark, d: S.locate(index(spark, d), ranges(spark, d)).withColumnRenamed("pid", "pattern"))
+    _query(f"{prefix}_parent", "pattern psp:b pep:b depth:b", parent)(lambda spark, d: T.parent(index(spark, d), ranges(spark, d).where("sp <= ep")).select(F.col("pid").alias("pattern"), F.col("sp").alias("psp"), F.col("ep").alias("pep"), "depth"))
+
+
+_whole("graph", _GRAPH, graph_index, "1,2,3,4")
+_whole("order16", _ORDER16, long_index, "2,5,8,12,16")

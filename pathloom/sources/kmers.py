@@ -6,15 +6,19 @@ A row is a path of k labels: file, label (digits), preds and succs (bit sets), f
 
 from __future__ import annotations
 
+import itertools
+import os
 import struct
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import nodeid as N
+from ..operators.ranking import kept
 
 SCHEMA = "file int, label string, preds int, succs int, from_node long, to_node long"
 #: Largest k of packed keys; suffixes that base names get, binary and text.
@@ -46,10 +50,16 @@ def mark_sinks(kmers: DataFrame) -> DataFrame:
 
 def checked(kmers: DataFrame, max_k: int = MAX_K) -> int:
     """The common length of all labels; raises if there is none, or it is no number from 1 to ``max_k``."""
-    least, most = kmers.agg(F.min(F.length("label")), F.max(F.length("label"))).first()
-    if least is None or least != most or not 1 <= most <= max_k:
-        raise ValueError(f"labels must have one length from 1 to {max_k}; found {least} to {most}")
-    return most
+    found = common_length(kmers, max_k).first()
+    if found["k"] is None:
+        raise ValueError(f"labels must have one length from 1 to {max_k}; found {found['least']} to {found['most']}")
+    return found["k"]
+
+
+def common_length(kmers: DataFrame, max_k: int = MAX_K) -> DataFrame:
+    """One row: least and most digits of a label, and k if they are one number from 1 to ``max_k``."""
+    sizes = kmers.agg(F.min(F.length("label")).alias("least"), F.max(F.length("label")).alias("most"))
+    return sizes.select("least", "most", F.when((F.col("least") == F.col("most")) & F.col("most").between(1, max_k), F.col("most")).alias("k"))
 
 
 def read_text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -61,33 +71,63 @@ def read_text(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return out
 
 
+def paths_of(names: Sequence[str], text: bool) -> list[str]:
+    """Paths of k-mer files by name, or by base name without its suffix."""
+    return [n if os.path.splitext(n)[1] else n + (TEXT if text else BINARY) for n in names]
+
+
+def _words(spark: SparkSession, path: str, words: int) -> DataFrame:
+    """pos, w0, w1, ... of a file of rows of 64-bit little-endian numbers. The file is split at any row, and read by Spark's own file systems."""
+
+    def numbered(rows: Iterator[tuple[bytes, int]]) -> Iterator[tuple]:
+        for raw, pos in rows:
+            yield (pos, *struct.unpack(f"<{words}q", raw))
+
+    rows = spark.sparkContext.binaryRecords(path, 8 * words).zipWithIndex().mapPartitions(numbered)
+    return spark.createDataFrame(rows, "pos long, " + ", ".join(f"w{k} long" for k in range(words)), verifySchema=False)
+
+
+def _sections(rows: DataFrame) -> tuple[list[int], int | None]:
+    """Places of the headers of a binary file's sections and their k; raises where the chain of sections breaks.
+
+    A header is as long as a record. Rows that look like one (flags 0, a possible k) come to the driver: one for each section, and records without sets and digits.
+    """
+    last = rows.agg(F.max("pos")).first()[0]
+    heads = {r["pos"]: (r["w1"], r["w2"]) for r in rows.where((F.col("w0") == 0) & F.col("w2").between(1, MAX_K)).collect()}
+    at, found, k = 0, [], None
+    while last is not None and at <= last:
+        count, size = heads.get(at, (-1, None))
+        if count < 0 or k not in (None, size) or at + count > last:
+            raise ValueError("no valid k-mer section")
+        found.append(at)
+        at, k = at + 1 + count, size
+    return found, k
+
+
 def read_binary(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """K-mers of binary files: sections of a header (flags 0, number of records, k) and records of key, from and to."""
+    """K-mers of binary files: sections of a header (flags 0, number of records, k) and records of key, from and to. ``file`` is a path's place in the list."""
+    out = spark.createDataFrame([], SCHEMA)
+    for file, path in enumerate(paths):
+        rows = _words(spark, path, 3)
+        heads, k = _sections(rows)
+        if k is None:
+            continue
+        at = spark.createDataFrame([(h,) for h in heads], "pos long")
+        records = rows.join(F.broadcast(at), "pos", "left_anti")
+        to = F.when(F.col("w2") != _NO_NODE, F.col("w2"))
+        out = out.unionByName(records.select(F.lit(file).cast("int").alias("file"), A.unpack("w0", k).alias("label"), A.key_preds("w0").alias("preds"), A.key_succs("w0").alias("succs"), F.col("w1").alias("from_node"), to.alias("to_node")))
+    return mark_sinks(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        for b in batches:
-            for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw, at, k = memoryview(data.as_buffer()), 0, None
-                while at < len(raw):
-                    flags, count, size = struct.unpack_from(_HEADER, raw, at)
-                    if flags or not 1 <= size <= MAX_K or k not in (None, size) or at + 24 + 24 * count > len(raw):
-                        raise ValueError("no valid k-mer section")
-                    k, at = size, at + 24
-                    rec = np.frombuffer(raw, "<u8", 3 * count, at).reshape(-1, 3)
-                    at += 24 * count
-                    for i in range(0, count, 65536):
-                        r = rec[i : i + 65536]
-                        yield pa.RecordBatch.from_arrays([pa.array([file] * len(r), pa.int32()), pa.array([size] * len(r), pa.int32()), *[pa.array(r[:, j].view("<i8")) for j in range(3)]], names=["file", "k", "key", "from_node", "to_node"])
-
-    files = [spark.read.format("binaryFile").load(p).select(F.lit(k).alias("file"), "content") for k, p in enumerate(paths)]
-    every = files[0]
-    for f in files[1:]:
-        every = every.unionByName(f)
-    raw = every.mapInArrow(run, "file int, k int, key long, from_node long, to_node long")
-    label = F.element_at(F.array(*[A.unpack("key", k) for k in range(1, MAX_K + 1)]), F.col("k"))
-    return mark_sinks(raw.select("file", label.alias("label"), A.key_preds("key").alias("preds"), A.key_succs("key").alias("succs"), "from_node", F.when(F.col("to_node") != _NO_NODE, F.col("to_node")).alias("to_node")))
+def _streamed(spark: SparkSession, path: str, chunks: Iterator[bytes]) -> None:
+    """Write bytes to a file of any of Spark's file systems, chunk by chunk through the driver."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for chunk in chunks:
+            out.write(bytearray(chunk))
+    finally:
+        out.close()
 
 
 def binary_records(kmers: DataFrame) -> DataFrame:
@@ -95,33 +135,33 @@ def binary_records(kmers: DataFrame) -> DataFrame:
     return kmers.select("file", A.pack("label", "preds", "succs").alias("key"), "from_node", F.coalesce("to_node", F.lit(_NO_NODE)).cast("long").alias("to_node"))
 
 
-def binary_sections(kmers: DataFrame, k: int) -> DataFrame:
-    """(file, part, content): a section for every batch of rows; a file's sections after each other are a binary file."""
+def _packed_rows(rows: DataFrame) -> Iterator[bytes]:
+    """Rows of longs as little-endian bytes, in the order of the rows' partitions, a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for b in batches:
-            file = b.column(0).to_numpy(zero_copy_only=False)
-            for one in np.unique(file):
-                rec = np.stack([b.column(j).to_numpy(zero_copy_only=False)[file == one] for j in (1, 2, 3)], 1).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([int(one)], pa.int32()), pa.array([struct.pack(_HEADER, 0, len(rec), k) + rec.tobytes()], pa.binary())], names=["file", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype("<i8").tobytes()], pa.binary())], names=["content"])
 
-    return binary_records(kmers).mapInArrow(run, "file int, content binary")
+    for row in rows.mapInArrow(run, "content binary").toLocalIterator(prefetchPartitions=True):
+        yield row.content
 
 
-def write_binary(kmers: DataFrame, path: str, k: int | None = None) -> None:
-    """Sections as Parquet rows below ``path``; ``export_binary`` joins them to one local file."""
-    binary_sections(kmers, k or checked(kmers)).write.parquet(path)
+def write_binary(kmers: DataFrame, path: str, k: int | None = None) -> str:
+    """One binary file of one section, whatever the ``file`` of the rows; streamed through the driver, which holds a batch at a time."""
+    rows = kept(binary_records(kmers).drop("file"))
+    header = struct.pack(_HEADER, 0, rows.count(), k or checked(kmers))
+    _streamed(kmers.sparkSession, path, itertools.chain([header], _packed_rows(rows)))
+    return path
 
 
 def export_binary(kmers: DataFrame, base: str) -> str:
-    """One local file ``base.graph``, streamed from the executors section by section."""
-    path = base + BINARY
-    with open(path, "wb") as f:
-        for row in binary_sections(kmers, checked(kmers)).toLocalIterator():
-            f.write(row.content)
-    return path
+    """The file ``base.graph``."""
+    return write_binary(kmers, base + BINARY)
+
+
+def convert(spark: SparkSession, names: Sequence[str]) -> list[str]:
+    """A binary file beside each text file."""
+    return [export_binary(read_text(spark, [p]), os.path.splitext(p)[0]) for p in paths_of(names, True)]
 
 
 def to_lines(kmers: DataFrame) -> DataFrame:
@@ -146,21 +186,33 @@ def useful_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.where(~F.col("pattern").rlike("^N*$"))
 
 
+def pattern_totals(patterns: DataFrame) -> DataFrame:
+    """One row: patterns and their characters."""
+    return patterns.agg(F.count("*").alias("patterns"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("characters"))
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """id, mapped of a binary mapping file: first id, next id, and a new id for each from the first to before the next."""
+    rows = _words(spark, path, 1)
+    head = {r["pos"]: r["w0"] for r in rows.where("pos < 2").collect()}
+    size = rows.count()
+    if len(head) < 2 or head[1] < head[0] or size < 2 + head[1] - head[0]:
+        raise ValueError("no valid mapping")
+    return rows.where(F.col("pos").between(2, 1 + head[1] - head[0])).select((F.col("pos") - 2 + head[0]).alias("id"), F.col("w0").alias("mapped"))
+
+
+def write_mapping(mapping: DataFrame, path: str) -> str:
+    """A binary mapping file of mapping(id, mapped); ids between the first and the last that it lacks map to themselves."""
+    first, last = mapping.agg(F.min("id"), F.max("id")).first()
+    first, end = (0, 0) if first is None else (first, last + 1)
+    spark = mapping.sparkSession
+    every = spark.range(first, end).join(mapping, "id", "left").select("id", F.coalesce("mapped", "id").alias("mapped"))
+    ordered = kept(every.repartitionByRange("id").sortWithinPartitions("id")).select("mapped")
+    _streamed(spark, path, itertools.chain([struct.pack("<qq", first, end)], _packed_rows(ordered)))
+    return path
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
 
-        for b in batches:
-            for data in b.column(0):
-                raw = memoryview(data.as_buffer())
-                first, end = struct.unpack_from("<QQ", raw, 0)
-                if end < first or len(raw) < 16 + 8 * (end - first):
-                    raise ValueError("no valid mapping")
-                for at in range(first, end, 65536):
-                    n = min(65536, end - at)
-                    to = np.frombuffer(raw, "<i8", n, 16 + 8 * (at - first))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), pa.array(to)], names=["id", "mapped"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, mapped long")
+def symmetric_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """side, kmer of the k-mers of one of two tables of distinct kmer alone."""
+    only = lambda side, a, b: a.join(b, "kmer", "left_anti").select(F.lit(side).alias("side"), A.decode("kmer").alias("kmer"))
+    return only("left", left, right).unionByName(only("right", right, left))

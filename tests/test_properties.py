@@ -164,7 +164,7 @@ def test_streaming_patterns(spark, tmp_path):
     index = I.build_index(X.graph_kmers(frames(spark, labels, edges), 2), steps=1, occurrences=True)
     spark.createDataFrame([(t, t) for t in ("1", "2", "12", "21", "555")], "pid string, pattern string").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pid string, pattern string").parquet(str(tmp_path / "in"))
-    q = find_stream(index, stream).writeStream.format("memory").queryName("found_patterns").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = find_stream(index, stream, [1, 2, 3]).writeStream.format("memory").queryName("found_patterns").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
     want = {r.pid: (r.sp, r.ep) for r in S.find(index, spark.read.parquet(str(tmp_path / "in"))).collect()}

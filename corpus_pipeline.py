@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents to packed sequences in five stages, each written as Parquet and read again."""
+"""The corpus pipeline: documents to packed sequences in five stages, each written as Parquet and read again.
+
+Of all stages: null texts count as empty; ids may be null or repeated; repeated rows are rows of their own; very long texts are read whole; an empty
+table gives an empty result of the same columns; extra columns, whatever their names, go through the first four stages as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,31 +12,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm import neardup, packing, pii, quality, toxicity
-from pathloom.llm.common import checkpoint_folder, table
+from pathloom.llm.common import checkpoint_folder, removed, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject. A score equal to the threshold is rejected; empty texts score alike, by the bias, and repeated rows too."""
     return toxicity.drop_toxic(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules and classifier."""
+    """Documents that pass the quality rules and classifier. Empty texts have too few words; a probability equal to the threshold passes; repeated rows pass or fail together."""
     return quality.keep_good(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the row of its smallest id (null only if all are), of several such the one of the smallest digest. Empty texts are one class."""
     return neardup.one_of_each(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced; n_chars is the new text's."""
+    """Documents with personal data replaced; n_chars is the new text's. A null text stays null; equal texts change alike; of overlapping spans the first, then the longer is marked."""
     return pii.sanitised(docs, chars_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens. Empty texts are one token; of windows that fit alike the first opened is taken; extra columns are left out."""
     return packing.pack(docs)
 
 
@@ -43,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; every stage's rows lie in the session's checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents. A stage's rows lie in the session's checkpoint folder until the next stage's are written; the last one's stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     top = os.path.join(checkpoint_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{top}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -6,7 +6,8 @@ one whose predecessor (the last token of the shorter prefix) could stand before
 stored. Back-pointers from the end give the exact ids. Time grows with the length of the piece times its matches, also for pieces
 without any break.
 
-Null and empty texts have no ids. Repeated rows are encoded each; extra columns are ignored.
+Null and empty texts have no ids. Repeated rows are encoded each, alike; very long texts are encoded whole; of tokens that match at a place exactly one fits, so there are no ties. An empty table
+gives an empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

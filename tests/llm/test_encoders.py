@@ -129,3 +129,12 @@ def test_merging_groups_are_bounded(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
     monkeypatch.setattr(packing, "MERGE", 700)
     check_pieces(packing.pack(df).collect(), {k: t or "" for k, t in docs.items()})
+
+
+def test_bpe_of_odd_rows(spark):
+    own = bpe.PrefixEncoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+    rows = [(1, "same", "x"), (1, "same", "x"), (None, None, None), (2, "", None), (3, "thou " * 60_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3)
+    got = bpe.encode(df)
+    assert got.columns == ["doc_id", "ids"] and sorted((r.doc_id or 0, len(r.ids)) for r in got.collect()) == sorted((i or 0, len(own.encode(t or ""))) for i, t, _ in rows)
+    assert bpe.encode(df.where("false")).count() == 0

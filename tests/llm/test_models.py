@@ -179,6 +179,21 @@ def test_quality_query(spark):
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
 
 
+def test_quality_of_odd_rows(spark):
+    good = "a plain sentence of many words that says one thing after another without saying any of them twice or more often than that"
+    rows = [(1, good, 1, "s"), (1, good, 1, "s"), (None, None, None, None), (2, "", 2, None), (3, " \n ", 3, "k"), (4, "same words here " * 20_000, 4, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept long, probability string").repartition(3)
+    model = HashedLinear(bits=10).fit([], [])
+    out = quality.judge(docs, model).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.n_words, r.base_failed, r.kept) for r in out} == {(1, 23, False, True), (None, 0, True, False), (2, 0, True, False), (3, 0, True, False), (4, 60_000, True, False)}
+    kept = quality.keep_good(docs, model)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [rows[0]] * 2
+    empty = docs.where("false")
+    assert quality.judge(empty, model).count() == 0 and quality.keep_good(empty, model).count() == 0
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality.train(docs, none).score("x") == 0.5
+
+
 def test_calibration_is_monotone():
     rows = list(corpus(400, 3))
     m = HashedLinear().fit([t for _, t, _ in rows], [y for *_, y in rows], calibrate=0.25)

@@ -36,8 +36,8 @@ from .common import release, reliable_checkpoint, shingles, slices
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the idf of what all documents hold, so that no weight is 0.
 COMMON, LEAST_IDF = 0.01, 0.01
-#: Texts of a block, by mean; keys that a leader's rows are dealt to in a join.
-BLOCK, SALT = 256, 8
+#: Texts of a block, by mean; blocks that a leader's comparisons are dealt to; keys that its rows are dealt to in a join.
+BLOCK, DEALT, SALT = 256, 256, 8
 #: Shingles that a task counts at once.
 CHUNK = 2_000_000
 
@@ -181,14 +181,9 @@ def _block(n: str):
     return F.pmod(F.xxhash64("b"), F.col(n)).cast("int")
 
 
-def _blocks(rows: DataFrame, n: str) -> DataFrame:
-    """a and the number of blocks of about BLOCK of its rows."""
-    return rows.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, heavy) -> DataFrame:
-    """pairs(a, b), of distinct rows, with the weighted Jaccard of their texts. A leader's text goes once to each block of its pairs."""
-    dealt = _by_leader(pairs, _blocks(pairs, "n")).select("a", _block("n").alias("i"), F.lit(1).alias("side"), "b")
+    """pairs(a, b), of distinct rows, with the weighted Jaccard of their texts. A leader's pairs are dealt to DEALT blocks, and its text goes once to each that has some."""
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(DEALT)).cast("int").alias("i"), F.lit(1).alias("side"), "b")
     heads = dealt.select("a", "i").distinct().select("a", "i", F.lit(0).alias("side"), F.col("a").alias("b"))
     rows = dealt.unionByName(heads).join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "i", "side", "b", "text")
 
@@ -241,7 +236,9 @@ def _rest(lone: DataFrame, members: DataFrame, texts: DataFrame, heavy, threshol
     lone and members: (a, b, c), a leader, a text and its class. Texts are dealt to blocks by digest; a task
     joins a block of queries with a block of texts, so that a hot leader is spread over many.
     """
-    counts = _blocks(lone, "nq").join(_blocks(members, "nt"), "a")
+    of = lambda df, side: df.select("a", F.lit(side).alias("side"))
+    share = lambda side: F.ceil(F.count_if(F.col("side") == side) / BLOCK).cast("int")
+    counts = reliable_checkpoint(of(lone, 0).unionByName(of(members, 1)).groupBy("a").agg(share(0).alias("nq"), share(1).alias("nt")))
     q = _by_leader(lone, counts).select("a", _block("nq").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nt") - 1)).alias("j"), F.lit(0).alias("side"), "b", "c")
     t = _by_leader(members, counts).select("a", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("i"), _block("nt").alias("j"), F.lit(1).alias("side"), "b", "c")
     rows = q.unionByName(t).join(texts.select(F.col("key").alias("b"), "text"), "b")
@@ -319,6 +316,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     leads = ranked.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("a"))
     members = reliable_checkpoint(ranked.join(leads, ["band", "h"]).where("a <> b").select("band", "h", "a", "b", "reach"))
     pairs = reliable_checkpoint(members.select("a", "b").distinct())
+    leaders = reliable_checkpoint(pairs.select("a").distinct())
 
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "least"), "fp").select(F.col("fp").alias("key"), "least")
     source = marked.join(involved, (marked.fp == involved.key) & marked.id.eqNullSafe(involved.least))
@@ -333,8 +331,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def apart(columns: list[str]) -> DataFrame:
         """The members that aren't in their leader's class."""
-        leaders = members.select("a").distinct().join(classes.select(F.col("key").alias("a"), F.col("label").alias("ca")), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
-        return classed(_by_leader(members.select(*columns).distinct(), leaders)).where("ca <> c").drop("ca")
+        own = leaders.join(classes.select(F.col("key").alias("a"), F.col("label").alias("ca")), "a", "left").withColumn("ca", F.coalesce("ca", "a"))
+        return classed(_by_leader((members if len(columns) > 2 else pairs).select(*columns), own)).where("ca <> c").drop("ca")
 
     lone = reliable_checkpoint(apart(["band", "h", "a", "b", "reach"]))
     second = lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l"))
@@ -345,11 +343,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         classes = components(links)
 
     left = reliable_checkpoint(apart(["a", "b"]))
-    everyone = classed(_by_leader(members.select("a", "b").distinct(), left.select("a").distinct()))
+    if left.isEmpty():
+        return _named(signed, nodes, classes, id_col)
+    everyone = classed(_by_leader(pairs, left.select("a").distinct()))
     last = reliable_checkpoint(_rest(left.select("a", "b", "c"), reliable_checkpoint(everyone).select("a", "b", "c"), kept, heavy, threshold))
     if not last.isEmpty():
         classes = components(links.unionByName(last))
 
+    return _named(signed, nodes, classes, id_col)
+
+
+def _named(signed: DataFrame, nodes: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``near_duplicate_classes`` from signed(id, fp), nodes(fp, least) and classes(key, label)."""
     named = nodes.select("fp", "least").join(classes, F.col("fp") == F.col("key"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     names = named.groupBy("label").agg(F.min("least").alias("class_id"))
     return signed.select("id", "fp").join(named.join(names, "label").select("fp", "class_id", "label"), "fp").select(F.col("id").alias(id_col), "class_id", "fp", "label")

@@ -226,3 +226,84 @@ def test_index_by_borders(spark, monkeypatch):
     got = P.merge(P.double(P.initial_paths(kmers), 2))
     for a, b in zip(want, got, strict=True):
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_binary_files_of_many_sections(spark, tmp_path):
+    import struct
+
+    rec = lambda k, n: (int("".join(format(int(c), "03b") for c in k), 2) << 16 | 2 << 8 | 4, n << 11, 0xFFFFFFFFFFFFFFFF if n % 3 == 0 else (n + 1) << 11)
+    keys = [("123", 1), ("321", 2), ("444", 3), ("121", 4), ("512", 5)]
+    section = lambda rows, flags=0, k=3: struct.pack("<3Q", flags, len(rows), k) + b"".join(struct.pack("<3Q", *rec(*r)) for r in rows)
+    (tmp_path / "a.graph").write_bytes(section(keys[:2]) + section([]) + section(keys[2:]))
+    got = sorted((r.file, r.label, r.from_node, r.to_node) for r in R.read_binary(spark, R.paths_of([str(tmp_path / "a")], False)).collect())
+    assert got == sorted((0, k, n << 11, None if n % 3 == 0 else (n + 1) << 11) for k, n in keys)
+    for bad in (section(keys[:2], flags=1), section(keys[:2]) + section(keys[2:], k=4), section(keys)[:-24], section(keys[:1]) + struct.pack("<3Q", 7, 0, 3)):
+        (tmp_path / "b.graph").write_bytes(bad)
+        with pytest.raises(ValueError):
+            R.read_binary(spark, [str(tmp_path / "b.graph")])
+
+
+def test_mapping_files_keep_gaps(spark, tmp_path):
+    path = R.write_mapping(spark.createDataFrame([(7, 70), (5, 50)], "id long, mapped long"), str(tmp_path / "m"))
+    assert sorted(map(tuple, R.read_mapping(spark, path).collect())) == [(5, 50), (6, 6), (7, 70)]
+    assert R.read_mapping(spark, R.write_mapping(spark.createDataFrame([], "id long, mapped long"), str(tmp_path / "n"))).count() == 0
+
+
+def test_offsets_that_have_no_bits_are_refused(spark):
+    from pathloom.functions import nodeid as N
+
+    ok = spark.createDataFrame([(3, 1023), (3, None)], "id long, off long").select(N.encode("id", "off").alias("n")).collect()
+    assert [r.n for r in ok] == [3 << 11 | 1023, None]
+    for off in (1024, -1):
+        with pytest.raises(Exception, match="offset"):
+            spark.createDataFrame([(3, off)], "id long, off long").select(N.encode("id", "off")).collect()
+
+
+def test_limits_are_checked_before_a_generation_is_written(spark, monkeypatch):
+    labels, edges = graph(2)
+    paths = P.initial_paths(X.graph_kmers(frames(spark, labels, edges), 2))
+    rows, size = P.extended_size(paths)
+    made = P.extend(paths)
+    assert rows == made.count() and size == made.agg(F.sum(F.length("label"))).first()[0]
+    monkeypatch.setattr(P, "extend", lambda p: 1 / 0)  # never reached
+    for limit in ({"max_rows": rows - 1}, {"max_bytes": size - 1}):
+        with pytest.raises(MemoryError):
+            P.double(paths, 1, pruned=False, **limit)
+
+
+def test_steps_back_over_many_blocks(spark, monkeypatch):
+    for module in (I, S):
+        monkeypatch.setattr(module, "EDGE_BLOCK", 2)
+    monkeypatch.setattr(I, "GROUP", 3)
+    labels, edges = graph(5, 20)
+    index = I.build_index(X.graph_kmers(frames(spark, labels, edges), 2), steps=1, occurrences=True)
+    ed = [(r.src, r.dst, r.comp) for r in index.edges.collect()]
+    n = index.size
+    ranges = [(f"{a}-{b}", a, b) for a in range(0, n, 3) for b in range(a, n, 5)]
+    got = {(r.pid, r.comp): (r.sp, r.ep) for r in S.lf_all(index, spark.createDataFrame(ranges, "pid string, sp long, ep long")).collect()}
+    for name, a, b in ranges:
+        for c in range(1, 6):
+            src = [s for s, t, d in ed if a <= t <= b and d == c]
+            assert got[name, c] == ((min(src), max(src)) if src else (1, 0)), (name, c)
+
+
+def test_ranks_among_keys(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("0123456") for _ in range(rng.randint(1, 5)))
+    keys, probes = sorted({word() for _ in range(200)}), [word() for _ in range(300)]
+    got = I.ranked_among(spark.createDataFrame([(k,) for k in keys], "key string").repartition(5), "key", spark.createDataFrame([(k, p) for k, p in enumerate(probes)], "n long, p string").repartition(5), "p", "rank").collect()
+    assert {(r.n, r.rank) for r in got} == {(k, sum(x <= p for x in keys)) for k, p in enumerate(probes)}
+
+
+def test_index_of_an_older_version_is_loaded(spark, tmp_path):
+    import shutil
+
+    labels, edges = graph(1)
+    index = I.build_index(X.graph_kmers(frames(spark, labels, edges), 2), steps=1)
+    index.save(str(tmp_path / "i"))
+    shutil.rmtree(tmp_path / "i" / "edge_blocks")
+    meta = spark.createDataFrame(index.meta.collect(), index.meta.schema).withColumn("version", F.lit(1))
+    meta.write.mode("overwrite").parquet(str(tmp_path / "i" / "meta"))
+    old = I.PathIndex.load(spark, str(tmp_path / "i"))
+    assert sorted(map(str, old.edge_blocks.collect())) == sorted(map(str, index.edge_blocks.collect()))
+    assert I.describe(spark, str(tmp_path / "i")).first().state == "readable"

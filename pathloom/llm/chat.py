@@ -126,7 +126,7 @@ def format_turns(rows: DataFrame, content_col: str = "content", role_col: str =
         try:
             text, found = format_turn(role, parts_of(content))
             return text, json.dumps(found), sum(a["tokens"] for a in found), None
-        except (ValueError, TypeError, OverflowError, RecursionError) as x:  # what a part's values can be wrong in
+        except (ValueError, TypeError, AttributeError, OverflowError, RecursionError) as x:  # what a part's values can be wrong in
             return None, None, None, str(x) or type(x).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -309,11 +309,12 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nodes = signed.groupBy("fp").agg(F.min("id").alias("least"), F.min("bands").alias("bands"))
 
     slots = nodes.select(F.posexplode("bands").alias("band", "h"), F.col("fp").alias("b"))
-    full = slots.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1")
+    # what is known of each bucket is kept before it is joined: Spark then sees two shuffles, and splits those of a hot bucket
+    full = reliable_checkpoint(slots.groupBy("band", "h").agg(F.count("*").alias("m")).where("m > 1"))
     big = reliable_checkpoint(slots.join(full, ["band", "h"]))
     reach = big.groupBy("b").agg(F.sum("m").alias("reach"))
     ranked = reliable_checkpoint(big.join(reach, "b").select("band", "h", "b", "reach"))
-    leads = ranked.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("a"))
+    leads = reliable_checkpoint(ranked.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("a")))
     members = reliable_checkpoint(ranked.join(leads, ["band", "h"]).where("a <> b").select("band", "h", "a", "b", "reach"))
     pairs = reliable_checkpoint(members.select("a", "b").distinct())
     leaders = reliable_checkpoint(pairs.select("a").distinct())
@@ -335,7 +336,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return classed(_by_leader((members if len(columns) > 2 else pairs).select(*columns), own)).where("ca <> c").drop("ca")
 
     lone = reliable_checkpoint(apart(["band", "h", "a", "b", "reach"]))
-    second = lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l"))
+    second = reliable_checkpoint(lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l")))
     again = lone.join(second, ["band", "h"]).where("b <> l").select(F.col("l").alias("a"), "b").distinct()
     more = reliable_checkpoint(_verified(again, kept, heavy)).where(F.col("sim") >= threshold).select("a", "b")
     if not more.isEmpty():

@@ -51,6 +51,15 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def settled(spark: SparkSession) -> None:
+    """Let the driver drop what it holds of finished phases: plans, and references to shuffles and checkpoints, whose files go with them.
+
+    A long chain of jobs in one call leaves more of that than a small driver has room for, before its JVM collects garbage by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a table that ``written`` made and nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, reliable_checkpoint, shingles, slices
+from .common import release, reliable_checkpoint, settled, shingles, slices
 
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the idf of what all documents hold, so that no weight is 0.
@@ -306,6 +306,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     kind = dict(texts.dtypes)["id"]
     marked = texts.select("id", F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("fp"), "text")
     signed = reliable_checkpoint(marked.mapInArrow(run, f"id {kind}, fp binary, bands array<long>"))
+    settled(spark)
     nodes = signed.groupBy("fp").agg(F.min("id").alias("least"), F.min("bands").alias("bands"))
 
     slots = nodes.select(F.posexplode("bands").alias("band", "h"), F.col("fp").alias("b"))
@@ -318,13 +319,16 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     members = reliable_checkpoint(ranked.join(leads, ["band", "h"]).where("a <> b").select("band", "h", "a", "b", "reach"))
     pairs = reliable_checkpoint(members.select("a", "b").distinct())
     leaders = reliable_checkpoint(pairs.select("a").distinct())
+    settled(spark)
 
     involved = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes.select("fp", "least"), "fp").select(F.col("fp").alias("key"), "least")
     source = marked.join(involved, (marked.fp == involved.key) & marked.id.eqNullSafe(involved.least))
     kept = reliable_checkpoint(source.select("key", "text").dropDuplicates(["key"]))
     first = reliable_checkpoint(_verified(pairs, kept, heavy))
     links = first.where(F.col("sim") >= threshold).select("a", "b")
+    settled(spark)
     classes = components(links)
+    settled(spark)
 
     def classed(rows: DataFrame) -> DataFrame:
         """rows(a, b, ...) with the class c of b."""
@@ -339,15 +343,18 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     second = reliable_checkpoint(lone.groupBy("band", "h").agg(F.max(F.struct("reach", "b")).alias("x")).select("band", "h", F.col("x.b").alias("l")))
     again = lone.join(second, ["band", "h"]).where("b <> l").select(F.col("l").alias("a"), "b").distinct()
     more = reliable_checkpoint(_verified(again, kept, heavy)).where(F.col("sim") >= threshold).select("a", "b")
+    settled(spark)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
 
     left = reliable_checkpoint(apart(["a", "b"]))
+    settled(spark)
     if left.isEmpty():
         return _named(signed, nodes, classes, id_col)
     everyone = classed(_by_leader(pairs, left.select("a").distinct()))
     last = reliable_checkpoint(_rest(left.select("a", "b", "c"), reliable_checkpoint(everyone).select("a", "b", "c"), kept, heavy, threshold))
+    settled(spark)
     if not last.isEmpty():
         classes = components(links.unionByName(last))
 

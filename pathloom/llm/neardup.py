@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, reliable_checkpoint, settled, shingles, slices
+from .common import release, reliable_checkpoint, removed, settled, shingles, slices, written
 
 THRESHOLD, SIZE, BANDS, ROWS = 0.8, 5, 12, 4
 #: Share of the documents from which on a shingle's idf is under 1; the idf of what all documents hold, so that no weight is 0.
@@ -274,17 +274,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(key, label) of every end of an edge: the smallest key of its connected component.
 
     Smallest labels pass along edges, then each label takes its own label's label, so that long
-    chains halve. Every round is kept in the checkpoint folder.
+    chains halve. Every round is written as a table in the shared folder, and the one before it removed: a checkpoint would hand what the
+    planner knows of its columns on to the next round, and that doubles with every round.
     """
-    both = reliable_checkpoint(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = reliable_checkpoint(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
+    spark = edges.sparkSession
+    both, at = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    labels, old = written(both.groupBy(F.col("x").alias("key")).agg(F.least(F.min("y"), F.first("x")).alias("label")))
     while True:  # labels only fall, and every round lowers one, until they are settled
         near = both.join(labels, both.y == labels.key).groupBy("x").agg(F.min("label").alias("near"))
         took = labels.join(near, labels.key == near.x, "left").select("key", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("key").alias("of"), F.col("label").alias("up"))
-        new = reliable_checkpoint(took.join(up, took.label == up.of, "left").select("key", "old", F.least("label", "up").alias("label")))
-        labels = new.select("key", "label")
+        new, path = written(took.join(up, took.label == up.of, "left").select("key", "old", F.least("label", "up").alias("label")))
+        removed(spark, old)
+        labels, old = new.select("key", "label"), path
         if new.where("old <> label").isEmpty():
+            removed(spark, at)
             return labels
 
 

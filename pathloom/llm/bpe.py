@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_text, table, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Texts between breaks, and pieces of them, that a worker remembers.
-CACHE = 600_000
+#: Texts between breaks that a worker remembers, in two generations; of other pieces a quarter as many.
+CACHE = 1_000_000
 
 #: Splits text before merging (fixed value of byte-level vocabularies); \s is Unicode white space.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -68,8 +68,11 @@ class PrefixEncoder:
             if i not in taken and (i not in self.parts or self._stands(*self.parts[i], self.rank[i])):
                 self.auto.add_word(b.decode("latin-1"), (len(b), i))
         self.auto.make_automaton()
+        self.name = {i: str(i) for i in self.token}
+        # by what follows the space of a break: those seen since the older ones were set aside, and the older ones
         self.known: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
+        self.pieces: dict[str, tuple[str, bytes]] = {}
 
     def _stands(self, left: int, right: int, under: float) -> bool:
         """No merge of a rank below ``under`` joins the two tokens across their border, at any stage of their making.
@@ -103,47 +106,77 @@ class PrefixEncoder:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece between breaks."""
         raw = piece.encode().decode("latin-1")
-        n = len(raw)
-        last, size = [0] * (n + 1), [0] * (n + 1)
-        fits, fit = self.fits, self.fit
+        last, size = [0] * len(raw), [0] * len(raw)
+        fits, fit, done = self.fits, self.fit, -1
         for end, (length, token) in self.auto.iter(raw):
-            at = end + 1
-            if size[at]:
+            if end == done:
                 continue
-            start = at - length
-            if start:
+            start = end - length
+            if start >= 0:
                 before = last[start]
                 ok = fits.get(before << 32 | token)
                 if not (fit(before, token) if ok is None else ok):
                     continue
-            last[at], size[at] = token, length
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
+            last[end], size[end], done = token, length, end
+        out, at = [], len(raw) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= size[at]
         out.reverse()
         return out
 
-    def _chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for k, part in enumerate(self.split.split(chunk) if self.split else [chunk]):
-            if k % 2:
-                out.append(self.special[part])
+    def _made(self, piece: str) -> tuple[str, bytes]:
+        """Ids in text form and bytes of a piece that isn't remembered."""
+        ids = self.encode_piece(piece)
+        name = self.name
+        return ",".join([name[i] for i in ids]), self.decode_bytes(ids)
+
+    def _word(self, rest: str, plain: bool) -> tuple[str, bytes]:
+        """The entry of a space and ``rest``, which begins no other break. plain: no special token is in it."""
+        got = self.known.get(rest) or self.older.get(rest)
+        if got is None:
+            pieces = PATTERN.findall(" " + rest) if plain else ()
+            got = self._made(pieces[0]) if len(pieces) == 1 else self._joined(pieces) if plain else self._entry(" " + rest)
+        self._remember(rest, got)
+        return got
+
+    def _remember(self, rest: str, got: tuple[str, bytes]) -> None:
+        if len(rest) < 64:
+            if len(self.known) >= CACHE // 2:
+                self.known, self.older = {}, self.known
+            self.known[rest] = got
+
+    def _joined(self, pieces: list[str]) -> tuple[str, bytes]:
+        """The entry of pieces after each other."""
+        out = []
+        for piece in pieces:
+            if len(piece) > 1 and piece[0] == " " and not piece[1].isspace():
+                rest = piece[1:]
+                got = self.known.get(rest) or self.older.get(rest)
+                if got is None:
+                    got = self._made(piece)
+                    self._remember(rest, got)
+                out.append(got)
                 continue
-            for piece in PATTERN.findall(part):
-                ids = self.pieces.get(piece)
-                if ids is None:
-                    ids = self.encode_piece(piece)
-                    if len(piece) < 64:
-                        if len(self.pieces) >= CACHE:
-                            self.pieces.clear()
-                        self.pieces[piece] = ids
-                out += ids
-        return out
+            got = self.pieces.get(piece)
+            if got is None:
+                got = self._made(piece)
+                if len(piece) < 64:
+                    if len(self.pieces) >= CACHE // 4:
+                        self.pieces.clear()
+                    self.pieces[piece] = got
+            out.append(got)
+        return ",".join([e[0] for e in out]), b"".join([e[1] for e in out])
 
     def _entry(self, chunk: str) -> tuple[str, bytes]:
-        ids = self._chunk(chunk)
-        return ",".join(map(str, ids)), self.decode_bytes(ids)
+        out = []
+        for k, part in enumerate(self.split.split(chunk) if self.split else [chunk]):
+            if k % 2:
+                i = self.special[part]
+                out.append((self.name[i], self.token[i]))
+            elif part:
+                out.append(self._joined(PATTERN.findall(part)))
+        return ",".join([e[0] for e in out]), b"".join([e[1] for e in out])
 
     def _entries(self, text: str) -> list[tuple[str, bytes]]:
         """Ids in text form and bytes of each chunk between breaks. Chunks behind a break are remembered by what follows its space."""
@@ -151,19 +184,11 @@ class PrefixEncoder:
             return []
         plain = "  " not in text and " \n" not in text and text[-1] != " " and not ODD.search(text)
         first, *rest = text.split(" ") if plain else BREAK.split(text)
-        known = self.known
-        out = list(map(known.get, rest))
+        out = list(map(self.known.get, rest))
         if None in out:
+            unmarked = not any(s in text for s in self.special)
             for k in [k for k, got in enumerate(out) if got is None]:
-                c = rest[k]
-                got = known.get(c)
-                if got is None:
-                    got = self._entry(" " + c)
-                    if len(c) < 64:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[c] = got
-                out[k] = got
+                out[k] = self._word(rest[k], unmarked)
         return [self._entry(first), *out] if first else out
 
     def encode(self, text: str) -> list[int]:

@@ -138,3 +138,22 @@ def test_bpe_of_odd_rows(spark):
     got = bpe.encode(df)
     assert got.columns == ["doc_id", "ids"] and sorted((r.doc_id or 0, len(r.ids)) for r in got.collect()) == sorted((i or 0, len(own.encode(t or ""))) for i, t, _ in rows)
     assert bpe.encode(df.where("false")).count() == 0
+
+
+def test_frequent_words_stay_remembered(monkeypatch):
+    """When the worker's memory of words is full, those in use stay; before, all were forgotten and encoded again."""
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    path = bpe.tokenizer_path("byte_bpe_50k.json")
+    own, lib, encoded = bpe.PrefixEncoder(path), Tokenizer.from_file(path), []
+    plain = own.encode_piece
+    monkeypatch.setattr(own, "encode_piece", lambda piece: encoded.append(piece) or plain(piece))
+    rare = iter(f"w{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz")
+    for _ in range(100):
+        t = f"on thereisno {next(rare)} {next(rare)}, thereisno {next(rare)}.\nThereis\n\nx thereisno, y"
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    assert encoded.count(" thereisno") == 1 and len(encoded) > 300
+    assert len(own.known) + len(own.older) <= 40 and len(own.pieces) <= 10
+    for t in texts(5, 2000):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert own.encode(t) == ids, t
+        assert own.digest(t)[2] == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest(), t

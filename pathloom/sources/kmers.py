@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import nodeid as N
-from ..operators.ranking import kept
+from ..operators.ranking import kept, kept_in_order
 
 SCHEMA = "file int, label string, preds int, succs int, from_node long, to_node long"
 #: Largest k of packed keys; suffixes that base names get, binary and text.
@@ -207,7 +207,7 @@ def write_mapping(mapping: DataFrame, path: str) -> str:
     first, end = (0, 0) if first is None else (first, last + 1)
     spark = mapping.sparkSession
     every = spark.range(first, end).join(mapping, "id", "left").select("id", F.coalesce("mapped", "id").alias("mapped"))
-    ordered = kept(every.repartitionByRange("id").sortWithinPartitions("id")).select("mapped")
+    ordered = kept_in_order(every.repartitionByRange("id").sortWithinPartitions("id")).select("mapped")
     _streamed(spark, path, itertools.chain([struct.pack("<qq", first, end)], _packed_rows(ordered)))
     return path
 

@@ -1,6 +1,10 @@
 """Steps that grow with the input: what is made, joined and sent, and that the cheap ways give what the plain ones give."""
 
+import itertools
+import os
 import random
+import re
+import struct
 
 import pytest
 from pathloom.operators import index as I
@@ -8,6 +12,7 @@ from pathloom.operators import ordered as O
 from pathloom.operators import paths as P
 from pathloom.operators import search as S
 from pathloom.sources import fixtures as X
+from pathloom.sources import kmers as R
 from pyspark.sql import functions as F
 
 
@@ -68,3 +73,18 @@ def test_a_build_makes_no_table_before_it_is_asked_for(spark, monkeypatch):
     assert index.size == index.nodes.count() and index.order == 8 and index.node_values.count()
     patterns = spark.createDataFrame([("12", "12"), ("1", "1")], "pid string, pattern string")
     assert S.locate(index, S.find_by_labels(index, patterns)).count() >= 0
+
+
+def test_find_without_the_kernel(spark, monkeypatch):
+    """An index too large for the kernel collects no edges, and takes no step for each digit of patterns that its labels hold."""
+    index = I.build_index(kmers(spark), steps=2, occurrences=True)
+    labels = index.occurrences.select("label").distinct()
+    short = labels.select(F.substr("label", F.lit(1), F.lit(5)).alias("pattern")).union(labels.select(F.reverse("label"))).distinct().select(F.col("pattern").alias("pid"), "pattern")
+    long = short.select(F.concat("pid", F.lit("1111")).alias("pid"), F.concat("pattern", F.lit("1111")).alias("pattern"))
+    want = rows(S.find(index, short.union(long)))
+    monkeypatch.setattr(S, "KERNEL_BYTES", 0)
+    assert rows(S.find(index, short.union(long))) == want
+    monkeypatch.setattr(S, "find_by_edges", lambda *a: 1 / 0)
+    assert [r for r in rows(S.find(index, short))] == [r for r in want if len(r[1]) <= 8]
+    monkeypatch.setattr(S, "LENGTHS", 0)
+    assert [r for r in rows(S.find(index, short))] == [r for r in want if len(r[1]) <= 8]

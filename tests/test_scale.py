@@ -88,3 +88,11 @@ def test_find_without_the_kernel(spark, monkeypatch):
     assert [r for r in rows(S.find(index, short))] == [r for r in want if len(r[1]) <= 8]
     monkeypatch.setattr(S, "LENGTHS", 0)
     assert [r for r in rows(S.find(index, short))] == [r for r in want if len(r[1]) <= 8]
+
+
+def test_empty_ranges_do_not_meet_in_one_task(spark):
+    index = I.build_index(kmers(spark), steps=1, occurrences=True)
+    ranges = spark.createDataFrame([(k, 1, 0 if k < 199 else 1) for k in range(200)], "pid int, sp long, ep long")
+    got = S.count(index, ranges)
+    assert re.search(r"Filter.*sp#\d+L <= ep#\d+L", got._jdf.queryExecution().optimizedPlan().toString())  # before the joins
+    assert rows(got) == rows(S.count_distinct(index, ranges)) and got.where("n > 0").count() == 1

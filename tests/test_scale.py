@@ -75,6 +75,18 @@ def test_a_build_makes_no_table_before_it_is_asked_for(spark, monkeypatch):
     assert S.locate(index, S.find_by_labels(index, patterns)).count() >= 0
 
 
+def test_ranges_meet_rows_by_id(spark):
+    """A range of few ids of many rows each isn't joined as one bucket in one task."""
+    ranges = spark.createDataFrame([("a", 0, 5), ("b", 3, 3), ("c", 1, 0), ("d", 1000, 2100)], "pid string, sp long, ep long")
+    values = spark.range(4000).select(F.col("id").alias("path_id"), (F.col("id") * 2).alias("node"))
+    met = S.by_bucket(ranges, values, "path_id")
+    assert "__b" not in str(met._jdf.queryExecution().analyzed().toString()).split("Join")[1].split("\n")[0]
+    got = {}
+    for r in met.collect():
+        got.setdefault(r.pid, []).append(r.node)
+    assert {k: sorted(v) for k, v in got.items()} == {"a": [0, 2, 4, 6, 8, 10], "b": [6], "d": [2 * x for x in range(1000, 2101)]}
+
+
 def test_find_without_the_kernel(spark, monkeypatch):
     """An index too large for the kernel collects no edges, and takes no step for each digit of patterns that its labels hold."""
     index = I.build_index(kmers(spark), steps=2, occurrences=True)

@@ -6,9 +6,10 @@ A row is a path of k labels: file, label (digits), preds and succs (bit sets), f
 
 from __future__ import annotations
 
-import itertools
 import os
+import re
 import struct
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import alphabet as A
 from ..functions import nodeid as N
-from ..operators.ranking import kept, kept_in_order
+from ..operators.ranking import kept, kept_in_order, shared_folder
 
 SCHEMA = "file int, label string, preds int, succs int, from_node long, to_node long"
 #: Largest k of packed keys; suffixes that base names get, binary and text.
@@ -26,6 +27,8 @@ MAX_K, BINARY, TEXT = 16, ".graph", ".kmers"
 #: A section's header: flags, records, k.
 _HEADER = "<QQQ"
 _NO_NODE = -1  # all bits set
+#: Bytes of a part of a binary file that a task writes at once.
+CHUNK = 4 << 20
 
 
 def from_lines(lines: DataFrame, value: str = "value", file: Column | int = 0) -> DataFrame:
@@ -119,15 +122,44 @@ def read_binary(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return mark_sinks(out)
 
 
-def _streamed(spark: SparkSession, path: str, chunks: Iterator[bytes]) -> None:
-    """Write bytes to a file of any of Spark's file systems, chunk by chunk through the driver."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+def _joined(rows: DataFrame, path: str, header: bytes) -> None:
+    """A file of any of Spark's file systems: ``header``, then the rows of longs as little-endian bytes, in the order of the rows' partitions.
+
+    Tasks write parts of CHUNK bytes, about, as one line each to the shared folder; the driver's file system client strings them together,
+    since not all file systems can. No bytes come to the driver as results.
+    """
+    spark, parts = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/parts-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([b"".join(own)], pa.binary())], names=["content"])
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK // 64):
+                own.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.slice(at, CHUNK // 64).columns], 1).astype("<i8").tobytes())
+                size += len(own[-1])
+                if size >= CHUNK:
+                    yield row()
+                    own, size = [], 0
+        if own:
+            yield row()
+
+    rows.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    found = [(re.match(r"part-(\d+)-.*-c(\d+)\.txt$", f.getPath().getName()), f) for f in fs.listStatus(folder)]
+    out = to.getFileSystem(conf).create(to, True)
     try:
-        for chunk in chunks:
-            out.write(bytearray(chunk))
+        out.write(bytearray(header))
+        for _, f in sorted((((int(m[1]), int(m[2])), f) for m, f in found if m and f.getLen() > 1), key=lambda x: x[0]):
+            part = fs.open(f.getPath())
+            try:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, f.getLen() - 1)  # without the line's end
+            finally:
+                part.close()
     finally:
         out.close()
+    fs.delete(folder, True)
 
 
 def binary_records(kmers: DataFrame) -> DataFrame:
@@ -135,22 +167,11 @@ def binary_records(kmers: DataFrame) -> DataFrame:
     return kmers.select("file", A.pack("label", "preds", "succs").alias("key"), "from_node", F.coalesce("to_node", F.lit(_NO_NODE)).cast("long").alias("to_node"))
 
 
-def _packed_rows(rows: DataFrame) -> Iterator[bytes]:
-    """Rows of longs as little-endian bytes, in the order of the rows' partitions, a batch at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1).astype("<i8").tobytes()], pa.binary())], names=["content"])
-
-    for row in rows.mapInArrow(run, "content binary").toLocalIterator(prefetchPartitions=True):
-        yield row.content
-
-
 def write_binary(kmers: DataFrame, path: str, k: int | None = None) -> str:
-    """One binary file of one section, whatever the ``file`` of the rows; streamed through the driver, which holds a batch at a time."""
+    """One binary file of one section, whatever the ``file`` of the rows; written in parts by the tasks, which the driver strings together."""
     rows = kept(binary_records(kmers).drop("file"))
     header = struct.pack(_HEADER, 0, rows.count(), k or checked(kmers))
-    _streamed(kmers.sparkSession, path, itertools.chain([header], _packed_rows(rows)))
+    _joined(rows, path, header)
     return path
 
 
@@ -208,7 +229,7 @@ def write_mapping(mapping: DataFrame, path: str) -> str:
     spark = mapping.sparkSession
     every = spark.range(first, end).join(mapping, "id", "left").select("id", F.coalesce("mapped", "id").alias("mapped"))
     ordered = kept_in_order(every.repartitionByRange("id").sortWithinPartitions("id")).select("mapped")
-    _streamed(spark, path, itertools.chain([struct.pack("<qq", first, end)], _packed_rows(ordered)))
+    _joined(ordered, path, struct.pack("<qq", first, end))
     return path
 
 

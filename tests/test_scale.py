@@ -108,3 +108,18 @@ def test_empty_ranges_do_not_meet_in_one_task(spark):
     got = S.count(index, ranges)
     assert re.search(r"Filter.*sp#\d+L <= ep#\d+L", got._jdf.queryExecution().optimizedPlan().toString())  # before the joins
     assert rows(got) == rows(S.count_distinct(index, ranges)) and got.where("n > 0").count() == 1
+
+
+def test_binary_files_are_written_by_tasks(spark, monkeypatch, tmp_path):
+    """The records come to the driver as no results, bytes that are no text and the order of many parts stay."""
+    monkeypatch.setattr(R, "CHUNK", 640)
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **b: 1 / 0)
+    labels = ["".join(p) for p in itertools.product("0123456", repeat=3)]
+    own = [(0, t, k % 256, 255 - k % 128, (k * 7919 * 2**40) % 2**63, None if k % 5 == 0 or t[-1] == "0" else k * 10) for k, t in enumerate(labels)]
+    path = R.export_binary(spark.createDataFrame(own, R.SCHEMA).repartition(3), str(tmp_path / "b"))
+    assert os.path.getsize(path) == 24 * (1 + len(own))
+    assert rows(R.read_binary(spark, [path])) == sorted(own, key=str)
+    ids = [(k, (k * 2654435761) % 2**40) for k in range(5000)]
+    path = R.write_mapping(spark.createDataFrame(ids, "id long, mapped long").repartition(4), str(tmp_path / "m"))
+    assert open(path, "rb").read() == struct.pack("<qq5000q", 0, 5000, *(m for _, m in ids))
+    assert not [x for _, d, _ in os.walk(R.shared_folder(spark).removeprefix("file:")) for x in d if x.startswith("parts-")]
